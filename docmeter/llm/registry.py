@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from docmeter.llm import minhash
+from docmeter.llm import minhash, packing, planes, quality, sharding
 
 QUERIES = {
+    "op2_bit_plane_tokens": planes.query,
     "op3_minhash_near_duplicates": minhash.query,
+    "op6_hypergeometric_shards": sharding.query,
+    "op8_cutting_stock_packing": packing.query,
+    "op10_line_first_quality": quality.query,
 }
 
 ORACLE_SQL = {
     "op3_minhash_near_duplicates": minhash.ORACLE_SQL,
+    "op10_line_first_quality": quality.ORACLE_SQL,
 }

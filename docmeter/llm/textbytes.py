@@ -117,7 +117,7 @@ class HashIndex:
     """Open-addressing map from 64-bit keys to non-negative ints, probed and filled with whole arrays."""
 
     def __init__(self, capacity: int):
-        self._bits = max(10, (2 * capacity - 1).bit_length())
+        self._bits = max(10, (capacity * 4 // 3).bit_length())
         self._key = np.zeros(1 << self._bits, np.uint64)
         self._value = np.full(1 << self._bits, -1, np.int32)
 
