@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docmeter.llm import minhash, packing, planes, quality, sharding
+from docmeter.llm import minhash, packing, pivots, planes, quality, sharding
 
 QUERIES = {
+    "op1_pivot_near_duplicates": pivots.query,
     "op2_bit_plane_tokens": planes.query,
     "op3_minhash_near_duplicates": minhash.query,
     "op6_hypergeometric_shards": sharding.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_pivot_near_duplicates": pivots.ORACLE_SQL,
     "op3_minhash_near_duplicates": minhash.ORACLE_SQL,
     "op10_line_first_quality": quality.ORACLE_SQL,
 }
