@@ -51,10 +51,11 @@ def _running_power(base: np.uint64, n: int) -> np.ndarray:
 class SpanHasher:
     """Hashes of any byte spans of ``data`` in constant time each, equal for equal bytes wherever they stand."""
 
-    def __init__(self, data: np.ndarray, fold_ascii_case: bool = False):
+    def __init__(self, data: np.ndarray, fold_ascii_case: bool = False, values: np.ndarray | None = None):
+        """``values``: a random odd number for each symbol of ``data``, if it holds others than bytes."""
         self._power, self._inverse = _power_tables(len(data) + 1)
         self._sum = np.zeros(len(data) + 1, np.uint64)
-        value = (_LOWER_BYTE_VALUES if fold_ascii_case else _BYTE_VALUES)[data]
+        value = ((_LOWER_BYTE_VALUES if fold_ascii_case else _BYTE_VALUES) if values is None else values)[data]
         value *= self._power[: len(data)]
         np.cumsum(value, out=self._sum[1:])
 
