@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from docmeter.llm import language, minhash, packing, quality
+from docmeter.llm.workspace import stored
+
+#: Name and function (spark, docs, sf_dir) of each stage, in order.
+STAGES = [
+    ("quality_rules", quality.stage),
+    ("language_id", language.stage),
+    ("minhash_near_dedup", minhash.stage),
+    ("packing", packing.stage),
+]
+
+#: Language identification and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Packed sequences of the documents that all stages keep."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
