@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.components import connected_components
+from docmeter.llm.grouped import forest, group_bounds, whole_groups
 from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, spans, steps, text_buffers, word_sequences
 from docmeter.llm.workspace import stored
 
@@ -25,6 +26,7 @@ COORDINATES, BANDS, ROWS = 256, 32, 4
 LEAST_AGREEING = 157
 #: Rows of one bucket that one task compares with each other at a time.
 BLOCK = 512
+_GROUP = ["key", "i", "j"]
 
 
 @cache
@@ -118,54 +120,69 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that agree enough, from rows sorted by bucket and block pair."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, table]) if rest is not None else table
-        if rest.num_rows < 4096:
-            continue
-        group = _group_numbers(rest)
-        whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
-        if whole:
-            yield _cross_pairs(rest.slice(0, whole), group[:whole])
-            rest = rest.slice(whole).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield _cross_pairs(rest, _group_numbers(rest))
-
-
-def _group_numbers(rows: pa.Table) -> np.ndarray:
-    key, i, j = (rows.column(x).to_numpy() for x in ("key", "i", "j"))
-    return np.cumsum(np.append(0, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-
-
-def _cross_pairs(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-    own, comp, block, i, j = (rows.column(x).to_numpy() for x in ("doc_id", "component", "block", "i", "j"))
-    sketch = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    left, right, agree, shift = [], [], [], 0
-    at = np.arange(len(own))
-    while True:
-        shift += 1
-        at = at[at + shift < len(own)]
-        at = at[group[at] == group[at + shift]]
-        if not len(at):
-            break
-        a = at[(comp[at] != comp[at + shift]) & ((i[at] == j[at]) | (block[at] != block[at + shift]))]
-        for lo in range(0, len(a), 8192):
-            x = a[lo : lo + 8192]
-            n = (sketch[x] == sketch[x + shift]).sum(axis=1)
-            hit = n >= LEAST_AGREEING
-            left.append(own[x[hit]]), right.append(own[x[hit] + shift]), agree.append(n[hit])
-    join = lambda v: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64)
-    return pa.record_batch([pa.array(join(v)) for v in (left, right, agree)], ["a", "b", "agreeing"])
-
-
-def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs across components within a bucket. Rows of a bucket's largest component meet only the others.
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose signatures agree enough; a group with more than two a row is named instead."""
+    for rows, group in whole_groups(batches, _GROUP, 4096):
+        own, comp, block, i, j, key = (rows.column(x).to_numpy() for x in ("doc_id", "component", "block", "i", "j", "key"))
+        sketch = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        left, right, shift, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, np.arange(len(own))
+        while True:
+            shift += 1
+            at = at[at + shift < len(own)]
+            at = at[group[at] == group[at + shift]]
+            if not len(at):
+                break
+            x = at[(comp[at] != comp[at + shift]) & ((i[at] == j[at]) | (block[at] != block[at + shift]))]
+            for lo in range(0, len(x), 8192):
+                some = x[lo : lo + 8192]
+                hit = some[(sketch[some] == sketch[some + shift]).sum(axis=1) >= LEAST_AGREEING]
+                left.append(hit), right.append(hit + shift)
+        left, right = np.concatenate(left), np.concatenate(right)
+        dense = np.bincount(group[left], minlength=group[-1] + 1) > 2 * np.bincount(group)
+        few = ~dense[group[left]]
+        left, right, first = left[few], right[few], np.searchsorted(group, np.flatnonzero(dense))
+        none = pa.nulls
+        yield pa.record_batch([pa.array(own[left]), pa.array(own[right]), none(len(left), pa.int64()), none(len(left), pa.int32()), none(len(left), pa.int32())], ["a", "b", "key", "i", "j"])
+        yield pa.record_batch([none(len(first), pa.int64()), none(len(first), pa.int64()), pa.array(key[first]), pa.array(i[first]), pa.array(j[first])], ["a", "b", "key", "i", "j"])
+
+
+def _dense_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact links across components within whole groups, as a forest that joins the same rows."""
+    for rows, group in whole_groups(batches, _GROUP):
+        for lo, hi in group_bounds(group):
+            part = rows.slice(lo, hi - lo)
+            own, comp, block = (part.column(x).to_numpy() for x in ("doc_id", "component", "block"))
+            sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+            both, size = _intersections(sets), np.array([len(x) for x in sets])
+            link = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+            link &= comp[:, None] != comp[None, :]
+            if part.column("i")[0] != part.column("j")[0]:
+                link &= block[:, None] != block[None, :]
+            label = forest(link)
+            moved = np.flatnonzero(label != np.arange(len(own)))
+            yield pa.record_batch([pa.array(own[label[moved]]), pa.array(own[moved])], ["a", "b"])
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each pair of sets."""
+    value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int((count > 1).sum()), 4096):
+        here = (number >= lo) & (number < lo + 4096)
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[owner[here], number[here] - lo] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components within a bucket. Rows of a bucket's largest component meet only the others.
 
     The others are cut into blocks and so is the largest component; every pair of blocks is a group of its own, so that
-    no group grows with the bucket.
+    no group grows with the bucket. Signatures rule out most pairs; of what is left, a group with few pairs gives them
+    for verification, and one with many is verified where its rows stand, so that pairs never outnumber rows by much.
     """
     rows = buckets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
@@ -178,10 +195,15 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> D
     rows = rows.withColumn("block", F.when(is_main, F.col("few") + F.pmod(F.xxhash64("doc_id"), "many")).otherwise(F.pmod(F.xxhash64("doc_id"), "few")).cast("int"))
     meets = F.when(is_main, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
     rows = rows.withColumn("other", F.explode(meets)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.join(sketches.select("doc_id", "signature"), "doc_id").select("key", "i", "j", "block", "doc_id", "component", "signature")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
-    pairs = rows.mapInArrow(_cross, "a long, b long, agreeing long")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agreeing").alias("agreeing"))
+    rows = stored(rows.select("key", "i", "j", "block", "doc_id", "component"), "minhash-open")
+
+    together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+    found = together(rows.join(sketches.select("doc_id", "signature"), "doc_id")).select("key", "i", "j", "block", "doc_id", "component", "signature")
+    found = stored(found.mapInArrow(_agreeing, "a long, b long, key long, i int, j int"), "minhash-agreeing")
+    pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dense = rows.join(found.filter("a is null").select("key", "i", "j"), ["key", "i", "j"], "left_semi")
+    dense = together(dense.join(sets, "doc_id")).select("key", "i", "j", "block", "doc_id", "component", "shingles")
+    return _verify(pairs, sets).unionAll(dense.mapInArrow(_dense_links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,18 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.select("doc_id").distinct()
     sets = stored(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "minhash-sets", compression="none")
     links = stored(_verify(stars, sets), "minhash-links")
-    labels = connected_components(links)
-    for best_only in (True, False):
-        pairs = stored(_unresolved(buckets, labels, classes), "minhash-pairs")
-        if best_only:
-            name = labels.select(F.col("node"), F.col("component"))
-            pairs = pairs.join(name.toDF("b", "to"), "b", "left").withColumn("to", F.coalesce("to", "b"))
-            pairs = pairs.groupBy("a", "to").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
-        more = stored(_verify(pairs.select("a", "b"), sets), "minhash-links")
-        if more.isEmpty():
-            continue
-        links = links.unionAll(more)
-        labels = connected_components(links)
+    more = stored(_links_across(buckets, connected_components(links), classes, sets), "minhash-links")
+    labels = connected_components(links.unionAll(more))
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"))
     same = (sketches.set_a == named.set_a) & (sketches.set_b == named.set_b) & (sketches.n_shingles == named.n)
     out = sketches.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -231,6 +243,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that with the smallest id; documents without an id stay."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    alone = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return alone.unionByName(docs.filter("doc_id is null"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
