@@ -98,7 +98,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "shingles"])
+        sets = list(shingle_sets(batch.column(1)))
+        total = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in sets]
+        yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_a", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space), or all its words as one shingle where there are fewer; null, empty and blank texts have an empty set and link
     with nothing. Documents link at 100 * intersection >= 75 * union of the full sets. Returns one row per input row:
     ``doc_id, n_shingles, component_id`` (smallest id reachable by links), ``kept`` (doc_id = component_id). Repeated
-    ids keep a row each; rows with a null id form no groups with others' ids. Other columns are not read; an empty table
+    ids keep a row each, and one with several texts links with whatever any of them links with; a row with a null id is
+    kept out of groups, but takes the component of a text that it copies. Other columns are not read; an empty table
     gives an empty one.
 
     Equal sets become one class first, so copies never meet each other. Classes link to the smallest of each band
@@ -229,14 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stored(buckets.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "minhash-stars")
 
     members = buckets.select("doc_id").distinct()
-    sets = stored(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "minhash-sets", compression="none")
+    sets = stored(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary").dropDuplicates(["doc_id", "set_a"]), "minhash-sets", compression="none")
     links = stored(_verify(stars, sets), "minhash-links")
     more = stored(_links_across(buckets, connected_components(links), classes, sets), "minhash-links")
     labels = connected_components(links.unionAll(more))
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"))
     same = (sketches.set_a == named.set_a) & (sketches.set_b == named.set_b) & (sketches.n_shingles == named.n)
     out = sketches.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
