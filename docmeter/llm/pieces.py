@@ -332,11 +332,14 @@ class PieceDecoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace").encode()
 
 
-_worker: dict[int, PieceEncoder] = {}
+_worker: dict[str, PieceEncoder] = {}
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    encoder = _worker.get(model.id) or _worker.setdefault(model.id, PieceEncoder(model.value))
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, model) -> Iterator[pa.RecordBatch]:
+    if path not in _worker:
+        _worker.clear()  # one memory of words at a time
+        _worker[path] = PieceEncoder(model.value)
+    encoder = _worker[path]
     for batch in batches:
         data, bounds = text_buffers(batch.column(1))
         for lo, hi in steps(bounds):
@@ -365,9 +368,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     Null and empty texts have no ids. One row per input row, whatever its id; other columns are not read; an empty
     table gives an empty one. Nothing is shuffled; tasks read the model's arrays, which grow with its vocabulary only.
     """
-    model = docs.sparkSession.sparkContext.broadcast(load_model(path or default_path()))
+    path = path or default_path()
+    model = docs.sparkSession.sparkContext.broadcast(load_model(path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _encoded(batches, model), "doc_id long, ids array<int>")
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, model), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
