@@ -22,6 +22,11 @@ def as_column(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it within the functions of arrays."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: str | Column) -> Column:
     """Maximal runs without ASCII white space; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(as_column(text), F.lit("")), f"[{_SPACE}]+"), lambda w: w != "")
@@ -150,8 +155,8 @@ def containment(part: Column, whole: Column) -> Column:
 
 
 def bigrams(text: str | Column) -> Column:
-    s = as_column(text)
-    return F.when(F.length(s) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 1)), lambda i: F.substring(s, i, F.lit(2)))))
+    pairs = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 1)), lambda i: F.substring(s, i, F.lit(2))))
+    return let(as_column(text), lambda s: F.when(F.length(s) < 2, F.array().cast("array<string>")).otherwise(pairs(s)))
 
 
 def bigram_jaccard(a: str | Column, b: str | Column) -> Column:
@@ -177,12 +182,16 @@ def indicator_density(text: str | Column, patterns: tuple[str, ...], few: int =
     return F.when(n == 0, 0.0).when(n < few, n / float(few)).otherwise(F.least(F.lit(1.0), n / float(full)))
 
 
+def _holding(term: str):
+    return lambda sentence: F.contains(sentence, F.lit(term))
+
+
 def stuffing_score(text: str | Column, keywords: tuple[str, ...], least_words: int = 5) -> Column:
     """One less the share of present keywords that stand in a sentence of enough words; 0 without a keyword."""
     sentences = F.filter(F.split(F.lower(as_column(text)), "[.!?]+"), lambda s: F.size(words(s)) >= least_words)
     low = F.lower(as_column(text))
     present = reduce(add, [F.contains(low, F.lit(k)).cast("int") for k in keywords])
-    shown = reduce(add, [(F.contains(low, F.lit(k)) & F.exists(sentences, lambda s, k=k: F.contains(s, F.lit(k)))).cast("int") for k in keywords])
+    shown = reduce(add, [(F.contains(low, F.lit(k)) & F.exists(sentences, _holding(k))).cast("int") for k in keywords])
     return F.when(present == 0, 0.0).otherwise(1 - F.try_divide(shown, present))
 
 
