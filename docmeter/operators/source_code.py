@@ -268,11 +268,10 @@ def copy_names(source: str | Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(kept, "\n"), F.lit(r"(?i)\bCOPY\s+['\"]?([A-Za-z0-9_-]+)"), 1), lambda x: F.upper(x)))
 
 
-def copy_closure(roots: DataFrame, uses: DataFrame, depth: int = 10) -> DataFrame:
-    """Books that each root reaches over ``uses`` (src, dst) within a depth, cycles included once."""
-    uses = uses.distinct()
-    out = reached = roots.select("root", F.col("name")).distinct()
+def copy_closure(roots: DataFrame, uses: DataFrame, depth: int = 5) -> DataFrame:
+    """Books that each root reaches over ``uses`` (src, dst) in at most ``depth`` steps; cycles add nothing."""
+    uses = uses.distinct().toDF("name", "next")
+    reached = [roots.select("root", F.col("name")).distinct()]
     for _ in range(depth):
-        reached = reached.join(uses.toDF("name", "next"), "name").select("root", F.col("next").alias("name")).distinct().join(out, ["root", "name"], "left_anti")
-        out = out.unionByName(reached)
-    return out.distinct()
+        reached.append(reached[-1].join(uses, "name").select("root", F.col("next").alias("name")).distinct())
+    return reduce(DataFrame.unionByName, reached).distinct()
