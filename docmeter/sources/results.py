@@ -75,7 +75,7 @@ def missing_results(wanted: DataFrame, done: DataFrame, keys: list[str]) -> Data
 
 def unwrapped(document: str | Column, mark: str = r"<!--\s*Source:[^>]*-->") -> Column:
     """Documents in which each part after a source mark may be a JSON object: its ``content``, parts joined by a blank line."""
-    parts = F.filter(F.transform(F.split(F.col(document) if isinstance(document, str) else document, mark), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(document) if isinstance(document, str) else document, mark), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.content"), p)), "\n\n")
 
 
