@@ -267,7 +267,7 @@ def a11(spark, sf_dir):
     "k1_file_metrics",
     r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
     m AS (SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(trim(x), '^\s*[^\s*/]'))) AS loc, 1 + len(regexp_extract_all(text, '(?i)\bthe\b')) + len(regexp_extract_all(text, '(?i)\bder\b')) + len(regexp_extract_all(text, '(?i)\bque\s+.*\bde\b')) AS complexity, len(list_distinct(regexp_extract_all(text, 'of (\w+)', 1))) AS names FROM d)
-    SELECT doc_id, loc, complexity, names, CASE WHEN loc < 300 THEN 0.0 ELSE 0.2 END AS loc_score FROM m""",
+    SELECT doc_id, loc, complexity, names, CASE WHEN loc < 300 THEN 0.0 ELSE 0.2 END::DOUBLE AS loc_score FROM m""",
 )
 def k1(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
