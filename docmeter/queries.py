@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmeter.functions import text as t
 from docmeter.lexicons import CORPUS, DOCUMENT_WEIGHTS, WEIGHTS
-from docmeter.operators import board, compare, scoring, selection, similarity
+from docmeter.operators import board, claims, compare, scoring, selection, similarity
 from docmeter.plans.documents import document_board, scored_documents
 from docmeter.sources.results import merged
 from docmeter.streaming.board import windowed_means
@@ -147,6 +147,12 @@ def f2(spark, sf_dir):
     return part.join(other, "p_partkey").select("p_partkey", F.round(t.bigram_jaccard("p_name", "other"), 6).alias("similarity"))
 
 
+@_query("f1_identifiers", rf"""WITH i AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '\b([A-Za-z][-A-Za-z0-9]*)\b', 1), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(map(repr, claims.COMMON_WORDS))}], lower(w))), lambda w: upper(w))) AS w FROM documents) SELECT doc_id, len(w) AS n, coalesce(list_min(w), '') AS first_name, coalesce(list_max(w), '') AS last_name FROM i""")
+def f1(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", claims.identifiers("text").alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.coalesce(F.array_min("w"), F.lit("")).alias("first_name"), F.coalesce(F.array_max("w"), F.lit("")).alias("last_name"))
+
+
 @_query(
     "l2_bigram_precision",
     r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark), g AS (SELECT item_id, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM w) GROUP BY ALL),
