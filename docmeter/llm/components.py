@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docmeter.llm.workspace import stored
 
+#: Rounds keep about this many edges in a file, so that small tables aren't spread over as many files as partitions.
+EDGES_A_FILE = 200_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``links`` that is not the smallest of its component.
@@ -21,7 +24,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = stored(edges, "edges")
     before = _state(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        files = 1 + before[0] // EDGES_A_FILE
+        edges = stored(_small_star(_large_star(edges)).coalesce(files), "edges")
         now = _state(edges)
         if now == before:
             break

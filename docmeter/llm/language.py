@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.textbytes import HashIndex, SpanHasher, spans, steps, text_buffers
+from docmeter.llm.textbytes import HashIndex, SpanHasher, sliced, spans, steps, text_buffers
 
 #: Labelled documents to learn from, in expectation, of each language, and the most languages (the most frequent ones).
 SAMPLE_PER_LANGUAGE = 2_000
@@ -95,7 +95,7 @@ class _Words:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and n-grams of each language by key, counted over some texts at a time."""
-    for batch in batches:
+    for batch in sliced(batches):
         names = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi, code, bounds in _codes(batch.column(1)):
             words = _Words(code, bounds)
@@ -158,7 +158,7 @@ def _word_scores(words: _Words, model: Model, index: list[HashIndex]) -> np.ndar
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     index, names = model.index(), np.array([*model.languages, UNDETERMINED], object)
-    for batch in batches:
+    for batch in sliced(batches):
         best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
         for lo, hi, code, bounds in _codes(batch.column(1)) if model.languages else ():
             words = _Words(code, bounds)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docmeter.llm.components import connected_components
 from docmeter.llm.grouped import forest, group_bounds, whole_groups
-from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, spans, steps, text_buffers, word_sequences
+from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, sliced, spans, steps, text_buffers, word_sequences
 from docmeter.llm.workspace import stored
 
 WORDS = 5
@@ -77,7 +77,7 @@ _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         size, set_a, set_b, bands, signatures = [], [], [], [], []
         for own in shingle_sets(batch.column(1)):
             size.append(len(own))
@@ -97,14 +97,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = list(shingle_sets(batch.column(1)))
         total = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in sets]
         yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_a", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))

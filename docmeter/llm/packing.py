@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmeter.llm.textbytes import steps, text_buffers
+from docmeter.llm.textbytes import sliced, steps, text_buffers
 from docmeter.llm.tokens import default_path, word_tokenizer
 from docmeter.llm.workspace import stored
 
@@ -110,7 +110,7 @@ def _runs(histogram: dict[int, int], capacity: int) -> list[dict]:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, grain: int) -> Iterator[pa.RecordBatch]:
     encode, part = word_tokenizer(path), TaskContext.get().partitionId()
     seen = np.zeros(-(-sequence // grain) + 1, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         data, bounds = text_buffers(batch.column(1))
         for lo, hi in steps(bounds):
             ids, counts = encode(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])

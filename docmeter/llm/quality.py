@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, spans, steps, text_buffers, word_sequences
+from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, sliced, spans, steps, text_buffers, word_sequences
 
 LEAST_WORDS = 50
 #: Percent of words in repeated 3-word windows, and of word characters in failed lines, above which a document goes.
@@ -124,7 +124,7 @@ def _without(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         data, bounds = text_buffers(batch.column(1))
         counts, texts = {x: [np.zeros(0, np.int64)] for x in COUNTS}, []
         for lo, hi in steps(bounds):
@@ -176,7 +176,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _clean_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         doc = dict(zip((f.name for f in batch.column(0).type), batch.column(0).flatten(), strict=True))
         got = next(_clean(iter([pa.record_batch([doc["doc_id"], doc["text"]], ["doc_id", "text"])]), True))
         n = {x: got.column(x).to_numpy() for x in COUNTS}

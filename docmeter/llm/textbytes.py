@@ -73,6 +73,13 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), bounds
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of fewer, so that what a step makes of them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def steps(bounds: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most ``limit`` bytes together, or of one longer text."""
     lo, n = 0, len(bounds) - 1
