@@ -197,8 +197,8 @@ class PieceEncoder:
         self.newline = int(model.byte_ids[10])
         self._forget()
 
-    def _forget(self) -> None:
-        self._index = HashIndex(REMEMBERED + (1 << 18))
+    def _forget(self, room: int = 0) -> None:
+        self._index = HashIndex(max(REMEMBERED + (1 << 18), room))
         self._flat, self._used = np.zeros(1 << 20, np.int32), 0
         self._start, self._known = np.zeros(1 << 16, np.int64), 0
 
@@ -272,8 +272,8 @@ class PieceEncoder:
             new, at = np.unique(key[found < 0], return_index=True)
             at = np.flatnonzero(found < 0)[at]
             if self._known + len(new) > REMEMBERED + (1 << 18):
-                self._forget()
                 new, at = np.unique(key, return_index=True)
+                self._forget(len(new))  # one very long text may hold more words than are remembered
             text = data.tobytes()
             words = [(_MARK if k else "") + text[a:b].decode() for a, b, k in zip(start[at].tolist(), end[at].tolist(), marked[at].tolist(), strict=True)]
             plain = [w.replace(_MARK, "") if w.count(_MARK) > 1 or (_MARK in w and w[0] != _MARK) else w for w in words]  # of odd texts, done below

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step works on (a longer text is one step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = (1 << 19) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -78,6 +78,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on, and others share its machine
 
 
 def steps(bounds: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

@@ -11,7 +11,7 @@ import numpy as np
 from docmeter.llm.textbytes import HashIndex, SpanHasher, spans
 
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 _BETWEEN = "\x00"
 
@@ -62,8 +62,8 @@ class WordTokenizer:
         self._letters = _letters_of(self._tokenizer)
         self._forget()
 
-    def _forget(self) -> None:
-        self._index = HashIndex(REMEMBERED + (1 << 18))
+    def _forget(self, room: int = 0) -> None:
+        self._index = HashIndex(max(REMEMBERED + (1 << 18), room))
         self._ids, self._used = np.zeros(1 << 20, np.uint32), 0
         self._start, self._known = np.zeros(1 << 16, np.int64), 0
 
@@ -120,8 +120,8 @@ class WordTokenizer:
             new, at = np.unique(key[miss], return_index=True)
             at = miss[at]
             if self._known + len(new) > REMEMBERED + (1 << 18):
-                self._forget()
                 new, at = np.unique(key, return_index=True)
+                self._forget(len(new))  # one very long text may hold more words than are remembered
             text = data.tobytes()
             self._learn(new, [text[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             found = self._index.find(key)
