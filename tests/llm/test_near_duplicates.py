@@ -3,6 +3,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from docmeter.llm import minhash, pivots
 from docmeter.llm.components import connected_components
@@ -116,3 +117,33 @@ def test_pivot_recall_at_the_threshold():
     near = [np.argsort(-(v @ table.T), axis=1)[:, : pivots.PREFIX] for v in (x, y)]
     shared = [len(set(a) & set(b)) for a, b in zip(*map(np.ndarray.tolist, near), strict=True)]
     assert np.mean([s >= pivots.SHARED for s in shared]) > 0.999
+
+
+def _crowded(n, dimension):
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=dimension)
+    near = centre / np.linalg.norm(centre) + 0.2 * draw.normal(size=(n // 2, dimension)) / math.sqrt(dimension)
+    return np.concatenate([near, draw.normal(size=(n - n // 2, dimension))])
+
+
+def _link_counts(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return ((x @ x.T >= 0.93).sum(axis=1) - 1).tolist()
+
+
+@pytest.mark.parametrize("crowded", [pivots.CROWDED, math.inf])
+def test_pivots_find_all_of_a_group_that_is_half_the_table(spark, monkeypatch, crowded):
+    monkeypatch.setattr(pivots, "BLOCK", 256)
+    monkeypatch.setattr(pivots, "CROWDED", crowded)  # inf: by pivot lists only
+    x = _crowded(1200, 64)
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame).collect()}
+    want = _link_counts(x)
+    assert sum(want) > 300_000 and [got[i] for i in range(len(x))] == want
+
+
+def test_pivots_find_all_in_two_dimensions(spark):
+    x = np.random.default_rng(2).normal(size=(400, 2))
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame).collect()}
+    assert [got[i] for i in range(len(x))] == _link_counts(x)
