@@ -93,37 +93,43 @@ RULES = (
 KINDS = ("reserved", "noncommercial", "copyleft", "permissive")
 
 _SPACE = r"[\x20\x09-\x0D]"
-#: Where a sentence ends: marks before white space or the end, and empty lines.
+#: Where a sentence ends besides line ends: marks before white space or the end.
+_MARKS = rf"[.;!?]+({_SPACE}+|\z)|\x01"
+#: The two cuts of ORACLE_SQL, which counts the better one only.
 _SENTENCE_END = rf"[.;!?]+({_SPACE}+|\z)|\n{_SPACE}*\n"
 _LINE_END = r"\n"
 #: Every known sentence holds one of these within a word, so that a text without any has no known sentence.
 ANCHORS = ("licen", "reserved", "redistribut", "warranty", "permi", "software")
 
 
-def _known(text: Column, end: str) -> Column:
-    """Positions in SENTENCES (from 1) of a lower-cased text's known sentences, in order."""
+def _known(text: Column) -> Column:
+    """Positions in SENTENCES (from 1) of a lower-cased text's known sentences, in order.
+
+    A known sentence starts and ends where a line or a sentence does, and may run over any such places within; of two
+    that start at one place the longer counts.
+    """
     names = F.array(*[F.lit(x) for x in SENTENCES.values()])
-    normal = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    pieces = F.split(F.regexp_replace(text, end, "\x01"), "\x01")
-    lengths = [len(x) for x in SENTENCES.values()]
-    pieces = F.filter(pieces, lambda s: F.length(s).between(min(lengths), 2 * max(lengths)))
-    return F.filter(F.transform(pieces, lambda s: F.array_position(names, normal(s))), lambda k: k > 0)
+    pieces = F.regexp_replace(F.regexp_replace(text, _MARKS, "\n"), "[^a-z0-9\n]+", " ")
+    pieces = F.concat(F.lit("\n"), F.regexp_replace(pieces, r"[ \n]*\n[ \n]*", "\n"), F.lit("\n"))
+    pieces = F.regexp_replace(F.regexp_replace(pieces, r"^\n ", "\n"), r" \n\z", "\n")
+    any_known = "|".join(x.replace(" ", r"[ \n]") for x in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(pieces, F.lit(rf"(?<=\n)(?:{any_known})(?=\n)"), F.lit(0))
+    return F.transform(found, lambda s: F.array_position(names, F.replace(s, F.lit("\n"), F.lit(" "))))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_sentences`` (known ones), ``licenses`` (sorted, joined by ``;``), ``kind`` (the strictest of
     ``reserved, noncommercial, copyleft, permissive``, or ``none``) and ``n_unmatched`` (known sentences in no rule).
 
-    A whole text is cut into sentences, and into lines; the cut with more known sentences counts (sentences on a tie).
+    A known sentence counts wherever it starts and ends at a line end or a sentence end, so that comment marks, wrapped
+    lines and an unpunctuated line before it hide none.
     Rules are tried in order on what earlier ones left; a rule matches as often as its sentences follow each other.
     Null, empty and very long texts are treated alike (null: nothing known). Repeated rows and null ids keep a row each;
     other columns are not read; an empty table gives an empty one. One pass without a shuffle, in expressions only.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     some, nothing = reduce(or_, [F.contains("text", F.lit(x)) for x in ANCHORS]), F.array().cast("array<bigint>")
-    known = lambda end: F.when(F.col("some"), _known(F.col("text"), end)).otherwise(nothing)
-    rows = rows.withColumn("some", some).select("doc_id", known(_SENTENCE_END).alias("sentences"), known(_LINE_END).alias("lines"))
-    rows = rows.select("doc_id", F.when(F.size("lines") > F.size("sentences"), F.col("lines")).otherwise(F.col("sentences")).alias("known"))
+    rows = rows.select("doc_id", F.when(some, _known(F.col("text"))).otherwise(nothing).alias("known"))
     number = {k: i + 1 for i, k in enumerate(SENTENCES)}
     rules = F.array(*[F.struct(F.lit("".join(f"<{number[s]}>" for s in r.sentences)).alias("ids"), F.lit(r.licence).alias("licence"), F.lit(r.kind).alias("kind")) for r in RULES])
     start = F.struct(F.array_join(F.transform("known", lambda k: F.concat(F.lit("<"), k.cast("string"), F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"), F.array().cast("array<string>").alias("kinds"))

@@ -53,6 +53,48 @@ def test_licenses_by_rule(spark):
     assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
 
 
+APACHE = """ Copyright (C) 2008 The Project
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """Copyright (C) 2008 Someone
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def _commented(text, mark):
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+
+
+def test_licenses_in_comments(spark):
+    grant = licenses.SENTENCES["mit-grant"].split()
+    texts = [
+        "/*\n" + _commented(APACHE, " *") + "\n */", _commented(GPL, "#"), _commented(APACHE, "//"),
+        _commented(GPL.replace("\n\n", "\n").replace("free software:", "free software;"), "#"),
+        "\n".join(f"*{w:^100}*" for w in ["Copyright 2008 Someone", *grant]), "All rights reserved not\nhere, nor: licensed under the mit license",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.licenses, r.n_unmatched) for r in licenses.scan_licenses(frame).collect()}
+    assert got == {0: (5, "Apache-2.0", 0), 1: (4, "GPL-3.0-or-later", 0), 2: (5, "Apache-2.0", 0), 3: (4, "GPL-3.0-or-later", 0), 4: (1, "MIT", 0), 5: (0, "", 0)}
+
+
 CHATS = [
     (1, 0, "system", "s<|im_end|>"), (1, 1, "user", "u"), (1, 2, "assistant", "a <\\| b <\\\\| c <|"), (2, 5, "user", None), (2, 3, None, "x"), (2, None, "user", "first"),
     (3, 0, "assistant", ""), (4, 0, "odd\n%0A<|role", "y"), (4, 0, "user", "tie"), (4, 0, "user", "tie"), (5, 0, "user", "q" * 50_000), (5, 1, "assistant", "é漢\U0001f600<"),
