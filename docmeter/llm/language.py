@@ -9,16 +9,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmeter.llm.textbytes import HashIndex, SpanHasher, sliced, spans, steps, text_buffers
+from docmeter.llm.workspace import stored
 
-#: Labelled documents to learn from, in expectation, of each language, and the most languages (the most frequent ones).
+#: Labelled documents to learn from, in expectation, of each language.
 SAMPLE_PER_LANGUAGE = 2_000
-MOST_LANGUAGES = 64
-#: The most frequent words, and n-grams of each length, that the model keeps over all languages.
+#: The most frequent words, and n-grams of each length, that the model keeps of each language.
 MOST_KEYS = 30_000
+#: Values of found keys that are added up at a time.
+STEP_VALUES = 1 << 20
 LONGEST = 5
 SMOOTHING = 0.1
 UNDETERMINED = "und"
@@ -39,11 +41,18 @@ def _code_values() -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log frequencies per language of known words (order 0) and n-grams (order n): keys and a row of values each."""
+    """Log frequencies per language of known words (order 0) and n-grams (order n).
+
+    A key's values stand at ``start[i]:start[i + 1]``, one for each language that has it: ``language`` and how much more
+    than ``base``, the value of the languages that lack it.
+    """
 
     languages: list[str]
     keys: list[np.ndarray]
-    values: list[np.ndarray]
+    start: list[np.ndarray]
+    language: list[np.ndarray]
+    more: list[np.ndarray]
+    base: list[np.ndarray]
 
     def index(self) -> list[HashIndex]:
         out = []
@@ -103,42 +112,69 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, every = words.grams(np.arange(len(words.doc))), np.ones(len(words.doc), bool)
             for order in range(LONGEST + 1):
                 key, word = (words.hashes(), np.arange(len(words.doc))) if order == 0 else grams(order, every)
-                for k, name in enumerate(language.tolist()):
-                    found, n = np.unique(key[of_doc[words.doc[word]] == k], return_counts=True)
-                    if len(found):
-                        yield pa.record_batch([pa.array([name] * len(found)), pa.array(np.full(len(found), order, np.int32)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "ord", "key", "n"])
+                own = of_doc[words.doc[word]]
+                sort = np.lexsort((key, own))
+                key, own = key[sort], own[sort]
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)])
+                n = np.diff(np.append(new, len(key)))
+                yield pa.record_batch([pa.array(language[own[new]].tolist(), pa.string()), pa.array(np.full(len(new), order, np.int32)), pa.array(key[new].view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "ord", "key", "n"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from a bounded sample: about SAMPLE_PER_LANGUAGE documents of each of the MOST_LANGUAGES languages, picked
-    by a hash of their ids. Null texts and null languages are not learned from; without any row the model is empty."""
+    """Learn every language from a bounded sample: about SAMPLE_PER_LANGUAGE documents of each, picked by a hash of their
+    ids, and its own MOST_KEYS most frequent words and n-grams of each length, however large the other languages are.
+    Null texts and null languages are not learned from; without any row the model is empty."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [], [])
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / sizes[k]) * (1 << 30))])
-    sample = rows.filter(F.col("h") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+        return Model([], [], [], [], [], [])
+    share = [(i, k, min(1.0, SAMPLE_PER_LANGUAGE / sizes[k]) * (1 << 30)) for i, k in enumerate(languages)]
+    share = F.broadcast(labelled.sparkSession.createDataFrame(share, "k int, lang string, share double"))
+    sample = rows.join(share.select("lang", "share"), "lang").filter(F.col("h") < F.col("share")).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, ord int, key long, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("ord", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    flat = by_key.select("ord", "key", "total", *[F.coalesce(F.col("by")[k], F.lit(0)).alias(f"n{i}") for i, k in enumerate(languages)]).persist()
-    keys, values = [], []
-    for order in range(LONGEST + 1):
-        own = flat.filter(F.col("ord") == order)
-        whole = np.array(own.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(languages))]).first(), np.float64)
-        top = own.orderBy(F.desc("total"), "key").limit(MOST_KEYS).toArrow()
-        n = np.stack([top.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
-        keys.append(top.column("key").to_numpy().view(np.uint64))
-        values.append(np.log((n + SMOOTHING) / (whole + SMOOTHING * MOST_KEYS)))
-    flat.unpersist()
-    return Model(languages, keys, values)
-
-
-def _word_scores(words: _Words, model: Model, index: list[HashIndex]) -> np.ndarray:
-    """Each word's log frequencies: its own if known, else the mean over the longest n-grams of which any is known."""
+    counts = stored(counts.join(share.select("lang", "k"), "lang").select("ord", "key", "k", "n"), "language-counts")
+    whole = np.zeros((LONGEST + 1, len(languages)))
+    for r in counts.groupBy("ord", "k").agg(F.sum("n").alias("n")).collect():
+        whole[r["ord"], r["k"]] = r["n"]
+    place = F.row_number().over(Window.partitionBy("ord", "k").orderBy(F.desc("n"), "key"))
+    top = counts.withColumn("place", place).filter(F.col("place") <= MOST_KEYS).select("ord", "key").distinct()
+    found = counts.join(top, ["ord", "key"], "left_semi").toArrow()
+    order, key, k, n = (found.column(x).to_numpy() for x in ("ord", "key", "k", "n"))
+    model = Model(languages, [], [], [], [], [])
+    for o in range(LONGEST + 1):
+        own = np.flatnonzero(order == o)
+        own = own[np.lexsort((k[own], key[own]))]
+        keys, first = np.unique(key[own], return_index=True)
+        scale = whole[o] + SMOOTHING * MOST_KEYS
+        model.base.append(np.log(SMOOTHING / scale))
+        model.keys.append(keys.view(np.uint64))
+        model.start.append(np.append(first, len(own)))
+        model.language.append(k[own].astype(np.int32))
+        model.more.append(np.log((n[own] + SMOOTHING) / SMOOTHING))
+    return model
+
+
+def _add(total: np.ndarray, model: Model, order: int, doc: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+    """Add the values of found keys (places ``at``) to their documents' totals."""
+    total += np.bincount(doc, weights=weight, minlength=len(total))[:, None] * model.base[order]
+    start, step = model.start[order], max(1, STEP_VALUES // len(model.languages))
+    for lo in range(0, len(at), step):
+        own = slice(lo, lo + step)
+        size = start[at[own] + 1] - start[at[own]]
+        last = np.cumsum(size)
+        i = np.repeat(start[at[own]] - (last - size), size) + np.arange(last[-1])
+        cell = np.repeat(doc[own], size) * len(model.languages) + model.language[order][i]
+        total += np.bincount(cell, weights=model.more[order][i] * np.repeat(weight[own], size), minlength=total.size).reshape(total.shape)
+
+
+def _scores(words: _Words, docs: int, model: Model, index: list[HashIndex]) -> np.ndarray:
+    """Each document's log frequencies, the sums of its words': a word's own if known, else the mean over the longest
+    n-grams of which any is known."""
+    total = np.zeros((docs, len(model.languages)))
     known = index[0].find(words.hashes())
-    out = np.zeros((len(known), len(model.languages)))
-    out[known >= 0] = model.values[0][known[known >= 0]]
+    hit = np.flatnonzero(known >= 0)
+    _add(total, model, 0, words.doc[hit], known[hit], np.ones(len(hit)))
     unseen = np.flatnonzero(known < 0)
     grams, left = words.grams(unseen), np.ones(len(unseen), bool)
     for n in range(LONGEST, 0, -1):
@@ -148,12 +184,9 @@ def _word_scores(words: _Words, model: Model, index: list[HashIndex]) -> np.ndar
         at = index[n].find(key)
         word, at = word[at >= 0], at[at >= 0]
         count = np.bincount(word, minlength=len(unseen))
-        hit = count > 0
-        for k in range(len(model.languages)):
-            total = np.bincount(word, weights=model.values[n][at, k], minlength=len(unseen))
-            out[unseen[hit], k] = total[hit] / count[hit]
-        left &= ~hit
-    return out
+        _add(total, model, n, words.doc[unseen[word]], at, 1 / count[word])
+        left &= count == 0
+    return total
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -162,8 +195,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
         best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
         for lo, hi, code, bounds in _codes(batch.column(1)) if model.languages else ():
             words = _Words(code, bounds)
-            value = _word_scores(words, model, index)
-            total = np.stack([np.bincount(words.doc, weights=value[:, k], minlength=hi - lo) for k in range(value.shape[1])], axis=1)
+            total = _scores(words, hi - lo, model, index)
             share = np.exp(total - total.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             some = np.bincount(words.doc, minlength=hi - lo) > 0
@@ -178,7 +210,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A word is a run of letters, lower-cased. A text's log frequencies are the sums of its words'; ``score`` is the best
     language's share after exponentiation. Texts that are null or have no letter, and all texts if the model is empty,
     are ``und`` with score 0; ties go to the first language by name. Nothing is shuffled; the model that each task reads
-    has at most (LONGEST + 1) * MOST_KEYS rows.
+    has at most (LONGEST + 1) * MOST_KEYS keys for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

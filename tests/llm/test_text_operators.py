@@ -138,3 +138,24 @@ def test_language_edge_cases(spark):
     empty = language.fit(odd.limit(0).selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in language.predict(odd, empty).collect()} == {"und"}
     assert language.predict(odd.limit(0), model).count() == 0
+
+
+def _many_languages():
+    word = lambda i, j: "".join(chr(97 + (i * 7919 + j * 104729 + k * k * (i + 3 * j + 1)) // 5 % 26) for k in range(7))
+    return [(100 * i + j, " ".join(word(i, (j + m) % 9) for m in range(8)), f"l{i:02}") for i in range(70) for j in range(1 + (i < 60))]
+
+
+def test_no_language_is_dropped(spark):
+    rows = _many_languages()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame)
+    assert len(model.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def test_a_small_language_keeps_its_words(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_KEYS", 4)
+    rows = [(i, "alpha beta gamma delta", "big") for i in range(50)] + [(99, "omega sigma", "small")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.keys[0]) == 6
