@@ -24,9 +24,14 @@ from docmeter.llm.textbytes import HashIndex, SpanHasher, mixed, spans, steps, t
 
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 2_000_000
+#: Bytes of text whose new words are segmented together.
+TOGETHER = 1 << 22
 _MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(1 << 40)
+_SIEVE = 22
+#: Characters that advance together at most.
+_CELLS = 1 << 18
 
 
 @dataclass
@@ -42,6 +47,9 @@ class PieceModel:
     right: np.ndarray
     pairs: np.ndarray  # sorted codes of two pieces that together are one, and that one's rank
     pair_rank: np.ndarray
+    key_sieve: np.ndarray
+    pair_sieve: np.ndarray
+    cuts: np.ndarray  # whether no piece holds one ASCII character before another
     byte_ids: np.ndarray
     mark: int  # the piece of a single mark
     runs: dict[int, int]  # pieces of marks only, by length
@@ -60,15 +68,25 @@ def _merged(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-def _hash_rows(codes: np.ndarray) -> np.ndarray:
-    """Running hash of each row's prefixes, 0 for the empty one."""
-    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    value = mixed(codes.astype(np.uint64) + np.uint64(1))
-    for i in range(codes.shape[1]):
-        out[:, i + 1] = out[:, i] * _BASE + value[:, i]
+def _hash_columns(codes: np.ndarray) -> np.ndarray:
+    """Running hash of the prefixes of words that stand in columns, 0 for the empty one."""
+    out = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+    for i, value in enumerate(mixed(codes.astype(np.uint64) + np.uint64(1))):
+        out[i + 1] = out[i] * _BASE + value
     return out
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """Which of ``_SIEVE`` leading-bit patterns some key has: most lookups of absent keys end here."""
+    out = np.zeros(1 << _SIEVE, bool)
+    out[keys >> np.uint64(64 - _SIEVE)] = True
+    return out
+
+
+def _in_sieve(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return sieve[(keys >> np.uint64(64 - _SIEVE)).view(np.int64)]
+
+
 @cache
 def load_model(path: str) -> PieceModel:
     from sentencepiece import sentencepiece_model_pb2
@@ -104,11 +122,17 @@ def load_model(path: str) -> PieceModel:
     for k, p in enumerate(kept):
         by_length[len(p)].append(k)
     for n, ks in by_length.items():
-        keys[ks] = _hash_rows(np.array([[ord(c) for c in kept[k]] for k in ks], np.uint32))[:, n]
+        keys[ks] = _hash_columns(np.array([[ord(c) for c in kept[k]] for k in ks], np.uint32).T)[n]
     by_key, codes = np.argsort(keys), np.array(sorted(pairs), np.int64)
+    cuts = np.zeros((256, 256), bool)
+    cuts[:128, :128] = True
+    for p in words:
+        for x, y in zip(p, p[1:], strict=False):
+            if max(x, y) < "\x80":
+                cuts[ord(x), ord(y)] = False
     byte_ids = np.array([i for i, p in enumerate(proto.pieces) if p.type == p.BYTE], np.int64)
     spelled = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else b"" if p.type == p.CONTROL else " ⁇ ".encode() if p.type == p.UNKNOWN else p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
-    return PieceModel(size, keys[by_key], numbers[by_key], max(by_length), rank, left, right, codes, np.array([pairs[c] for c in codes.tolist()], np.int64), byte_ids, words[_MARK][0], {1: words[_MARK][0]} | runs, spelled)
+    return PieceModel(size, keys[by_key], numbers[by_key], max(by_length), rank, left, right, codes, np.array([pairs[c] for c in codes.tolist()], np.int64), _sieve(keys), _sieve(mixed(codes.view(np.uint64))), cuts, byte_ids, words[_MARK][0], {1: words[_MARK][0]} | runs, spelled)
 
 
 def _may_follow(m: PieceModel, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,8 +146,9 @@ def _may_follow(m: PieceModel, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     until_x, until_y = np.full(len(x), _NEVER), np.full(len(x), _NEVER)
     while len(open_):
         code = x[open_] * (m.size + 1) + y[open_]
-        at = np.minimum(np.searchsorted(m.pairs, code), len(m.pairs) - 1)
-        joint = np.where(m.pairs[at] == code, m.pair_rank[at], _NEVER)
+        joint, some = np.full(len(code), _NEVER), np.flatnonzero(_in_sieve(m.pair_sieve, mixed(code.view(np.uint64))))
+        at = np.minimum(np.searchsorted(m.pairs, code[some]), len(m.pairs) - 1)
+        joint[some] = np.where(m.pairs[at] == code[some], m.pair_rank[at], _NEVER)
         joined = (joint < until_x[open_]) & (joint <= until_y[open_]) & (joint < _NEVER)
         ok[open_[joined]] = False
         open_ = open_[~joined]
@@ -138,55 +163,109 @@ def _may_follow(m: PieceModel, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def viterbi(m: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of words of one length (rows of code points), flat, and how many each word has.
+    """Pieces of words of one length (columns of code points), flat, and how many each word has.
 
-    A character that is no piece comes out as ``m.size`` plus its code point.
+    A character that is no piece comes out as ``m.size`` plus its code point. At each place exactly one last piece scores,
+    so the maximum is found once any does; longer pieces are tried first.
     """
-    rows, n = codes.shape
-    prefix = _hash_rows(codes)
+    n, rows = codes.shape
+    prefix = _hash_columns(codes)
     power = np.ones(m.longest + 1, np.uint64)
     power[1:] = np.multiply.accumulate(np.full(m.longest, _BASE, np.uint64))
-    last, step = np.full((rows, n + 1), m.size, np.int64), np.zeros((rows, n + 1), np.int64)
+    last, step = np.full((n + 1, rows), m.size, np.int64), np.zeros((n + 1, rows), np.int64)
     for i in range(1, n + 1):
-        best = np.zeros(rows, np.int64)
-        for length in range(1, min(i, m.longest) + 1):
-            key = prefix[:, i] - prefix[:, i - length] * power[length]
+        for length in range(min(i, m.longest), 0, -1):
+            key = prefix[i] - prefix[i - length] * power[length]
+            some = np.flatnonzero(_in_sieve(m.key_sieve, key) & (step[i] == 0)) if length > 1 else np.flatnonzero(step[i] == 0)
+            if not len(some):
+                continue
+            key = key[some]
             at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
             piece = np.where(m.keys[at] == key, m.key_piece[at], m.size)
-            some = np.flatnonzero((piece < m.size) | (length == 1))
-            score = np.zeros(rows, np.int64)
-            score[some[_may_follow(m, last[some, i - length], piece[some])]] = length
-            better = score > best
-            best[better] = length
-            last[better, i], step[better, i] = piece[better], length
-    place, count, found = np.full(rows, n), np.zeros(rows, np.int64), np.full((rows, n), -1, np.int64)
-    left = np.arange(rows)
+            known = (piece < m.size) | (length == 1)
+            some, piece = some[known], piece[known]
+            fits = _may_follow(m, last[i - length, some], piece)
+            last[i, some[fits]], step[i, some[fits]] = piece[fits], length
+    found, left, place = np.full((rows, n), -1, np.int64), np.arange(rows), np.full(rows, n)
     for k in range(n - 1, -1, -1):
-        piece = last[left, place[left]]
-        found[left, k] = np.where(piece == m.size, m.size + codes[left, place[left] - 1], piece)
-        count[left] += 1
-        place[left] -= step[left, place[left]]
+        at = place[left]
+        piece = last[at, left]
+        found[left, k] = np.where(piece == m.size, m.size + codes[at - 1, left], piece)
+        place[left] -= step[at, left]
         left = left[place[left] > 0]
         if not len(left):
             break
-    return found[found >= 0], count
+    return found[found >= 0], (found >= 0).sum(axis=1)
+
+
+def encode_spans(m: PieceModel, codes: np.ndarray, start: np.ndarray, size: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words that are spans of an array of code points, flat in the order given, and how many each has.
+
+    Words of one length advance together; ``marked`` ones have a mark put before them.
+    """
+    length = size + marked
+    order = np.argsort(length, kind="stable")
+    bounds = np.flatnonzero(np.append(True, np.diff(length[order]) > 0)).tolist() + [len(order)]
+    flats, counts, taken = [], [], []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        n = int(length[order[lo]]) if lo < hi else 0
+        for a in range(lo, hi if n else lo, max(1, _CELLS // max(n, 1))):
+            ks = order[a : min(hi, a + max(1, _CELLS // n))]
+            at = start[ks] - marked[ks] + np.arange(n)[:, None]
+            block = codes[np.maximum(at, 0)]
+            block[0, marked[ks]] = ord(_MARK)
+            flat, count = viterbi(m, block)
+            if (flat >= m.size).any():  # bytes stand for characters that are no pieces
+                rare = np.flatnonzero(flat >= m.size)
+                kinds, kind = np.unique(flat[rare] - m.size, return_inverse=True)
+                spelled = [m.byte_ids[list(chr(i).encode("utf-8", "replace"))] for i in kinds.tolist()]
+                size_of = np.ones(len(flat), np.int64)
+                size_of[rare] = np.array([len(x) for x in spelled])[kind]
+                wide, is_byte = np.repeat(flat, size_of), np.repeat(flat >= m.size, size_of)
+                wide[is_byte] = np.concatenate([spelled[k] for k in kind.tolist()])
+                count = np.add.reduceat(size_of, np.cumsum(count) - count)
+                flat = wide
+            flats.append(flat.astype(np.int32))
+            counts.append(count)
+            taken.append(ks)
+    total = np.zeros(len(start), np.int64)
+    if not taken:
+        return np.zeros(0, np.int32), total
+    taken, flat, count = np.concatenate(taken), np.concatenate(flats), np.concatenate(counts)
+    total[taken] = count
+    to = np.repeat((np.cumsum(total) - total)[taken] - (np.cumsum(count) - count), count) + np.arange(len(flat))
+    out = np.empty(len(flat), np.int32)
+    out[to] = flat
+    return out, total
 
 
 def encode_words(m: PieceModel, words: list[str]) -> list[np.ndarray]:
-    """Ids of words that hold no mark but at their start; words of one length advance together."""
-    by_length, out = defaultdict(list), [np.zeros(0, np.int64)] * len(words)
-    for k, w in enumerate(words):
-        by_length[len(w)].append(k)
-    for n, all_ks in by_length.items():
-        for lo in range(0, len(all_ks) if n else 0, max(1, (1 << 18) // n)):
-            ks = all_ks[lo : lo + max(1, (1 << 18) // n)]
-            codes = np.frombuffer("".join(words[k] for k in ks).encode("utf-32-le"), np.uint32).reshape(len(ks), n)
-            flat, count = viterbi(m, codes)
-            for k, ids in zip(ks, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-                if ids.max() >= m.size:  # bytes stand for characters that are no pieces
-                    ids = np.concatenate([m.byte_ids[list(chr(i - m.size).encode())] if i >= m.size else [i] for i in ids.tolist()])
-                out[k] = ids
-    return out
+    """Ids of words that hold no mark but at their start."""
+    size = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    flat, count = encode_spans(m, codes, np.cumsum(size) - size, size, np.zeros(len(words), bool))
+    return np.split(flat, np.cumsum(count)[:-1]) if words else []
+
+
+@dataclass
+class _Words:
+    """Words of some texts as byte spans, their keys, and the texts that go the slow way."""
+
+    data: np.ndarray
+    bounds: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    marked: np.ndarray
+    gap: np.ndarray
+    key: np.ndarray
+    odd: np.ndarray
+
+    def code_points(self) -> tuple[np.ndarray, np.ndarray]:
+        """All code points, and the number of the one that begins at each byte."""
+        place = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=place[1:])
+        return np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32), place
 
 
 class PieceEncoder:
@@ -201,6 +280,7 @@ class PieceEncoder:
         self._index = HashIndex(max(REMEMBERED + (1 << 18), room))
         self._flat, self._used = np.zeros(1 << 20, np.int32), 0
         self._start, self._known = np.zeros(1 << 16, np.int64), 0
+        self._pending = []
 
     def _run(self, length: int) -> list[int]:
         """Marks that no word takes: the longest pieces first."""
@@ -211,13 +291,16 @@ class PieceEncoder:
             length -= n
         return out
 
-    def text(self, text: str) -> list[int]:
-        """Any text by itself: the way of texts with runs of spaces or with the mark itself."""
-        if not text:
-            return []
-        out, spaces, word = [], 1, []
-        cut = [x for x in _split_runs(text.replace(_MARK, " "))]
-        words = iter(encode_words(self.model, self._marked(cut)))
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Any texts, their words segmented together: the way of texts with runs of spaces or with the mark itself."""
+        cuts = [list(_split_runs(t.replace(_MARK, " "))) for t in texts]
+        marked = [self._marked(cut) for cut in cuts]
+        words = list(dict.fromkeys(w for ws in marked for w in ws))
+        ids = dict(zip(words, (x.tolist() for x in encode_words(self.model, words)), strict=True))
+        return [np.array(self._joined(cut, map(ids.get, ws)), np.int32) if cut else np.zeros(0, np.int32) for cut, ws in zip(cuts, marked, strict=True)]
+
+    def _joined(self, cut: list[tuple[str, str]], words: Iterator[list[int]]) -> list[int]:
+        out, spaces = [], 1
         for kind, value in cut:
             if kind == " ":
                 spaces += len(value)
@@ -225,7 +308,7 @@ class PieceEncoder:
                 out += self._run(spaces) + [self.newline] * len(value)
                 spaces = 0
             else:
-                word = next(words).tolist()
+                word = next(words)
                 if spaces and word[0] == self.model.mark:
                     out += self._run(spaces) + word[1:]
                 else:
@@ -242,54 +325,77 @@ class PieceEncoder:
             before = kind
         return out
 
-    def _learn(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        flat = np.concatenate(ids)
+    def _learn(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while self._used + len(flat) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while self._known + len(keys) + 1 > len(self._start):
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
         self._flat[self._used : self._used + len(flat)] = flat
-        self._start[self._known + 1 : self._known + 1 + len(keys)] = self._used + np.cumsum([len(x) for x in ids])
+        self._start[self._known + 1 : self._known + 1 + len(keys)] = self._used + np.cumsum(size)
         self._index.add(keys, np.arange(self._known, self._known + len(keys), dtype=np.int32))
         self._used += len(flat)
         self._known += len(keys)
 
-    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        """The ids of each text that ``bounds`` cut from ``data``."""
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text that ``bounds`` cut from ``data``.
+
+        Texts are cut into words, and words where no piece could span, in small steps; the new words of all of them
+        advance together.
+        """
+        cut = [self._cut(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]) for lo, hi in steps(bounds)]
+        if self._known > REMEMBERED:
+            self._forget()
+        new = [np.flatnonzero(self._index.find(c.key) < 0) for c in cut]
+        if sum(len(x) for x in new) + self._known > REMEMBERED + (1 << 18):
+            new = [np.arange(len(c.key)) for c in cut]
+            self._forget(sum(len(x) for x in new))  # one very long text may hold more words than are remembered
+        keys, at = np.unique(np.concatenate([c.key[x] for c, x in zip(cut, new, strict=True)] or [np.zeros(0, np.uint64)]), return_index=True)
+        if len(keys):
+            step = np.repeat(np.arange(len(cut)), [len(x) for x in new])[at]
+            word = np.concatenate(new)[at]
+            for k, c in enumerate(cut):
+                some, w = keys[step == k], word[step == k]
+                if len(some):
+                    codes, place = c.code_points()
+                    self._pending.append((some, codes, place[c.start[w]], place[c.end[w]] - place[c.start[w]], c.marked[w]))
+            self._learn_pending()
+        slow = iter(self.texts([c.data[c.bounds[k] : c.bounds[k + 1]].tobytes().decode() for c in cut for k in np.flatnonzero(c.odd).tolist()]))
+        for c in cut:
+            yield from self._ids(c, slow)
+
+    def _learn_pending(self) -> None:
+        """Segment the gathered words, all steps' words of one length together."""
+        keys, codes, start, size, marked = zip(*self._pending, strict=True)
+        self._pending = []
+        shift = np.cumsum([0, *(len(x) for x in codes[:-1])])
+        flat, count = encode_spans(self.model, np.concatenate(codes), np.concatenate([x + k for x, k in zip(start, shift.tolist(), strict=True)]), np.concatenate(size), np.concatenate(marked))
+        self._learn(np.concatenate(keys), flat, count)
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> _Words:
         space, newline = data == 32, data == 10
-        start, end, first = spans(space | newline, bounds)
+        inner = np.zeros(len(data), bool)
+        inner[1:] = self.model.cuts[data[:-1], data[1:]]
+        start, end, first = spans(space | newline, bounds, inner)
         fresh = np.zeros(len(data) + 1, bool)
         fresh[bounds] = True
         marked = fresh[start] | space[start - 1]
         gap = np.where(fresh[start], 0, start - np.append(0, end[:-1]))  # newlines before a word on the common path
         gap[~fresh[start] & space[start - 1]] -= 1
-        odd = self._odd(data, bounds, space, newline, fresh)
         key = mixed(SpanHasher(data)(start, end) + marked.astype(np.uint64))
-        if self._known > REMEMBERED:
-            self._forget()
-        found = self._index.find(key)
-        if (found < 0).any():
-            new, at = np.unique(key[found < 0], return_index=True)
-            at = np.flatnonzero(found < 0)[at]
-            if self._known + len(new) > REMEMBERED + (1 << 18):
-                new, at = np.unique(key, return_index=True)
-                self._forget(len(new))  # one very long text may hold more words than are remembered
-            text = data.tobytes()
-            words = [(_MARK if k else "") + text[a:b].decode() for a, b, k in zip(start[at].tolist(), end[at].tolist(), marked[at].tolist(), strict=True)]
-            plain = [w.replace(_MARK, "") if w.count(_MARK) > 1 or (_MARK in w and w[0] != _MARK) else w for w in words]  # of odd texts, done below
-            self._learn(new, encode_words(self.model, [w or "?" for w in plain]))
-            found = self._index.find(key)
+        return _Words(data, bounds, start, end, first, marked, gap, key, self._odd(data, bounds, space, newline, fresh))
+
+    def _ids(self, c: _Words, slow: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        found = self._index.find(c.key)
         size = self._start[found + 1] - self._start[found]
-        each = size + gap
+        each = size + c.gap
         total = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=total[1:])
         ids = np.full(total[-1], self.newline, np.int32)
-        to = np.repeat(total[:-1] + gap, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        ids[to] = self._flat[np.repeat(self._start[found] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        out = [ids[total[a] : total[b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = np.array(self.text(data[bounds[k] : bounds[k + 1]].tobytes().decode()), np.int32)
-        return out
+        before = np.repeat(np.cumsum(size) - size, size)
+        within = np.arange(len(before)) - before
+        ids[np.repeat(total[:-1] + c.gap, size) + within] = self._flat[np.repeat(self._start[found], size) + within]
+        for k, (a, b) in enumerate(zip(c.first[:-1].tolist(), c.first[1:].tolist(), strict=True)):
+            yield next(slow) if c.odd[k] else ids[total[a] : total[b]]
 
     @staticmethod
     def _odd(data: np.ndarray, bounds: np.ndarray, space: np.ndarray, newline: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -342,8 +448,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, model) -> Iterator[pa
     encoder = _worker[path]
     for batch in batches:
         data, bounds = text_buffers(batch.column(1))
-        for lo, hi in steps(bounds):
-            ids = encoder(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+        for lo, hi in steps(bounds, TOGETHER):
+            ids = list(encoder(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]))
             cut = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             rows = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), rows], ["doc_id", "ids"])
