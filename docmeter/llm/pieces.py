@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmeter.llm.textbytes import HashIndex, SpanHasher, mixed, spans, steps, text_buffers
+from docmeter.llm.textbytes import HashIndex, SpanHasher, mixed, sliced, spans, steps, text_buffers
 
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 2_000_000
 #: Bytes of text whose new words are segmented together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 _MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(1 << 40)
@@ -263,8 +263,8 @@ class _Words:
 
     def code_points(self) -> tuple[np.ndarray, np.ndarray]:
         """All code points, and the number of the one that begins at each byte."""
-        place = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum((self.data & 0xC0) != 0x80, out=place[1:])
+        place = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum((self.data & 0xC0) != 0x80, out=place[1:], dtype=np.int32)
         return np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32), place
 
 
@@ -446,7 +446,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, model) -> Iterator[pa
         _worker.clear()  # one memory of words at a time
         _worker[path] = PieceEncoder(model.value)
     encoder = _worker[path]
-    for batch in batches:
+    for batch in sliced(batches):
         data, bounds = text_buffers(batch.column(1))
         for lo, hi in steps(bounds, TOGETHER):
             ids = list(encoder(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]))
@@ -457,7 +457,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, model) -> Iterator[pa
 
 def _decoded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     decode = PieceDecoder(model.value)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(1)]
         yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, "text"])
 
@@ -496,5 +496,6 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids, and of the texts that they decode to."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs)).mapInArrow(_digested, "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_crc32 long")
+    model = spark.sparkContext.broadcast(load_model(default_path()))
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encoded.mapInArrow(lambda batches: _digested(_decoded(batches, model)), "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_crc32 long")
