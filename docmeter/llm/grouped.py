@@ -43,8 +43,27 @@ def forest(link: np.ndarray) -> np.ndarray:
     n = len(link)
     label = np.arange(n)
     while True:
-        lower = np.minimum(label, np.where(link, label[None, :], n).min(axis=1, initial=n))
+        lower = label.copy()
+        for lo in range(0, n, 512):
+            lower[lo : lo + 512] = np.minimum(lower[lo : lo + 512], np.where(link[lo : lo + 512], label[None, :], n).min(axis=1, initial=n))
         lower = lower[lower]
         if (lower == label).all():
             return label
         label = lower
+
+
+def two_sided_forest(link: np.ndarray, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row number that each row reaches over links of left rows (numbered first) with other, right rows."""
+    left, right = np.arange(link.shape[0]), link.shape[0] + np.arange(link.shape[1])
+    while True:
+        x, y = left.copy(), right.copy()
+        for lo in range(0, len(left), strip):
+            part = link[lo : lo + strip]
+            x[lo : lo + strip] = np.minimum(x[lo : lo + strip], np.where(part, y[None, :], len(left) + len(right)).min(axis=1, initial=len(left) + len(right)))
+            y = np.minimum(y, np.where(part, x[lo : lo + strip, None], len(left) + len(right)).min(axis=0, initial=len(left) + len(right)))
+        label = np.concatenate([x, y])
+        label = label[label]
+        x, y = label[: len(left)], label[len(left) :]
+        if (x == left).all() and (y == right).all():
+            return left, right
+        left, right = x, y

@@ -85,10 +85,11 @@ def _vectors():
     return out
 
 
-def test_pivots_equal_all_pairs(spark):
+@pytest.mark.parametrize("options", [{}, {"block": 8}, {"paired_from": 3, "vectors_a_pivot": 1}])
+def test_pivots_equal_all_pairs(spark, options):
     rows = _vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, pivots string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_duplicate_vectors(frame).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_duplicate_vectors(frame, **options).collect()}
     usable = [r for r in rows if r[1] and r[2] is not None and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
     links = []
     for a, b in combinations(usable, 2):
@@ -101,22 +102,25 @@ def test_pivots_equal_all_pairs(spark):
     assert pivots.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
-def test_pivots_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(pivots, "BLOCK", 8)
-    test_pivots_equal_all_pairs(spark)
+def test_vectors_of_extreme_size_and_repeated_ids(spark):
+    rows = [(1, [1e200, 1e200], "a"), (2, [1e200, 1.0000001e200], "a"), (3, [1e-200, 1e-200], "a"), (4, [-1e-200, 1e-200], "a"), (4, [1.0, 1.01], "a"), (5, [-1.0, 1.0], "a"), (None, [-1.0, 1.0], "a"), (None, [3.0, 1.0], "a")]
+    got = pivots.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (4, 3, 1), (5, 1, 4)]
+    assert sorted(r.component_id or 0 for r in got if r.vec_id is None) == [0, 4]
 
 
-def test_pivot_recall_at_the_threshold():
-    draw, d = np.random.default_rng(0), 64
-    x = draw.normal(size=(4000, d))
+@pytest.mark.parametrize("d", [2, 16, 64, 768])
+@pytest.mark.parametrize("number", [128, 4096])
+def test_pivot_recall_at_the_threshold(d, number):
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(2000, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = draw.normal(size=(4000, d))
+    z = draw.normal(size=(2000, d))
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    table = pivots._pivots_for([], d)
-    near = [np.argsort(-(v @ table.T), axis=1)[:, : pivots.PREFIX] for v in (x, y)]
-    shared = [len(set(a) & set(b)) for a, b in zip(*map(np.ndarray.tolist, near), strict=True)]
-    assert np.mean([s >= pivots.SHARED for s in shared]) > 0.999
+    near = [pivots.nearest_pivots(v, pivots._pivots_for(d, number)) for v in (x, y)]
+    shared = np.array([len(set(a) & set(b)) for a, b in zip(*map(np.ndarray.tolist, near), strict=True)])
+    assert (shared >= 1).all() and np.mean(shared >= 2) > 0.998
 
 
 def _crowded(n, dimension):
@@ -133,11 +137,10 @@ def _link_counts(x):
 
 @pytest.mark.parametrize("crowded", [pivots.CROWDED, math.inf])
 def test_pivots_find_all_of_a_group_that_is_half_the_table(spark, monkeypatch, crowded):
-    monkeypatch.setattr(pivots, "BLOCK", 256)
     monkeypatch.setattr(pivots, "CROWDED", crowded)  # inf: by pivot lists only
     x = _crowded(1200, 64)
     frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame).collect()}
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame, block=256).collect()}
     want = _link_counts(x)
     assert sum(want) > 300_000 and [got[i] for i in range(len(x))] == want
 
