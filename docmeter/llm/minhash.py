@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docmeter.llm.components import connected_components
 from docmeter.llm.grouped import forest, group_bounds, whole_groups
+from docmeter.llm.hot import join_by_key
 from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, sliced, spans, steps, text_buffers, word_sequences
 from docmeter.llm.workspace import stored
 
@@ -22,11 +23,13 @@ PERCENT = 75
 UNIVERSE_BITS = 22
 #: Values of a signature; the first BANDS * ROWS are banded. A pair at similarity .75 shares no band with chance 5e-6.
 COORDINATES, BANDS, ROWS = 256, 32, 4
-#: Pairs of one bucket that agree in fewer coordinates are not verified: five standard deviations below .75.
-LEAST_AGREEING = 157
+#: Pairs of one bucket that agree in fewer coordinates are not verified: nine standard deviations below .75, where one
+#: of 1e17 pairs lies.
+LEAST_AGREEING = 128
 #: Rows of one bucket that one task compares with each other at a time.
 BLOCK = 512
 _GROUP = ["key", "i", "j"]
+_ROW = "_row_number"
 
 
 @cache
@@ -170,9 +173,12 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(number, kind="stable")
+    order = order[np.searchsorted(number[order], 0) :]
+    number, owner = number[order], owner[order]
     out = np.zeros((len(sets), len(sets)), np.float64)
     for lo in range(0, int((count > 1).sum()), 4096):
-        here = (number >= lo) & (number < lo + 4096)
+        here = slice(*np.searchsorted(number, [lo, lo + 4096]))
         table = np.zeros((len(sets), 4096), np.float32)
         table[owner[here], number[here] - lo] = 1
         out += table @ table.T
@@ -192,7 +198,7 @@ def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, se
     open_ = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = open_.select("key", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many"))
-    rows = rows.join(open_, "key")
+    rows = join_by_key(rows, open_, ["key"], ["doc_id"])
     is_main = F.col("component") == F.col("main")
     rows = rows.withColumn("block", F.when(is_main, F.col("few") + F.pmod(F.xxhash64("doc_id"), "many")).otherwise(F.pmod(F.xxhash64("doc_id"), "few")).cast("int"))
     meets = F.when(is_main, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1))
@@ -223,12 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket; only buckets that then still hold several components compare further pairs, block by block.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stored(docs.mapInArrow(_sketch, _SKETCH), "minhash-sketches")
+    sketches = stored(docs.mapInArrow(_sketch, _SKETCH).withColumn(_ROW, F.monotonically_increasing_id()), "minhash-sketches")
     classes = sketches.filter("set_a is not null and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
     classes = stored(classes.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "minhash-classes")
     rows = classes.select("doc_id", F.explode("bands").alias("key"))
     heads = rows.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-    buckets = stored(rows.join(heads, "key"), "minhash-buckets")
+    buckets = stored(join_by_key(rows, heads, ["key"], ["doc_id"]).select("doc_id", "key", "head"), "minhash-buckets")
     stars = stored(buckets.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "minhash-stars")
 
     members = buckets.select("doc_id").distinct()
@@ -236,9 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_verify(stars, sets), "minhash-links")
     more = stored(_links_across(buckets, connected_components(links), classes, sets), "minhash-links")
     labels = connected_components(links.unionAll(more))
-    named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"))
-    same = (sketches.set_a == named.set_a) & (sketches.set_b == named.set_b) & (sketches.n_shingles == named.n)
-    out = sketches.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    out = join_by_key(sketches.select("doc_id", "n_shingles", "set_a", "set_b", _ROW), named, ["set_a", "set_b", "n_shingles"], [_ROW], "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -247,10 +253,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id; documents without an id stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    alone = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(docs.filter("doc_id is null"))
+    """One document of each group with all its columns: that with the smallest id, of equal ids that with the smallest
+    hash of its text, a null id after all others.
+
+    Rows are told apart by a number of their own, so that different texts under one id are groups of their own, and
+    copies without an id are copies like others.
+    """
+    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "minhash-rows")
+    found = near_duplicates(rows, _ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), _ROW))
+    thin = rows.select(_ROW, "doc_id", "text").join(found, _ROW)
+    kept = thin.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{_ROW}").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
 ORACLE_SQL = r"""

@@ -7,6 +7,7 @@ import pytest
 
 from docmeter.llm import minhash, pivots
 from docmeter.llm.components import connected_components
+from docmeter.llm.hot import join_by_key
 from tests.llm.brute import components, shingles
 
 SCHEMA = "doc_id long, text string, lang string, doc_id_2 string, shingles string"
@@ -49,8 +50,26 @@ def test_minhash_repeated_rows_and_empty_table(spark):
     assert got == [("1", 1, True)] * 4 + [("2", 1, False), ("None", None, True)]
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(empty).count() == 0
-    docs = spark.createDataFrame([(r[0], r[1], None, None, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(str(r.doc_id) for r in minhash.stage(spark, docs, "").collect()) == ["1", "None"]
+    rows += [(None, "No id for this one but words", None, None, None), (None, text, None, None, None)]
+    got = minhash.stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "lang", "doc_id_2", "shingles"]
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got.collect()) == [("1", rows[4][1]), ("1", text), ("None", rows[5][1])]
+
+
+def test_intersections_of_sets():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 30_000, n).astype(np.uint64)) for n in (0, 1, 9_000, 20_000, 5_000)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = minhash._intersections(sets)
+    assert all(got[i][j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_by_key_equals_join(spark, how):
+    rows = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(400)] + [(50, k) for k in range(900)], "key long, v long")
+    per_key = spark.createDataFrame([(k, f"n{k}") for k in (0, 1, 2, 50, 60)], "key long, name string")
+    want = sorted(map(str, rows.join(per_key, "key", how).select("key", "v", "name").collect()))
+    assert sorted(map(str, join_by_key(rows, per_key, ["key"], ["v"], how).select("key", "v", "name").collect())) == want
 
 
 def test_crowded_groups_are_cut_into_blocks(spark, monkeypatch):
