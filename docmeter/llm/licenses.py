@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -9,21 +10,49 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Normalised sentences (lower case, other characters than a-z and 0-9 to one space) by identifier.
+#: Kind, and names besides the identifier, of each licence that a sentence can state ("licensed under the ..."): all
+#: normalised (lower case, other characters than a-z and 0-9 to one space).
+LICENCES = {
+    "MIT": ("permissive", "mit license", "expat license"),
+    "Apache-2.0": ("permissive", "apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0"),
+    "BSD-2-Clause": ("permissive", "bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "BSD-3-Clause": ("permissive", "bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"),
+    "ISC": ("permissive", "isc license"),
+    "Zlib": ("permissive", "zlib license"),
+    "BSL-1.0": ("permissive", "boost software license version 1 0", "boost software license 1 0"),
+    "Artistic-2.0": ("permissive", "artistic license 2 0", "artistic license version 2 0"),
+    "Unlicense": ("permissive", "the unlicense"),
+    "CC0-1.0": ("permissive", "cc0 1 0 universal license", "cc0 license", "creative commons zero v1 0 universal license"),
+    "CC-BY-4.0": ("permissive", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 license"),
+    "CC-BY-SA-4.0": ("copyleft", "creative commons attribution sharealike 4 0 international license", "creative commons attribution share alike 4 0 international license"),
+    "CC-BY-NC-4.0": ("noncommercial", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution non commercial 4 0 international license"),
+    "GPL-2.0-only": ("copyleft", "gnu general public license version 2", "gnu gpl version 2", "gpl version 2", "gnu gpl v2", "gpl v2", "gplv2"),
+    "GPL-2.0-or-later": ("copyleft", "gnu general public license version 2 or later", "gnu general public license version 2 or any later version", "gpl v2 or later"),
+    "GPL-3.0-only": ("copyleft", "gnu general public license version 3", "gnu gpl version 3", "gpl version 3", "gnu gpl v3", "gpl v3", "gplv3"),
+    "GPL-3.0-or-later": ("copyleft", "gnu general public license version 3 or later", "gnu general public license version 3 or any later version", "gpl v3 or later"),
+    "LGPL-2.1-only": ("copyleft", "gnu lesser general public license version 2 1", "gnu lgpl version 2 1", "lgpl v2 1"),
+    "LGPL-2.1-or-later": ("copyleft", "gnu lesser general public license version 2 1 or later", "lgpl v2 1 or later"),
+    "LGPL-3.0-only": ("copyleft", "gnu lesser general public license version 3", "gnu lgpl version 3", "lgpl v3"),
+    "LGPL-3.0-or-later": ("copyleft", "gnu lesser general public license version 3 or later", "lgpl v3 or later"),
+    "AGPL-3.0-only": ("copyleft", "gnu affero general public license version 3", "gnu agpl version 3", "agpl v3", "agplv3"),
+    "AGPL-3.0-or-later": ("copyleft", "gnu affero general public license version 3 or later", "agpl v3 or later"),
+    "MPL-2.0": ("copyleft", "mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0"),
+    "EPL-1.0": ("copyleft", "eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v1 0", "eclipse public license v1 0 which accompanies this distribution"),
+    "EPL-2.0": ("copyleft", "eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license v2 0 which accompanies this distribution", "eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    "CDDL-1.0": ("copyleft", "common development and distribution license version 1 0", "common development and distribution license 1 0"),
+}
+
+#: Other known sentences by identifier, normalised likewise.
 SENTENCES = {
-    "mit-released": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "apache-licensed": "licensed under the apache license version 2 0",
-    "apache-header": "licensed under the apache license version 2 0 the license",
+    "apache-header": "licensed under apache license version 2 0 the license",
     "apache-compliance": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-terms": "see the license for the specific language governing permissions and limitations under the license",
-    "gpl3-work": "this work is licensed under the gnu general public license version 3",
     "gpl3-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
@@ -36,17 +65,32 @@ SENTENCES = {
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl2-form": "this source code form is subject to the terms of the mozilla public license v",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
-    "cc-by-nc-licensed": "licensed under cc by nc 4 0",
-    "cc-by-sa-licensed": "licensed under cc by sa 4 0",
-    "cc-by-licensed": "licensed under cc by 4 0",
-    "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "cc-by-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "asf-header": "licensed to the apache software foundation asf under one or more contributor license agreements",
+    "asf-notice": "see the notice file distributed with this work for additional information regarding copyright ownership",
+    "asf-licenses": "the asf licenses this file to you under the apache license version 2 0 the license",
+    "gpl2-only-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl21-header": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-header": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl3-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "cddl-header": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "artistic2-use": "you are permitted to use the standard version and create and use modified versions for any purpose without restriction provided that you do not distribute the modified version",
+    "cc0-waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "reserved": "all rights reserved",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 only",
-    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+}
+#: One sentence for each way to state a licence: its identifier and its names in plain words, and its SPDX tag.
+SENTENCES |= {
+    f"{how} {licence}#{k}": f"{words} {name}"
+    for licence, (_, *names) in LICENCES.items()
+    for how, words, said in (("states", "licensed under", [re.sub("[^a-z0-9]+", " ", licence.lower()), *names]), ("tag", "spdx license identifier", [re.sub("[^a-z0-9]+", " ", licence.lower())]))
+    for k, name in enumerate(said)
 }
 
 
@@ -69,37 +113,56 @@ RULES = (
     Rule("BSD-2-Clause", "permissive", ("bsd-source", "bsd-binary", "bsd-warranty")),
     Rule("GPL-3.0-or-later", "copyleft", ("gpl3-header",)),
     Rule("GPL-2.0-or-later", "copyleft", ("gpl2-header",)),
-    Rule("GPL-3.0-only", "copyleft", ("gpl3-work",)),
-    Rule("GPL-3.0-only", "copyleft", ("spdx-gpl3",)),
     Rule("MIT", "permissive", ("mit-grant",)),
-    Rule("MIT", "permissive", ("mit-released",)),
-    Rule("MIT", "permissive", ("mit-licensed",)),
-    Rule("MIT", "permissive", ("spdx-mit",)),
     Rule("Apache-2.0", "permissive", ("apache-header",)),
-    Rule("Apache-2.0", "permissive", ("apache-licensed",)),
-    Rule("Apache-2.0", "permissive", ("spdx-apache",)),
-    Rule("BSD-3-Clause", "permissive", ("spdx-bsd3",)),
+    Rule("Apache-2.0", "permissive", ("asf-header", "asf-notice", "asf-licenses", "apache-compliance", "apache-copy", "apache-warranty", "apache-terms")),
+    Rule("Apache-2.0", "permissive", ("asf-licenses",)),
+    Rule("Apache-2.0", "permissive", ("asf-header",)),
+    Rule("GPL-2.0-only", "copyleft", ("gpl2-only-header", "gpl-hope", "gpl-warranty", "gpl-details")),
+    Rule("GPL-2.0-only", "copyleft", ("gpl2-only-header",)),
+    Rule("LGPL-2.1-or-later", "copyleft", ("lgpl21-header", "lgpl-hope", "gpl-warranty", "lgpl-details")),
+    Rule("LGPL-2.1-or-later", "copyleft", ("lgpl21-header",)),
+    Rule("LGPL-3.0-or-later", "copyleft", ("lgpl3-header", "lgpl-hope", "gpl-warranty", "lgpl-details")),
+    Rule("LGPL-3.0-or-later", "copyleft", ("lgpl3-header",)),
+    Rule("AGPL-3.0-or-later", "copyleft", ("agpl3-header", "gpl-hope", "gpl-warranty", "agpl-details")),
+    Rule("AGPL-3.0-or-later", "copyleft", ("agpl3-header",)),
+    Rule("Zlib", "permissive", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    Rule("Zlib", "permissive", ("zlib-grant",)),
+    Rule("BSL-1.0", "permissive", ("boost-grant",)),
+    Rule("CDDL-1.0", "copyleft", ("cddl-header", "apache-compliance")),
+    Rule("CDDL-1.0", "copyleft", ("cddl-header",)),
+    Rule("Artistic-2.0", "permissive", ("artistic2-use",)),
+    Rule("CC0-1.0", "permissive", ("cc0-waived",)),
+    Rule("ISC", "permissive", ("isc-grant", "isc-warranty")),
     Rule("ISC", "permissive", ("isc-grant",)),
     Rule("MPL-2.0", "copyleft", ("mpl2-form",)),
     Rule("Unlicense", "permissive", ("unlicense-domain",)),
-    Rule("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-licensed",)),
-    Rule("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-work",)),
-    Rule("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-licensed",)),
-    Rule("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-work",)),
-    Rule("CC-BY-4.0", "permissive", ("cc-by-licensed",)),
-    Rule("CC-BY-4.0", "permissive", ("cc-by-work",)),
     Rule("all rights reserved", "reserved", ("reserved",)),
+    *(Rule(licence, kind, (k,)) for licence, (kind, *_) in LICENCES.items() for k in SENTENCES if k.startswith((f"states {licence}#", f"tag {licence}#"))),
 )
 KINDS = ("reserved", "noncommercial", "copyleft", "permissive")
 
 _SPACE = r"[\x20\x09-\x0D]"
 #: Where a sentence ends besides line ends: marks before white space or the end.
 _MARKS = rf"[.;!?]+({_SPACE}+|\z)|\x01"
-#: The two cuts of ORACLE_SQL, which counts the better one only.
-_SENTENCE_END = rf"[.;!?]+({_SPACE}+|\z)|\n{_SPACE}*\n"
-_LINE_END = r"\n"
 #: Every known sentence holds one of these within a word, so that a text without any has no known sentence.
-ANCHORS = ("licen", "reserved", "redistribut", "warranty", "permi", "software")
+ANCHORS = ("licen", "reserved", "redistribut", "warranty", "permi", "software", "released", "distributed", "published", "available", "waived")
+
+
+#: Between words of a sentence: every line break stands twice, for a match takes one with each line that it bounds.
+_GAP = r"(?: |\n\n)"
+
+
+def _any_of(sentences: list[str]) -> str:
+    return "|".join(x.replace(" ", _GAP) for x in sorted(sentences, key=len, reverse=True))
+
+
+_ANY_KNOWN = rf"\n(?:{_any_of(list(SENTENCES.values()))})\n"
+#: A stated licence, whatever words it begins with.
+_STATED = (
+    rf"\n(?:(?:[a-z0-9]+ ){{1,7}}(?:is|are){_GAP})?(?:licensed|released|distributed|published|(?:made{_GAP})?available){_GAP}under{_GAP}(?:the{_GAP}terms{_GAP}of{_GAP})?(?:(?:the|a|an){_GAP})?"
+    rf"({_any_of([x.removeprefix('licensed under ') for x in SENTENCES.values() if x.startswith('licensed under ')])})\n"
+)
 
 
 def _known(text: Column) -> Column:
@@ -112,9 +175,9 @@ def _known(text: Column) -> Column:
     pieces = F.regexp_replace(F.regexp_replace(text, _MARKS, "\n"), "[^a-z0-9\n]+", " ")
     pieces = F.concat(F.lit("\n"), F.regexp_replace(pieces, r"[ \n]*\n[ \n]*", "\n"), F.lit("\n"))
     pieces = F.regexp_replace(F.regexp_replace(pieces, r"^\n ", "\n"), r" \n\z", "\n")
-    any_known = "|".join(x.replace(" ", r"[ \n]") for x in sorted(SENTENCES.values(), key=len, reverse=True))
-    found = F.regexp_extract_all(pieces, F.lit(rf"(?<=\n)(?:{any_known})(?=\n)"), F.lit(0))
-    return F.transform(found, lambda s: F.array_position(names, F.replace(s, F.lit("\n"), F.lit(" "))))
+    pieces = F.regexp_replace(F.replace(pieces, F.lit("\n"), F.lit("\n\n")), _STATED, "\nlicensed under $1\n")
+    found = F.regexp_extract_all(pieces, F.lit(_ANY_KNOWN), F.lit(0))
+    return F.transform(found, lambda s: F.array_position(names, F.trim(F.replace(F.replace(s, F.lit("\n\n"), F.lit(" ")), F.lit("\n"), F.lit("")))))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,13 +227,12 @@ def _oracle() -> str:
         steps.append(f"s{i + 1} AS (SELECT r, replace(rest, '{ids}', '|') AS rest, CASE WHEN contains(rest, '{ids}') THEN list_append(found, '{r.licence}') ELSE found END AS found, CASE WHEN contains(rest, '{ids}') THEN list_append(kinds, '{r.kind}') ELSE kinds END AS kinds FROM {before})")
         before = f"s{i + 1}"
     names = ", ".join(f"'{x}'" for x in SENTENCES.values())
-    normal = f"trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
-    cut = lambda end: f"list_filter(list_transform(string_split(regexp_replace(text, '{end}', chr(1), 'g'), chr(1)), lambda s: list_position([{names}], {normal})), lambda k: k > 0)"
     order = " ".join(f"WHEN list_contains(kinds, '{k}') THEN '{k}'" for k in KINDS)
-    return f"""
+    return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, lower(coalesce(text, '')) AS text FROM documents),
-k AS (SELECT doc_id, r, {cut(_SENTENCE_END)} AS a, {cut(_LINE_END)} AS b FROM d),
-n AS (SELECT doc_id, r, CASE WHEN len(b) > len(a) THEN b ELSE a END AS known FROM k),
+p AS (SELECT doc_id, r, regexp_replace(regexp_replace(text, '{_MARKS}', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM d),
+q AS (SELECT doc_id, r, regexp_replace(regexp_replace(chr(10) || regexp_replace(t, '[ \n]*\n[ \n]*', chr(10), 'g') || chr(10), '^\n ', chr(10)), ' \n\z', chr(10)) AS t FROM p),
+n AS (SELECT doc_id, r, list_transform(regexp_extract_all(regexp_replace(replace(t, chr(10), chr(10) || chr(10)), '{_STATED}', chr(10) || 'licensed under \1' || chr(10), 'g'), '{_ANY_KNOWN}'), lambda s: list_position([{names}], trim(replace(replace(s, chr(10) || chr(10), ' '), chr(10), '')))) AS known FROM q),
 s0 AS (SELECT r, array_to_string(list_transform(known, lambda x: '<' || x || '>'), '') AS rest, []::VARCHAR[] AS found, []::VARCHAR[] AS kinds FROM n WHERE len(known) > 0),
 {", ".join(steps)}
 SELECT doc_id, len(known)::BIGINT AS n_sentences, coalesce(array_to_string(list_sort(list_distinct(found)), ';'), '') AS licenses, CASE {order} ELSE 'none' END AS kind, coalesce(length(rest) - length(replace(rest, '<', '')), 0)::BIGINT AS n_unmatched

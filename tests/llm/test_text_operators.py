@@ -95,6 +95,24 @@ def test_licenses_in_comments(spark):
     assert got == {0: (5, "Apache-2.0", 0), 1: (4, "GPL-3.0-or-later", 0), 2: (5, "Apache-2.0", 0), 3: (4, "GPL-3.0-or-later", 0), 4: (1, "MIT", 0), 5: (0, "", 0)}
 
 
+STATED = {
+    "Released" + " " * 1500 + "under the MIT License.": "MIT", "This project is licensed under the terms of the MIT license.": "MIT", "This code is available under the Apache License, Version 2.0": "Apache-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later", "Released under CC0-1.0.": "CC0-1.0", "// Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License v2.0\nwhich accompanies this distribution.": "EPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+    "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0-only", "Licensed under the zlib license": "Zlib", "All rights reserved\nThis work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only;all rights reserved",
+    "1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nAll rights reserved": "all rights reserved",
+    "Licensed under the MIT license that nobody knows": "", "Artistic License 2.0": "",
+}
+
+
+def test_stated_licences_equal_sql(spark):
+    frame = spark.createDataFrame([*enumerate(STATED), (90, _commented(APACHE, " *")), (91, _commented(GPL, "#")), (92, APACHE.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()}
+    assert [got[i] for i in range(len(STATED))] == list(STATED.values()) and got[90] == got[92] == "Apache-2.0" and got[91] == "GPL-3.0-or-later"
+    _same(licenses.scan_licenses(frame), licenses.ORACLE_SQL, documents=frame)
+
+
 CHATS = [
     (1, 0, "system", "s<|im_end|>"), (1, 1, "user", "u"), (1, 2, "assistant", "a <\\| b <\\\\| c <|"), (2, 5, "user", None), (2, 3, None, "x"), (2, None, "user", "first"),
     (3, 0, "assistant", ""), (4, 0, "odd\n%0A<|role", "y"), (4, 0, "user", "tie"), (4, 0, "user", "tie"), (5, 0, "user", "q" * 50_000), (5, 1, "assistant", "é漢\U0001f600<"),
