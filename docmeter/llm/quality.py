@@ -22,9 +22,10 @@ WORDS_PER_SEPARATOR = 4
 SEPARATOR = "|"
 TERMINAL = ".!?:;\"')]…”’»。！？"
 BOILERPLATE = (
-    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "follow us on",
-    "lorem ipsum", "privacy policy", "share this", "sign up for", "skip to content", "subscribe to", "terms of service",
-    "terms of use",
+    "accept cookies", "accepter les cookies", "aceptar cookies", "alle rechte vorbehalten", "all rights reserved", "aviso legal",
+    "click here", "cliquez ici", "cookie policy", "cookies akzeptieren", "enable javascript", "follow us on", "haga clic",
+    "hier klicken", "lorem ipsum", "mentions legales", "nutzungsbedingungen", "privacy policy", "share this", "sign up for", "skip to content", "subscribe to", "terms of service",
+    "terms of use", "todos los derechos reservados",
 )
 
 _SYMBOL = np.zeros(256, bool)
@@ -169,9 +170,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, with their cleaned text and its length."""
-    rows = docs.select(F.struct("doc_id", "text", "lang", "source").alias("d"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    """Documents that are kept, with their cleaned text, its length, and all their other columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    of = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {dict(text='string', n_chars='long').get(c, t)}" for c, t in of.items())
     return rows.mapInArrow(_clean_documents, schema)
 
 
@@ -181,9 +183,10 @@ def _clean_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         got = next(_clean(iter([pa.record_batch([doc["doc_id"], doc["text"]], ["doc_id", "text"])]), True))
         n = {x: got.column(x).to_numpy() for x in COUNTS}
         kept = (n["n_words"] >= LEAST_WORDS) & (100 * n["n_repeat_words"] <= MOST_REPEATED * n["n_words"]) & (100 * n["lost_chars"] <= MOST_LOST * n["word_chars"])
-        text = got.column("clean_text")
-        length = pa.compute.utf8_length(text).cast(pa.int64())
-        yield pa.record_batch([doc["doc_id"], text, doc["lang"], doc["source"], length], ["doc_id", "text", "lang", "source", "n_chars"]).filter(pa.array(kept))
+        doc["text"] = got.column("clean_text")
+        if "n_chars" in doc:
+            doc["n_chars"] = pa.compute.utf8_length(doc["text"]).cast(pa.int64())
+        yield pa.record_batch(list(doc.values()), list(doc)).filter(pa.array(kept))
 
 
 def _sql_text(x: str) -> str:
