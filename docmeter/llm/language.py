@@ -24,7 +24,8 @@ STEP_VALUES = 1 << 20
 LONGEST = 5
 SMOOTHING = 0.1
 UNDETERMINED = "und"
-LEAST_SCORE = 0.5
+#: The pipeline keeps texts with at least this score, and this share of words known in the predicted language.
+LEAST_SCORE, LEAST_KNOWN = 0.5, 0.48
 
 _EDGE = 0x20
 
@@ -168,12 +169,16 @@ def _add(total: np.ndarray, model: Model, order: int, doc: np.ndarray, at: np.nd
         total += np.bincount(cell, weights=model.more[order][i] * np.repeat(weight[own], size), minlength=total.size).reshape(total.shape)
 
 
-def _scores(words: _Words, docs: int, model: Model, index: list[HashIndex]) -> np.ndarray:
+def _scores(words: _Words, docs: int, model: Model, index: list[HashIndex]) -> tuple[np.ndarray, np.ndarray]:
     """Each document's log frequencies, the sums of its words': a word's own if known, else the mean over the longest
-    n-grams of which any is known."""
+    n-grams of which any is known. Then how many of its words each language knows."""
     total = np.zeros((docs, len(model.languages)))
     known = index[0].find(words.hashes())
     hit = np.flatnonzero(known >= 0)
+    start, size = model.start[0][known[hit]], np.diff(model.start[0])[known[hit]]
+    each = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    cell = np.repeat(words.doc[hit], size) * len(model.languages) + model.language[0][each]
+    of_language = np.bincount(cell, minlength=total.size).reshape(total.shape)
     _add(total, model, 0, words.doc[hit], known[hit], np.ones(len(hit)))
     unseen = np.flatnonzero(known < 0)
     grams, left = words.grams(unseen), np.ones(len(unseen), bool)
@@ -186,35 +191,37 @@ def _scores(words: _Words, docs: int, model: Model, index: list[HashIndex]) -> n
         count = np.bincount(word, minlength=len(unseen))
         _add(total, model, n, words.doc[unseen[word]], at, 1 / count[word])
         left &= count == 0
-    return total
+    return total, of_language
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     index, names = model.index(), np.array([*model.languages, UNDETERMINED], object)
     for batch in sliced(batches):
-        best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
+        best, score, familiar = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         for lo, hi, code, bounds in _codes(batch.column(1)) if model.languages else ():
             words = _Words(code, bounds)
-            total = _scores(words, hi - lo, model, index)
+            total, known = _scores(words, hi - lo, model, index)
             share = np.exp(total - total.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
-            some = np.bincount(words.doc, minlength=hi - lo) > 0
+            n_words = np.bincount(words.doc, minlength=hi - lo)
+            some = n_words > 0
             best[lo:hi][some] = share.argmax(axis=1)[some]
+            familiar[lo:hi][some] = known[np.arange(hi - lo), share.argmax(axis=1)][some] / n_words[some]
             score[lo:hi][some] = share.max(axis=1)[some]
-        yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(score)], [batch.schema.names[0], *batch.schema.names[2:], "lang_pred", "score"])
+        yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(familiar)], [batch.schema.names[0], *batch.schema.names[2:], "lang_pred", "score", "known"])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text, one row per input row.
+    """``doc_id, lang_pred, score, known`` of every whole text, one row per input row.
 
     A word is a run of letters, lower-cased. A text's log frequencies are the sums of its words'; ``score`` is the best
-    language's share after exponentiation. Texts that are null or have no letter, and all texts if the model is empty,
+    language's share after exponentiation, ``known`` the share of its words that this language's sample had. Texts that are null or have no letter, and all texts if the model is empty,
     are ``und`` with score 0; ties go to the first language by name. Nothing is shuffled; the model that each task reads
     has at most (LONGEST + 1) * MOST_KEYS keys for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _predicted(batches, shared.value), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(lambda batches: _predicted(batches, shared.value), "doc_id long, lang_pred string, score double, known double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -225,13 +232,14 @@ def held_out(id_col: str = "doc_id"):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known well enough."""
+    """Documents, with all their columns, in a language that was learned: the score tells the best from the others, and
+    the share of known words, which doesn't grow with the text, the learned from the unknown."""
     shared = spark.sparkContext.broadcast(fit(docs.filter(~held_out() & F.col("doc_id").isNotNull())))
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = docs.select("doc_id", "text", F.struct(*columns).alias("d"))
-    found = rows.mapInArrow(lambda batches: _predicted(batches, shared.value), f"doc_id long, d {docs.select(F.struct(*columns).alias('d')).schema['d'].dataType.simpleString()}, lang_pred string, score double")
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("d.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", whole.alias("d"))
+    found = rows.mapInArrow(lambda batches: _predicted(batches, shared.value), f"doc_id long, d {rows.schema['d'].dataType.simpleString()}, lang_pred string, score double, known double")
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & (F.col("known") >= LEAST_KNOWN)).select("d.*")

@@ -1,4 +1,10 @@
+import math
+import random
+import re
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from docmeter.llm import chat, language, licenses, quality
@@ -177,3 +183,45 @@ def test_a_small_language_keeps_its_words(spark, monkeypatch):
     rows = [(i, "alpha beta gamma delta", "big") for i in range(50)] + [(99, "omega sigma", "small")]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.keys[0]) == 6
+
+
+def _language_rows():
+    rng, out = random.Random(3), []
+    for lang, letters in (("aa", "abcdefg"), ("bb", "efghijé"), ("cc", "klmnopq")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+        for _ in range(30):
+            out.append((len(out), " ".join(rng.choice(words).upper() if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randint(0, 40))) + rng.choice(["", " 12!", "x-y", " eeee fffff"]), lang))
+    return out
+
+
+def test_language_equals_plain_python(spark):
+    rows = _language_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if r[0] % 2]
+    model = language.fit(frame.filter("doc_id % 2 = 1"))
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n else [w]
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    count = [{k: Counter(g for _, t, k2 in learned if k2 == k for w in words(t) for g in grams(w, n)) for k in ("aa", "bb", "cc")} for n in range(6)]
+    value = lambda n, g: np.array([math.log((c[g] + language.SMOOTHING) / (c.total() + language.SMOOTHING * language.MOST_KEYS)) for c in count[n].values()])
+    for r in language.predict(frame, model).collect():
+        total, own = np.zeros(3), words(rows[r.doc_id][1])
+        for w in own:
+            for n in (0, 5, 4, 3, 2, 1):
+                found = [g for g in grams(w, n) if any(c[g] for c in count[n].values())]
+                if found:
+                    total += sum(value(n, g) for g in found) / len(found)
+                    break
+        if own:
+            share = np.exp(total - total.max())
+            best = int(total.argmax())
+            assert r.lang_pred == ("aa", "bb", "cc")[best] and abs(r.score - share[best] / share.sum()) < 1e-9
+            assert abs(r.known - np.mean([count[0][r.lang_pred][w] > 0 for w in own])) < 1e-9
+        else:
+            assert (r.lang_pred, r.score, r.known) == ("und", 0, 0)
+
+
+def test_language_stage_keeps_learned_languages_with_all_columns(spark):
+    rows = [(i, t + " " + t, k if k != "cc" else None, "clash", i) for i, t, k in _language_rows() if len(t) > 60]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, known string, n long")
+    got = language.stage(spark, frame, "")
+    assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == {r[0] for r in rows if r[2]}
