@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmeter.llm.workspace import stored
+from docmeter.llm.workspace import fresh_path, stored
 
 SHARDS = 40
 SEED = 20
 #: Rows of one shard that one task puts in order.
 ROWS_PER_PIECE = 50_000
+#: Partitions whose rows of the matrix are written at a time.
+PARTS_AT_ONCE = 4096
 
 
 def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed: int) -> np.ndarray:
@@ -27,12 +29,23 @@ def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed:
     return out
 
 
+def _written(spark: SparkSession, parts: list[int], matrix: np.ndarray) -> DataFrame:
+    """The matrix as a table in the shared folder, written some partitions at a time: its size is in no plan, and Spark
+    picks the join by what the files hold."""
+    path, schema = fresh_path(spark, "shard-matrix"), "array<struct<part int, upto array<bigint>>>"
+    for lo in range(0, max(1, len(parts)), PARTS_AT_ONCE):
+        some = zip(parts[lo : lo + PARTS_AT_ONCE], np.cumsum(matrix[lo : lo + PARTS_AT_ONCE], axis=1).tolist(), strict=True)
+        some = json.dumps([{"part": p, "upto": row} for p, row in some])
+        spark.range(1).select(F.inline(F.from_json(F.lit(some), schema))).write.mode("append").parquet(path)
+    return spark.read.schema("part int, upto array<bigint>").parquet(path)
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All rows with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), uniformly at random.
 
     Shard sizes differ by one at most. The rows' input partitions are stored with a random order each; the driver draws
-    how many rows of each partition go to each shard (numbers only: partitions times shards) and every partition deals
-    out its rows in its random order; each shard then takes its rows in a second random order. No row's content decides
+    how many rows of each partition go to each shard (numbers only: partitions times shards, kept in a table) and every
+    partition deals out its rows in its random order; each shard then takes its rows in a second random order. No row's content decides
     anything, so nulls, ties, repeated rows and clashing column names make no difference and all copies of a text may
     part; an empty table gives an empty one. Columns named like the internal ones survive, for the input travels as
     one struct.
@@ -47,9 +60,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED)
     parts = sorted(counts)
     total = sum(counts.values())
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
-    bounds = json.dumps([{"part": p, "upto": np.cumsum(row).tolist()} for p, row in zip(parts, matrix, strict=True)])
-    bounds = spark.range(1).select(F.inline(F.from_json(F.lit(bounds), "array<struct<part int, upto array<bigint>>>")))
+    bounds = _written(spark, parts, communication_matrix([counts[p] for p in parts], sizes, seed))
 
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first_key", "number"))
     dealt = marked.withColumn("rank", rank).join(bounds, "part")

@@ -137,3 +137,17 @@ def test_pieces_equal_library_on_random_texts():
         data = [t.encode() for t in texts]
         for t, ids in zip(texts, own(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data]))), strict=True):
             assert ids.tolist() == library.encode(t), t
+
+
+def test_shard_query_has_sizes_hashes_and_one_law(spark, sf):
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding.query(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in text.items()} and len(got) == len(text)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(sharding.SHARDS)}
+    assert all(x == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_matrix_is_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS_AT_ONCE", 2)
+    test_shards_have_exact_sizes_and_keep_rows(spark)
