@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmeter.llm.hot import join_by_key
-from docmeter.llm.workspace import stored
+from docmeter.llm.workspace import drop, stored
 
 #: Rounds keep about this many edges in a file, so that small tables aren't spread over as many files as partitions.
 EDGES_A_FILE = 200_000
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = _state(edges)
     while before[0]:
         files = 1 + before[0] // EDGES_A_FILE
-        edges = stored(_small_star(_large_star(edges)).coalesce(files), "edges")
+        last, edges = edges, stored(_small_star(_large_star(edges)).coalesce(files), "edges")
+        drop(last)
         now = _state(edges)
         if now == before:
             break

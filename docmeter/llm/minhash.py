@@ -14,7 +14,7 @@ from docmeter.llm.components import connected_components
 from docmeter.llm.grouped import forest, group_bounds, whole_groups
 from docmeter.llm.hot import join_by_key
 from docmeter.llm.textbytes import SPACE, SpanHasher, mixed, sliced, spans, steps, text_buffers, word_sequences
-from docmeter.llm.workspace import stored
+from docmeter.llm.workspace import drop, stored
 
 WORDS = 5
 #: Links have 100 * |A & B| >= PERCENT * |A | B|.
@@ -211,7 +211,9 @@ def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, se
     pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     dense = rows.join(found.filter("a is null").select("key", "i", "j"), ["key", "i", "j"], "left_semi")
     dense = together(dense.join(sets, "doc_id")).select("key", "i", "j", "block", "doc_id", "component", "shingles")
-    return _verify(pairs, sets).unionAll(dense.mapInArrow(_dense_links, "a long, b long"))
+    links = stored(_verify(pairs, sets).unionAll(dense.mapInArrow(_dense_links, "a long, b long")), "minhash-links")
+    drop(rows, found)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,8 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.select("doc_id").distinct()
     sets = stored(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary").dropDuplicates(["doc_id", "set_a"]), "minhash-sets", compression="none")
     links = stored(_verify(stars, sets), "minhash-links")
-    more = stored(_links_across(buckets, connected_components(links), classes, sets), "minhash-links")
+    more = _links_across(buckets, connected_components(links), classes, sets)
     labels = connected_components(links.unionAll(more))
+    drop(buckets, stars, sets, links, more)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     out = join_by_key(sketches.select("doc_id", "n_shingles", "set_a", "set_b", _ROW), named, ["set_a", "set_b", "n_shingles"], [_ROW], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

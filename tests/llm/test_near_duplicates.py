@@ -104,7 +104,7 @@ def _vectors():
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 8}, {"paired_from": 3, "vectors_a_pivot": 1}])
+@pytest.mark.parametrize("options", [{}, {"blocks": (8, 8)}, {"paired_from": 3, "vectors_a_pivot": 1}])
 def test_pivots_equal_all_pairs(spark, options):
     rows = _vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, pivots string")
@@ -159,7 +159,7 @@ def test_pivots_find_all_of_a_group_that_is_half_the_table(spark, monkeypatch, c
     monkeypatch.setattr(pivots, "CROWDED", crowded)  # inf: by pivot lists only
     x = _crowded(1200, 64)
     frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame, block=256).collect()}
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(frame, blocks=(256, 256)).collect()}
     want = _link_counts(x)
     assert sum(want) > 300_000 and [got[i] for i in range(len(x))] == want
 
