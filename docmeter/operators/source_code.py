@@ -1,7 +1,7 @@
 """Source programs to rows: clean lines, divisions, sections, paragraphs, statements, fields, calls, jumps and rules.
 
-A program is a row with ``program`` and ``source``. Line work happens inside the row's array of lines; the gaps-and-islands
-windows are partitioned by program, so that no group is larger than one source file.
+A program is a row with ``program`` and ``source``. Divisions, sections, paragraphs and statements are cut inside the row's
+array of lines, without a shuffle; numbers and graphs are grouped by program, so no group is larger than one source file.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmeter.functions.text import as_column, lines
+from docmeter.functions.text import as_column, let, lines
 
 # Words and patterns of the source language.
 VERBS = (
@@ -97,40 +97,46 @@ def clean_lines(source: str | Column) -> Column:
     return F.when(free_format(source), F.transform(lines(source), free)).otherwise(F.transform(lines(source), fixed))
 
 
-def program_lines(programs: DataFrame) -> DataFrame:
-    """``program, line_no`` (from 0), ``line, division`` (of the last header at or before the line)."""
-    rows = programs.select("program", F.posexplode(clean_lines("source")).alias("line_no", "line"))
-    head = F.upper(F.regexp_extract("line", r"(?i)^\s*(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION", 1))
-    past = Window.partitionBy("program").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("division", F.last(F.when(head != "", head), ignorenulls=True).over(past))
+def _blocks(rows: Column, name, first_line: Column) -> Column:
+    """Blocks of lines that begin where ``name`` of a line is not null: array of ``name, start_line, end_line, content``."""
+    heads = F.filter(F.transform(rows, lambda x, i: F.when(name(x).isNotNull(), F.struct(name(x).alias("name"), i.alias("at")))), lambda h: h.isNotNull())
 
+    def block(hs: Column, h: Column, j: Column) -> Column:
+        after = F.coalesce(F.get(hs, j + 1)["at"], F.size(rows))
+        return F.struct(h["name"].alias("name"), (first_line + h["at"]).alias("start_line"), (first_line + after - 1).alias("end_line"), F.array_join(F.slice(rows, h["at"] + 1, after - h["at"]), "\n").alias("content"))
+
+    return let(heads, lambda hs: F.transform(hs, lambda h, j: block(hs, h, j)))
 
-def _islands(rows: DataFrame, name: Column, key: list[str]) -> DataFrame:
-    """Blocks that begin at rows with a name: ``name, start_line, end_line, content``."""
-    past = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", name).withColumn("block", F.sum(F.when(F.col("head").isNotNull(), 1).otherwise(0)).over(past)).filter("block > 0")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    out = rows.groupBy(*key, "block").agg(F.max("head").alias("name"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"))
-    return out
+
+def _found(line: Column, pattern: str) -> Column:
+    return F.upper(F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")))
 
 
 def divisions(programs: DataFrame) -> DataFrame:
-    rows = program_lines(programs)
-    head = F.upper(F.regexp_extract("line", r"(?i)^\s*(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION", 1))
-    return _islands(rows, F.when(head != "", head), ["program"])
+    """``program, name, start_line, end_line, content`` (lines from 0); of divisions of one name the last counts."""
+    head = lambda x: _found(x, r"(?i)^\s*(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION")
+    blocks = let(clean_lines("source"), lambda rows: _blocks(rows, head, F.lit(0)))
+    last = let(blocks, lambda bs: F.filter(bs, lambda b, i: ~F.exists(F.slice(bs, i + 2, F.size(bs)), lambda c: c["name"] == b["name"])))
+    return programs.select("program", F.inline(last))
+
+
+def _within(divisions_: DataFrame, name, *keep: Column) -> DataFrame:
+    return divisions_.select("program", *keep, F.inline(let(lines("content"), lambda rows: _blocks(rows, name, F.col("start_line")))))
 
 
 def sections(programs: DataFrame) -> DataFrame:
-    head = F.upper(F.regexp_extract("line", r"(?i)^\s*([A-Z0-9-]+)\s+SECTION\b", 1))
-    return _islands(program_lines(programs).filter("division is not null"), F.when(head != "", head), ["program", "division"])
+    """Blocks under ``NAME SECTION`` within each division."""
+    return _within(divisions(programs), lambda x: _found(x, r"(?i)^\s*([A-Z0-9-]+)\s+SECTION\b"), F.col("name").alias("division"))
 
 
 def paragraphs(programs: DataFrame) -> DataFrame:
     """Blocks of the procedure division under ``NAME.`` lines whose name doesn't begin like a verb or with ``END-``."""
-    rows = program_lines(programs).filter("division = 'PROCEDURE'")
-    name = F.upper(F.regexp_extract("line", r"^\s*([A-Za-z][A-Za-z0-9-]*)\.\s*$", 1))
-    is_head = (name != "") & ~name.rlike(f"^(?:{'|'.join(VERBS)}|END-)") & ~F.upper("line").contains("PROCEDURE DIVISION")
-    return _islands(rows, F.when(is_head, name), ["program"])
+
+    def head(x: Column) -> Column:
+        name = _found(x, r"^\s*([A-Za-z][A-Za-z0-9-]*)\.\s*$")
+        return F.when(~name.rlike(f"^(?:{'|'.join(VERBS)}|END-)") & ~F.upper(x).contains("PROCEDURE DIVISION"), name)
+
+    return _within(divisions(programs).filter("name = 'PROCEDURE'"), head)
 
 
 def statements(paragraphs_: DataFrame) -> DataFrame:
@@ -241,7 +247,8 @@ def picture_bytes(picture: str | Column, usage: str | Column) -> Column:
 
 def data_fields(programs: DataFrame) -> DataFrame:
     """Fields of the data division with level, picture, occurs, redefines, value, and the nearest field above of a smaller level."""
-    rows = program_lines(programs).filter("division = 'DATA'")
+    rows = divisions(programs).filter("name = 'DATA'").select("program", "start_line", F.posexplode(lines("content")).alias("at", "line"))
+    rows = rows.withColumn("line_no", F.col("start_line") + F.col("at"))
     line = F.upper("line")
     part = lambda p, g=1: F.nullif(F.regexp_extract(line, p, g), F.lit(""))
     fields = rows.select("program", "line_no", part(r"^\s*(\d{2})\s+[A-Z0-9-]+").cast("int").alias("level"), part(r"^\s*\d{2}\s+([A-Z0-9-]+)").alias("name"), part(r"\bPIC(?:TURE)?\s+(?:IS\s+)?([^\s]+?)\.?(?:\s|$)").alias("picture"), part(r"\bOCCURS\s+(\d+)").cast("int").alias("occurs"), part(r"\bREDEFINES\s+([A-Z0-9-]+)").alias("redefines"), part(r"\b(COMP-3|COMP|BINARY|PACKED-DECIMAL)\b").alias("usage"), part(r"\bVALUES?\s+(?:IS\s+)?(.+?)\.?\s*$").alias("value"))
