@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmeter.operators import behaviour
 from docmeter.operators import ground_truth as gt
+from docmeter.operators import scoring, verifier
 from docmeter.operators import source_code as sc
 from docmeter.plans.programs import FIXED_LINES, HEAD_LINES, STEPS_SQL, TEXTS_SQL, programs
 from docmeter.registry import fixed, query, sql_fixed
@@ -199,3 +200,66 @@ def g38(spark, sf_dir):
 def g6(spark, sf_dir):
     rows = programs(spark, sf_dir)
     return behaviour.call_coverage(behaviour.external_calls(rows), rows, "program", "document").select("program", "total", "matched")
+
+
+# Claims held against code
+
+_CLAIMS = (
+    ("calculation", "'WS-FLD-' || CAST(1 + program % n AS STRING)", "'WS-FLD-1'", "''"), ("conditional", "NULL", "'WS-FLD-' || CAST(1 + program % n AS STRING)", "'moves one to a flag'"), ("assignment", "'WS-FLAG'", "'WS-X'", "''"),
+    ("error", "'WS-EOF'", "NULL", "''"), ("range", "'WS-FLD-' || CAST(1 + program % n AS STRING)", "NULL", "''"), ("other", "'WS-AREA'", "'WS-NONE'", "''"), ("conditional", "NULL", "'WS-CODE'", "'shows a warning'"), ("calculation", "'WS-NONE'", "NULL", "''"), ("calculation", "NULL", "'WS-AREA'", "''"),
+)
+
+
+def program_claims(spark, sf_dir):
+    """A claim of each kind for every program."""
+    rows = programs(spark, sf_dir)
+    claim = lambda i, c: F.struct(F.lit(i).alias("claim_id"), F.lit(c[0]).alias("claim_type"), F.lit("a claim").alias("text"), F.expr(c[1]).cast("string").alias("output_var"), F.filter(F.array(F.expr(c[2]).cast("string")), lambda v: v.isNotNull()).alias("input_vars"), F.expr(c[3]).alias("action"))
+    return rows.select("program", F.inline(F.array(*[claim(i, c) for i, c in enumerate(_CLAIMS)])))
+
+
+_VERDICTS = """k AS (SELECT program, n, 1 + program % n AS k, (program + 1 + program % n) % 10 AS kind, (program + 1) % 10 AS first FROM p),
+x AS (SELECT k.program, k.kind, k.first, bool_or(s.kind = 1) AS flag, bool_or(s.kind = 6) AS eof, bool_or(s.kind = 2) AS code FROM k JOIN s USING (program) GROUP BY ALL),
+v AS (SELECT program, unnest([
+  {claim_id: 0, status: CASE WHEN kind = 0 THEN 'verified' ELSE 'partial' END, confidence: CASE kind WHEN 0 THEN 1.0e0 WHEN 9 THEN 0.5e0 ELSE 0.3e0 END},
+  {claim_id: 1, status: CASE WHEN kind = 1 THEN 'verified' ELSE 'partial' END, confidence: CASE kind WHEN 1 THEN 1.0e0 ELSE 0.3e0 END},
+  {claim_id: 2, status: CASE WHEN flag THEN 'partial' ELSE 'failed' END, confidence: CASE WHEN flag THEN 0.7e0 ELSE 0.0e0 END},
+  {claim_id: 3, status: CASE WHEN eof THEN 'partial' ELSE 'unverified' END, confidence: CASE WHEN eof THEN 0.5e0 ELSE 0.2e0 END},
+  {claim_id: 4, status: 'partial', confidence: CASE kind WHEN 1 THEN 0.6e0 ELSE 0.3e0 END},
+  {claim_id: 5, status: 'partial', confidence: 0.3e0},
+  {claim_id: 6, status: CASE WHEN code THEN 'partial' ELSE 'failed' END, confidence: CASE WHEN code THEN 0.6e0 ELSE 0.0e0 END},
+  {claim_id: 7, status: 'failed', confidence: 0.0e0},
+  {claim_id: 8, status: 'partial', confidence: 0.4e0}], recursive := true) FROM x)"""
+
+
+def _verified(spark, sf_dir):
+    rows = programs(spark, sf_dir)
+    return verifier.verified_claims(program_claims(spark, sf_dir), rows, sc.paragraphs(rows))
+
+
+@query("g24_code_verdicts", f"{_S}, {_VERDICTS} SELECT program, claim_id, status, confidence FROM v")
+def g24(spark, sf_dir):
+    return _verified(spark, sf_dir).drop("method")
+
+
+@query("g31_code_scores", f"{_S}, {_VERDICTS}, c AS (SELECT program, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) AS claims FROM v GROUP BY program) SELECT program, verified, partial, claims, {sql_fixed('least(1.0e0, (verified + 0.5e0 * partial) / 6.0e0)')} AS score FROM c")
+def g31(spark, sf_dir):
+    count = lambda x: F.count_if(F.col("status") == x).alias(x)
+    rows = _verified(spark, sf_dir).groupBy("program").agg(count("verified"), count("partial"), F.count("*").alias("claims"))
+    return rows.withColumn("score", fixed(scoring.hybrid_claim_score(F.col("verified"), F.col("partial"), F.col("claims"))))
+
+
+@query("g32_computations", f"{_S} SELECT program, CASE kind WHEN 1 THEN 'WS-FLAG' WHEN 3 THEN 'WS-TOTAL' WHEN 6 THEN 'WS-EOF' ELSE 'WS-FLD-' || k END AS variable, CASE kind WHEN 0 THEN 'compute' WHEN 3 THEN 'add' ELSE 'move' END AS operation, CASE kind WHEN 0 THEN 'WS-FLD-1' WHEN 3 THEN 'WS-FLD-' || k ELSE '' END AS operands FROM s WHERE kind IN (0, 1, 3, 6, 9)")
+def g32(spark, sf_dir):
+    return verifier.computations(programs(spark, sf_dir)).withColumn("operands", F.array_join("operands", ","))
+
+
+@query("g34_conditionals", f"{_S}, e AS (SELECT program, list_distinct(flatten(list(CASE kind WHEN 0 THEN ['compute'] WHEN 1 THEN ['move'] WHEN 2 THEN ['perform'] WHEN 3 THEN ['compute'] WHEN 4 THEN ['call'] WHEN 5 THEN ['call'] WHEN 6 THEN ['read', 'move'] WHEN 9 THEN ['move'] ELSE [] END))) AS first FROM s WHERE k = 1 GROUP BY program) SELECT program, CASE kind WHEN 1 THEN 'WS-FLD-' || k ELSE 'WS-CODE' END AS variable, CASE kind WHEN 1 THEN 'if_greater' ELSE 'if_equals' END AS type, CASE kind WHEN 1 THEN 'move' ELSE array_to_string(list_sort(list_distinct(list_append(CASE WHEN k > 1 THEN first ELSE first END, 'perform'))), ',') END AS deep FROM s JOIN e USING (program) WHERE kind IN (1, 2)")
+def g34(spark, sf_dir):
+    rows = programs(spark, sf_dir)
+    found = verifier.deep_conditionals(verifier.conditionals(rows), verifier.paragraph_actions(sc.paragraphs(rows)))
+    return found.select("program", "variable", "type", F.array_join(F.array_sort("deep_actions"), ",").alias("deep"))
+
+
+@query("g42_usages", f"{_T} SELECT program, array_to_string(list_filter(range(1, len(string_split(source, chr(10))) + 1), lambda i: regexp_matches(string_split(source, chr(10))[i], '\\bWS-FLD-1\\b')), ',') AS lines, contains(source, 'WS-FLAG') AS flag FROM t")
+def g42(spark, sf_dir):
+    return programs(spark, sf_dir).select("program", F.array_join(verifier.usage_lines("source", F.lit("WS-FLD-1")), ",").alias("lines"), verifier.variable_exists("source", F.lit("ws-flag")).alias("flag"))
