@@ -326,6 +326,6 @@ def s1(spark, sf_dir):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-from docmeter import queries_programs, queries_scores  # noqa: E402, F401  (register their queries)
+from docmeter import queries_programs, queries_reports, queries_scores  # noqa: E402, F401  (register their queries)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
