@@ -50,6 +50,18 @@ def plain(text: str | Column, unicode: bool = True) -> Column:
     return F.regexp_replace(F.coalesce(as_column(text), F.lit("")), f"[^{_word_class(unicode)}{_SPACE}.]", " ")
 
 
+def syllable_sum(low: Column) -> Column:
+    """Syllables of all words of a lower-case text, by counts over the whole text instead of word by word.
+
+    Vowel runs never cross words. Words of up to three characters count once and are taken out first; of the others, a
+    final e counts nothing if another run stands before it, a consonant and ``le`` once more, and no vowel at all once.
+    """
+    short = r"(?<!\S)\S{1,3}(?!\S)"
+    n = lambda t, p: F.regexp_count(t, F.lit(p))
+    of_long = lambda t: n(t, "[aeiou]+") - n(t, r"[aeiou]\S*[^aeiou\s][aeiou]*e(?!\S)") + n(t, r"[^aeiou\s]le(?!\S)") + n(t, r"(?<!\S)[^aeiou\s]+(?!\S)")
+    return n(low, short) + let(F.regexp_replace(low, short, ""), of_long)
+
+
 def readability(text: str | Column, lexicon: Lexicon | None = None, unicode: bool = True) -> Column:
     """Struct of ``words, sentences, syllables, grade`` (Flesch-Kincaid, in 0 to 20) and ``score``.
 
@@ -57,13 +69,17 @@ def readability(text: str | Column, lexicon: Lexicon | None = None, unicode: boo
     texts without words have .5.
     """
     lexicon = lexicon or Lexicon()
-    own = words(plain(text, unicode))
     low, high = lexicon.grade_range
-    counts = F.struct(F.size(own).alias("words"), F.greatest(F.lit(1), F.regexp_count(plain(text, unicode), F.lit("[.]+"))).alias("sentences"), F.aggregate(own, F.lit(0), lambda n, w: n + syllables(w)).alias("syllables"))
-    base = F.transform(F.array(counts), lambda c: F.struct(c["words"].alias("words"), c["sentences"].alias("sentences"), c["syllables"].alias("syllables"), F.greatest(F.lit(0.0), F.least(F.lit(20.0), 0.39 * c["words"] / c["sentences"] + 11.8 * c["syllables"] / F.greatest(F.lit(1), c["words"]) - 15.59)).alias("grade")))
     away = lambda g: F.greatest(F.lit(0.0), F.lit(low) - g, g - F.lit(high))
-    scored = F.transform(base, lambda c: F.struct(c["words"].alias("words"), c["sentences"].alias("sentences"), c["syllables"].alias("syllables"), c["grade"].alias("grade"), F.when(c["words"] == 0, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - away(c["grade"]) * lexicon.grade_penalty)).alias("score")))
-    return scored[0]
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    counts = lambda t: F.struct(count(t, r"\S+").alias("words"), F.greatest(F.lit(1), count(t, "[.]+")).alias("sentences"), syllable_sum(t).alias("syllables"))
+
+    def scored(c: Column) -> Column:
+        grade = F.greatest(F.lit(0.0), F.least(F.lit(20.0), 0.39 * c["words"] / c["sentences"] + 11.8 * c["syllables"] / F.greatest(F.lit(1), c["words"]) - 15.59))
+        of_grade = lambda g: F.struct(c["words"].alias("words"), c["sentences"].alias("sentences"), c["syllables"].alias("syllables"), g.alias("grade"), F.when(c["words"] == 0, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - away(g) * lexicon.grade_penalty)).alias("score"))
+        return let(grade, of_grade)
+
+    return let(F.lower(plain(text, unicode)), lambda t: let(counts(t), scored))
 
 
 def section_share(text: str | Column, sections: dict[str, str]) -> Column:
@@ -84,16 +100,24 @@ def line_citations(text: str | Column, source_lines: Column | None = None) -> Co
     number = lambda s: F.when(F.length(s) > 9, F.lit(999_999_999)).otherwise(F.try_to_number(F.lpad(s, 9, "0"), F.lit("999999999")).cast("int"))
     spans = F.transform(ends, lambda e: F.struct(number(e["a"]).alias("lo"), number(F.when(e["b"] == "", e["a"]).otherwise(e["b"])).alias("hi")))
     known = source_lines if source_lines is not None else F.lit(0)
-    inside = lambda e: F.when(known > 0, e["lo"].between(1, known) & e["hi"].between(1, known)).otherwise((e["lo"] < 10_000) & (e["hi"] < 10_000))
-    counted = F.when(known > 0, F.size(spans)).otherwise(F.size(F.filter(spans, inside)))
-    valid = F.size(F.filter(spans, inside))
-    return F.struct(counted.alias("citations"), valid.alias("valid"), F.when(counted > 0, valid / counted).otherwise(0.5).alias("score"))
+    inside = lambda e, n: F.when(n > 0, e["lo"].between(1, n) & e["hi"].between(1, n)).otherwise((e["lo"] < 10_000) & (e["hi"] < 10_000))
+
+    def counted(x: Column) -> Column:
+        valid = F.size(F.filter(x["spans"], lambda e: inside(e, x["known"])))
+        return F.struct(F.when(x["known"] > 0, F.size(x["spans"])).otherwise(valid).alias("citations"), valid.alias("valid"))
+
+    scored = lambda c: F.struct(c["citations"].alias("citations"), c["valid"].alias("valid"), F.when(c["citations"] > 0, c["valid"] / c["citations"]).otherwise(0.5).alias("score"))
+    return let(let(F.struct(spans.alias("spans"), known.alias("known")), counted), scored)
 
 
 def term_counts(text: str | Column, terms: tuple[str, ...]) -> Column:
-    """Whole-word occurrences of all terms together in the lower-cased text; terms may overlap each other."""
-    low = F.lower(F.coalesce(as_column(text), F.lit("")))
-    return reduce(add, [F.regexp_count(low, F.lit(rf"(?<!\w){re.escape(t)}(?!\w)")) for t in terms])
+    """Whole-word occurrences of all terms together in the lower-cased text; terms may overlap each other.
+
+    Terms of one word never do, so that one expression counts all of them.
+    """
+    one = [re.escape(t) for t in terms if re.fullmatch(r"\w+", t)]
+    patterns = [re.escape(t) for t in terms if not re.fullmatch(r"\w+", t)] + (["(?:" + "|".join(dict.fromkeys(one)) + ")"] if one else [])
+    return let(F.lower(F.coalesce(as_column(text), F.lit(""))), lambda low: reduce(add, [F.regexp_count(low, F.lit(rf"(?<!\w){p}(?!\w)")) for p in patterns]))
 
 
 def terms_present(text: str | Column, terms: tuple[str, ...]) -> Column:
@@ -104,9 +128,9 @@ def terms_present(text: str | Column, terms: tuple[str, ...]) -> Column:
 def abstraction(text: str | Column, lexicon: Lexicon | None = None) -> Column:
     """Struct of ``why, what, score``: the share of why-terms over its target, at most 1; .5 without any term."""
     lexicon = lexicon or Lexicon()
-    why, what = term_counts(text, lexicon.why), term_counts(text, lexicon.what)
-    score = F.when(why + what == 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(why, why + what) / lexicon.target_why_share))
-    return F.struct(why.alias("why"), what.alias("what"), score.alias("score"))
+    counts = F.struct(term_counts(text, lexicon.why).alias("why"), term_counts(text, lexicon.what).alias("what"))
+    score = lambda c: F.when(c["why"] + c["what"] == 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(c["why"], c["why"] + c["what"]) / lexicon.target_why_share))
+    return let(counts, lambda c: F.struct(c["why"].alias("why"), c["what"].alias("what"), score(c).alias("score")))
 
 
 def presence_share(text: str | Column, why: tuple[str, ...], what: tuple[str, ...]) -> Column:
@@ -170,12 +194,6 @@ def headings(text: str | Column) -> Column:
     return F.regexp_extract_all(as_column(text), F.lit(r"(?m)^#+[ \t]+(.+)$"), 1)
 
 
-def length_score(n_words: Column, least_pages: int = 1, words_a_page: int = 500) -> Column:
-    """Piecewise in words over the least expected: half up to .5, then linear to 1; a little less when far over."""
-    share = n_words / float(least_pages * words_a_page)
-    return F.when(share >= 3, 0.9).when(share >= 1, 1.0).when(share >= 0.5, 0.5 + (share - 0.5)).otherwise(share)
-
-
 def indicator_density(text: str | Column, patterns: tuple[str, ...], few: int = 5, full: int = 12) -> Column:
     """0 without an indicator, n/5 up to five, then n/12 but at most 1."""
     n = reduce(add, [F.regexp_count(F.lower(as_column(text)), F.lit(p)) for p in patterns])

@@ -48,13 +48,6 @@ def output_score(stdout: Column, files: Column, stderr: Column) -> Column:
     return 0.5 * stdout + 0.4 * files + 0.1 * stderr
 
 
-def file_maps(left: Column, right: Column) -> Column:
-    """Share of the left's files that the right has with equal normal content."""
-    names = F.map_keys(left)
-    equal = F.filter(names, lambda n: normal_output(left[n]) == normal_output(right[n]))
-    return F.when(F.size(names) == 0, 1.0).otherwise(F.size(equal) / F.size(names))
-
-
 def batch(compared: DataFrame, group: str, similarity: str = "similarity", error: str = "error", least: float = 0.95) -> DataFrame:
     """Matches over all tests of a group, and the critical failures of the batch."""
     match = ~F.col(error) & (F.col(similarity) >= least)

@@ -102,6 +102,6 @@ def behavioural_score(claims: Column, classes: dict[str, tuple[Column, Column]],
 
 
 def weighted_coverage(rows: DataFrame, group: str, priority: Column, hit: Column) -> DataFrame:
-    """Share of hits by group, critical ones weighted 3, important 2, others 1."""
-    weight = F.when(priority == "CRITICAL", 3).when(priority == "IMPORTANT", 2).otherwise(1)
+    """Share of hits by group, critical ones weighted 3, trivial ones 1, all others 2."""
+    weight = F.when(priority == "CRITICAL", 3).when(priority == "TRIVIAL", 1).otherwise(2)
     return rows.groupBy(group).agg((F.sum(weight * hit.cast("int")) / F.sum(weight)).alias("coverage"))

@@ -122,11 +122,11 @@ def round_robin(candidates: DataFrame, targets: dict[str, int], tier: str = "tie
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def representative(tasks: DataFrame, limit: int, tier: str = "tier", key: str = "task_id") -> DataFrame:
-    """One of each tier first, then the rest tier by tier, up to a limit."""
+def representative(tasks: DataFrame, limit: int, tier: str = "tier", key: str = "task_id", offset: int = 0) -> DataFrame:
+    """One of each tier first, then the rest tier by tier: ``limit`` rows from ``offset`` on."""
     first = F.row_number().over(Window.partitionBy(tier).orderBy(key))
     rows = tasks.withColumn("nth", first)
-    return rows.orderBy((F.col("nth") > 1).cast("int"), tier, "nth").limit(limit)
+    return rows.orderBy((F.col("nth") > 1).cast("int"), tier, "nth").offset(offset).limit(limit)
 
 
 def free_numbers(rows: DataFrame, taken: DataFrame, tier: str = "tier", order: str = "score", start: int = 1) -> DataFrame:

@@ -11,7 +11,12 @@ from docmeter.lexicons import CORPUS, Lexicon
 
 
 def scored_documents(docs: DataFrame, lexicon: Lexicon = CORPUS, unicode: bool = False) -> DataFrame:
-    """Documents with their four scores and ``dq``; a document is scored against its own number of lines."""
+    """Documents with their four scores and ``dq``; a document is scored against its own number of lines.
+
+    Documents that come in fewer parts than there are cores, as from a file of one row group, are dealt out before the work.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
     parts = document_quality("text", F.size(F.split("text", "\n")), lexicon, unicode=unicode)
     total = parts.pop("dq")
     return docs.withColumns(parts).withColumn("dq", total)

@@ -50,6 +50,18 @@ def _document(each) -> str:
     ])
 
 
+BASIC_STATEMENTS = (
+    "'  TOTAL = QTY * PRICE'", "'  IF QTY > 10 THEN CALL BIGORD'", "'  CALL SUBR' || CAST(k AS STRING)", "'  EXECUTE \"LIST ORDERS\"'", "'  OPEN FILE TO F'", "'  BEGIN CASE'", "'  ON ERROR GOTO STEP1'", "'  X = A + B; Y = 2'",
+)
+
+
+def _basic(each) -> str:
+    kind = f"((o_orderkey + k) % {len(BASIC_STATEMENTS)})"
+    statement = f"CASE {kind} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(BASIC_STATEMENTS)) + " END"
+    parts = [f"'* totals of ' || {_NUMBER}", "'DIM TOTALS(10,2)'", "'DIM totals(5)'", "'MAIN:'", each("'  GOSUB STEP' || CAST(k AS STRING)"), "'  RETURN'", each(f"'STEP' || CAST(k AS STRING) || ':' || chr(10) || {statement} || chr(10) || '  RETURN'")]
+    return " || chr(10) || ".join(parts)
+
+
 def _spark_each(line: str) -> str:
     return f"array_join(transform(sequence(1, cast({STEPS} AS int)), k -> {line}), chr(10))"
 
@@ -67,3 +79,13 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``program, n, source, document`` for every order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.selectExpr("o_orderkey AS program", f"{STEPS} AS n", f"{_source(_spark_each)} AS source", f"{_document(_spark_each)} AS document")
+
+
+#: Like STEPS_SQL, with the statement kinds of the second language.
+BASIC_SQL = f"p AS (SELECT o_orderkey AS program, {STEPS} AS n FROM orders), s AS (SELECT program, n, k, (program + k) % {len(BASIC_STATEMENTS)} AS kind, 6 + n + 3 * (k - 1) AS label FROM (SELECT program, n, unnest(range(1, n + 1)) AS k FROM p))"
+
+
+def basic_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``program, n, source`` in the second language for every order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.selectExpr("o_orderkey AS program", f"{STEPS} AS n", f"{_basic(_spark_each)} AS source")

@@ -283,16 +283,6 @@ def k14(spark, sf_dir):
 # Rows in order, ranges and streams
 
 
-@query(
-    "c31_containing_order",
-    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS lo, o_orderdate + INTERVAL 60 DAY AS hi FROM orders) SELECT a.o_orderkey, min(b.o_orderkey) AS first_open, count(*) AS n_open FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.lo BETWEEN b.lo AND b.hi GROUP BY a.o_orderkey""",
-)
-def c31(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("lo"))
-    other = orders.select("o_custkey", F.col("o_orderkey").alias("open"), F.col("lo").alias("from"), F.expr("lo + interval 60 days").alias("to"))
-    return orders.join(other, "o_custkey").filter("lo between from and to").groupBy("o_orderkey").agg(F.min("open").alias("first_open"), F.count("*").alias("n_open"))
-
-
 @query("a25_merged_conversations", "SELECT conv_id, count(*) AS parts, length(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS n_chars, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id")
 def a25(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
@@ -326,6 +316,6 @@ def s1(spark, sf_dir):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-from docmeter import queries_programs, queries_reports, queries_scores  # noqa: E402, F401  (register their queries)
+from docmeter import queries_boards, queries_programs, queries_reports, queries_scores, queries_second  # noqa: E402, F401  (register their queries)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from docmeter.operators import behaviour
 from docmeter.operators import ground_truth as gt
+from docmeter.operators import evaluation as ev
 from docmeter.operators import scoring, verifier
 from docmeter.operators import source_code as sc
+from docmeter.plans.evaluation import evaluated
 from docmeter.plans.programs import FIXED_LINES, HEAD_LINES, STEPS_SQL, TEXTS_SQL, programs
 from docmeter.registry import fixed, query, sql_fixed
 
@@ -263,3 +265,42 @@ def g34(spark, sf_dir):
 @query("g42_usages", f"{_T} SELECT program, array_to_string(list_filter(range(1, len(string_split(source, chr(10))) + 1), lambda i: regexp_matches(string_split(source, chr(10))[i], '\\bWS-FLD-1\\b')), ',') AS lines, contains(source, 'WS-FLAG') AS flag FROM t")
 def g42(spark, sf_dir):
     return programs(spark, sf_dir).select("program", F.array_join(verifier.usage_lines("source", F.lit("WS-FLD-1")), ",").alias("lines"), verifier.variable_exists("source", F.lit("ws-flag")).alias("flag"))
+
+
+# Full evaluation
+
+_EVALUATED = f"""
+x AS (SELECT program, n, program % 2 = 0 AS even, count(*) FILTER (WHERE kind <= 1) AS high, count(*) FILTER (WHERE kind = 2) AS mid, count(*) FILTER (WHERE kind = 3) AS low, count(*) FILTER (WHERE kind <= 2) AS pure,
+  count(*) FILTER (WHERE kind = 4) AS static, count(*) FILTER (WHERE kind = 4 AND program % 7 = k) AS static_hit, count(*) FILTER (WHERE kind = 6) AS reads, count(*) FILTER (WHERE kind = 6 AND (program % 2 = 0 OR program % 3 = 0 OR program % 9 = k)) AS reads_hit,
+  count(*) FILTER (WHERE kind IN (4, 5, 6, 8)) AS calls, count(*) FILTER (WHERE (kind = 4 AND program % 7 = k) OR (kind = 6 AND program % 3 = 0)) AS matched, CASE WHEN program % 2 = 0 THEN n ELSE 0 END + (program % 5 = 0)::INT AS claims FROM s GROUP BY program, n),
+y AS (SELECT *, CASE WHEN high + mid + low = 0 THEN 1e0 WHEN even THEN (3 * high + low) / (3 * high + 2 * mid + low) ELSE 0e0 END AS rules, (CASE WHEN even THEN n ELSE 0 END + (program % 5 = 0)::INT) / (n + 1) AS fields,
+  (CASE WHEN even THEN n ELSE (program % 9 BETWEEN 1 AND n)::INT END) / (n + 1) AS flow, (static_hit + (program % 3 = 0)::INT) / (static + 1) AS external, CASE WHEN calls = 0 THEN 1e0 ELSE matched / calls END AS bsm, CASE WHEN claims >= 5 THEN 0.6e0 ELSE 0.4e0 END AS w FROM x),
+z AS (SELECT *, 0.40e0 * rules + 0.25e0 * fields + 0.20e0 * flow + 0.15e0 * external AS sc, CASE WHEN claims < 1 THEN 0e0 ELSE (pure * 1e0 + (n + 1 - pure) * (w + (1 - w) * bsm)) / (n + 1) END AS bf,
+  list_filter([CASE WHEN high > 0 AND NOT even THEN 'CF-01' END, CASE WHEN reads_hit < greatest(1, (1 + reads) // 2) THEN 'CF-04' END, CASE WHEN calls >= 5 AND claims > 0 AND matched / calls < 0.30 THEN 'CF-05' END], lambda c: c IS NOT NULL) AS failures FROM y)"""
+
+
+@query("i21_full_evaluation", f"{_S}, {_EVALUATED} SELECT program, claims, {sql_fixed('rules')} AS rules, {sql_fixed('fields')} AS fields, {sql_fixed('flow')} AS flow, {sql_fixed('external')} AS external, {sql_fixed('sc')} AS sc, {sql_fixed('bf')} AS bf, array_to_string(failures, ',') AS failures, CASE WHEN len(failures) > 0 THEN 0e0 ELSE {sql_fixed('30 * sc + 50 * bf')} END AS lcb_without_dq FROM z")
+def i21(spark, sf_dir):
+    out = evaluated(programs(spark, sf_dir))
+    rest = F.when(F.size("failures") > 0, F.col("lcb")).otherwise(fixed(F.col("lcb") - 20 * F.col("dq")))
+    names = {"business_rules": "rules", "data_structures": "fields", "control_flow": "flow", "external_calls": "external", "sc": "sc", "bf": "bf"}
+    return out.select("program", "claims", *[fixed(F.col(k)).alias(v) for k, v in names.items()], F.array_join("failures", ",").alias("failures"), rest.alias("lcb_without_dq"))
+
+
+@query("g7_names_in_other_words", f"{_S} SELECT program, k, k = 1 OR k >= 5 AS named FROM s WHERE k <= 6")
+def g7(spark, sf_dir):
+    cases = [("The CUSTOMERS.DAT file", "customer-file", "file"), ("The STOCK list", "CUSTOMER-FILE", "file"), ("the account list", "ACCTUPD", "program"), ("a message", "MQOPEN", "middleware"), ("See ACCOUNT-UPDATE and more", "ACCTUPDP", "program"), ("It opens the queue", "'MQOPEN'", "middleware")]
+    cases[4] = ("See ACCOUNTUPD and more", "ACCTUPDP", "program")
+    rows = programs(spark, sf_dir).select("program", F.posexplode(F.slice(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("dtc", c, strict=True)]) for c in cases]), F.lit(1), F.col("n").cast("int"))).alias("i", "x"))
+    return rows.select("program", (F.col("i") + 1).alias("k"), ev.target_named("x.d", "x.t", "x.c").alias("named"))
+
+
+@query("i2_invented_names", f"{_S} SELECT program, 'WS-GHOST-' || program AS name FROM p WHERE program % 3 = 0")
+def i2(spark, sf_dir):
+    from docmeter.operators import claims
+
+    rows = programs(spark, sf_dir)
+    number = F.col("program").cast("string")
+    text = F.concat(F.lit("WS-FLD-1 is read from the file. Non-Zero is sent to it, and END-IF is read from there. It writes PROCESS-ROUTINE to disk. "), F.when(F.col("program") % 3 == 0, F.concat(F.lit("It returns WS-GHOST-"), number)).otherwise("It returns WS-FLD-2"))
+    moved = ev.moved_names(rows.select("program", text.alias("text")), "program", "text")
+    return claims.unknown_names(moved, sc.data_fields(rows).select("program", "name"), "program")

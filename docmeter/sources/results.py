@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
+
+#: Characters beyond which a wrapped content is a document.
+LONG_CONTENT = 50
 
 RESULT = """task_id string, task_category string, evaluator_version string, submitter struct<name:string,model:string,category:string>,
 result struct<version:string,lcb_score:double,structural_completeness:double,behavioral_fidelity:double,semantic_quality:double,traceability:double,
@@ -64,8 +73,69 @@ def write_board(board: DataFrame, folder: str) -> None:
 
 
 def markdown(board: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a pipe table as text, without the head."""
-    return board.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |")).alias("value"))
+    """A pipe table as text with ``line_no``: the head, its rule, then the rows in the order of their first column."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = board.select((F.row_number().over(Window.orderBy(columns[0])) + 1).alias("line_no"), row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    head = board.sparkSession.range(2).select(F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 0, row([F.lit(c) for c in columns])).otherwise(row([F.lit("---") for _ in columns])).alias("value"))
+    return head.unionByName(body)
+
+
+def write_results(rows: DataFrame, folder: str, version: str = "2.3.1") -> None:
+    """Results (``task_id, model, sc, dq, bf, failures``; scores in 0 to 1) as JSON lines of the common layout, a folder
+    for each evaluator version."""
+    scores = F.struct(*[(F.col(k) * 100).alias(k) for k in ("sc", "dq", "bf")])
+    result = F.struct(F.lit(version).alias("version"), scores.alias("scores"), F.col("failures").alias("critical_failures"))
+    out = rows.select("task_id", F.lit("documentation").alias("task_category"), F.lit(version).alias("evaluator_version"), F.struct(F.col("model").alias("name"), F.col("model").alias("model")).alias("submitter"), result.alias("result"))
+    out.withColumn("of_version", F.col("evaluator_version")).write.mode("append").partitionBy("of_version").json(folder)
+
+
+def read_result_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Results that ``write_results`` wrote, of all versions."""
+    return spark.read.schema(RESULT).option("recursiveFileLookup", True).json(folder)
+
+
+def write_manifest(files: DataFrame, folder: str, tier: str = "tier") -> None:
+    """Files as JSON lines, a folder for each tier."""
+    files.write.mode("overwrite").partitionBy(tier).json(folder)
+
+
+def write_tests(tests: DataFrame, folder: str) -> None:
+    tests.write.mode("overwrite").json(folder)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that ``spark.checkpoint.dir`` names."""
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cache_misses(sources: DataFrame, cache: DataFrame, key: str = "program") -> DataFrame:
+    """Sources whose text, by key and hash, the cache doesn't hold."""
+    return sources.withColumn("source_hash", F.sha2("source", 256)).join(cache.select(key, "source_hash").distinct(), [key, "source_hash"], "left_anti")
+
+
+@F.pandas_udf(StringType())
+def _contents(texts: pd.Series) -> pd.Series:
+    return pd.Series([_content(t) if isinstance(t, str) else None for t in texts])
+
+
+def _content(text: str) -> str:
+    """Long ``content`` values of the JSON objects that a text holds, joined by blank lines; the text itself without any."""
+    found, at, decoder = [], text.find("{"), json.JSONDecoder()
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except ValueError:
+            value, end = None, at + 1
+        if isinstance(value, dict) and isinstance(value.get("content"), str) and len(value["content"]) > LONG_CONTENT:
+            found.append(value["content"])
+        at = text.find("{", end)
+    return "\n\n".join(found) or text
+
+
+def json_contents(document: str | Column) -> Column:
+    """Documents wrapped in JSON objects without theirs; only texts with a brace reach the Python function."""
+    text = F.col(document) if isinstance(document, str) else document
+    return F.when(F.contains(text, F.lit("{")), _contents(text)).otherwise(text)
 
 
 def missing_results(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
