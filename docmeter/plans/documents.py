@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docmeter.functions.text import document_quality
 from docmeter.lexicons import CORPUS, Lexicon
+from docmeter.plans.spread import spread
 
 
 def scored_documents(docs: DataFrame, lexicon: Lexicon = CORPUS, unicode: bool = False) -> DataFrame:
@@ -15,8 +16,7 @@ def scored_documents(docs: DataFrame, lexicon: Lexicon = CORPUS, unicode: bool =
 
     Documents that come in fewer parts than there are cores, as from a file of one row group, are dealt out before the work.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    docs = spread(docs)
     parts = document_quality("text", F.size(F.split("text", "\n")), lexicon, unicode=unicode)
     total = parts.pop("dq")
     return docs.withColumns(parts).withColumn("dq", total)

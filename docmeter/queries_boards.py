@@ -8,6 +8,7 @@ from docmeter.operators import board, ranges, selection, tasks
 from docmeter.plans.programs import TEXTS_SQL, programs
 from docmeter.registry import fixed, query, sql_fixed, table
 from docmeter.sources import results as rs
+from docmeter.sources.folders import fresh_folder
 
 _T = f"WITH {TEXTS_SQL}"
 _PARTS = "c AS (SELECT p_partkey, p_name, p_brand AS dataset, p_size * 100 AS loc, p_partkey % 5 AS rules, CASE WHEN p_partkey % 3 = 0 THEN 'unibasic' ELSE 'cobol' END AS language, p_retailprice AS price FROM part)"
@@ -112,7 +113,7 @@ def a15(spark, sf_dir):
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("task_id"), F.concat(F.lit("model-"), (F.col("l_suppkey") % 7).cast("string")).alias("model"), F.expr("l_discount * 1e1").alias("sc"), F.expr("l_quantity / 5e1").alias("dq"), F.expr("l_tax * 12.5e0").alias("bf"),
         F.when(F.col("l_suppkey") % 5 == 0, F.array(F.lit("CF-01: missing"))).otherwise(F.array().cast("array<string>")).alias("failures"),
     )
-    folder = rs.fresh_folder(spark, "results")
+    folder = fresh_folder(spark, "results")
     rs.write_results(rows, folder)
     found = rs.normalised_results(rs.read_result_lines(spark, folder))
     return found.select("task_id", "model", "version", fixed(F.col("sc")).alias("sc"), fixed(F.col("bf")).alias("bf"), F.array_join("failures", ",").alias("failures"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,11 +102,6 @@ def write_tests(tests: DataFrame, folder: str) -> None:
     tests.write.mode("overwrite").json(folder)
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that ``spark.checkpoint.dir`` names."""
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cache_misses(sources: DataFrame, cache: DataFrame, key: str = "program") -> DataFrame:
     """Sources whose text, by key and hash, the cache doesn't hold."""
     return sources.withColumn("source_hash", F.sha2("source", 256)).join(cache.select(key, "source_hash").distinct(), [key, "source_hash"], "left_anti")
