@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from docmeter.functions.text import as_column, lines
+from docmeter.functions.text import as_column, let, lines
+from docmeter.operators.behaviour import tolerant_match
 
 # Inputs that bring an error about, and constructs that cannot run.
 CANNED_INPUTS = {"file": ("FILE-STATUS", "35"), "zero": ("DIVISOR", "0"), "overflow": ("AMOUNT", "999999999"), "other": ("ERROR-FLAG", "Y")}
@@ -140,6 +141,26 @@ def batch_verdict(runs: DataFrame, key: str, least: float = 0.95) -> DataFrame:
     return out.select(key, "tests", F.when(F.col("unequal"), 0).otherwise(F.col("matches")).alias("matches"), F.when(F.col("unequal"), 1).otherwise(F.col("errors")).alias("errors"), F.when(F.col("unequal"), 0.0).otherwise(share).alias("score"), failures.alias("failures"))
 
 
+def printed_values(stdout: str | Column) -> Column:
+    """Array of ``name`` (upper case, hyphens for underscores) and ``value`` of lines that print ``NAME: value`` or ``NAME = value``."""
+    pattern = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9_-]*)[ \t]*[:=][ \t]*(\S.*?)[ \t]*$"
+    both = F.arrays_zip(F.regexp_extract_all(as_column(stdout), F.lit(pattern), 1).alias("name"), F.regexp_extract_all(as_column(stdout), F.lit(pattern), 2).alias("value"))
+    return F.transform(both, lambda v: F.struct(F.translate(F.upper(v["name"]), "_", "-").alias("name"), v["value"].alias("value")))
+
+
+def values_match(stdout: str | Column, expected: Column) -> Column:
+    """Whether a program printed every expected value (a map by name): under its name within the tolerance, or, where that
+    name is not printed, under any name or anywhere in the output."""
+    text = as_column(stdout)
+
+    def printed(values: Column, name: Column, value: Column) -> Column:
+        own = F.filter(values, lambda v: v["name"] == F.translate(F.upper(name), "_", "-"))
+        anywhere = F.exists(values, lambda v: tolerant_match(value, v["value"])) | F.contains(text, value)
+        return F.when(F.size(own) > 0, tolerant_match(value, F.get(own, F.lit(0))["value"])).otherwise(anywhere)
+
+    return let(printed_values(text), lambda values: F.forall(F.map_entries(expected), lambda e: printed(values, e["key"], e["value"])))
+
+
 # Sequence overlap
 
 

@@ -147,3 +147,16 @@ def merged(rows: DataFrame, key: str, order: list[str], text: str, between: str
     """Texts of a key in order as one document."""
     parts = F.array_sort(F.collect_list(F.struct(*order, text)))
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[text]), between).alias("document"), F.count("*").alias("parts"))
+
+
+def code_block(answer: str | Column) -> Column:
+    """The first fenced block of an answer that names the language, or the first plain one; the answer without any."""
+    text = F.col(answer) if isinstance(answer, str) else answer
+    block = lambda head: F.nullif(F.regexp_extract(text, rf"(?is)```{head}\n(.*?)\n```", 1), F.lit(""))
+    return F.coalesce(F.when(F.contains(F.lower(text), F.lit("```cobol")), block("cobol")).otherwise(block("")), text)
+
+
+def without_fences(answer: str | Column) -> Column:
+    """An answer without its lines of fence marks, if it begins with one."""
+    text = F.trim(F.col(answer) if isinstance(answer, str) else answer)
+    return F.when(text.startswith("```"), F.trim(F.regexp_replace(text, r"(?m)^```[^\n]*\n?", ""))).otherwise(text)
