@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmeter.functions import text as t
 from docmeter.lexicons import SYNONYMS, WHAT, WHY
-from docmeter.operators import behaviour, board, compare, selection
+from docmeter.operators import behaviour, board, claims, compare, selection, similarity
 from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.operators import unit_tests as ut
@@ -105,3 +105,29 @@ def j2(spark, sf_dir):
     model = board.model_key(F.when(key == 0, "model").when(key == 1, "unknown"), F.when(key == 1, "maker").otherwise("Unknown"))
     failures = board.drop_call_failures(F.array(F.lit("CF-05: x"), F.lit("CF-01")), F.when(c("l_linenumber") == 1, 0).otherwise(3), c("l_tax"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", model.alias("model"), board.tier_of(task).alias("tier"), F.array_join(failures, ",").alias("failures"))
+
+
+@query("h1_claim_tests", f"{_S}, c AS (SELECT program, printf('CLM-%03d', k) AS claim_id, 'conditional' AS kind FROM s WHERE program % 2 = 0 UNION ALL SELECT program, printf('CLM-%03d', CASE WHEN program % 2 = 0 THEN n + 1 ELSE 1 END), 'assignment' FROM p WHERE program % 5 = 0) SELECT program, claim_id, unnest(CASE kind WHEN 'conditional' THEN [{{test_type: 'true', value: 100e0, priority: 1}}, {{test_type: 'false', value: 0e0, priority: 2}}] ELSE [{{test_type: 'behaviour', value: 50e0, priority: 3}}] END, recursive := true) FROM c")
+def h1(spark, sf_dir):
+    rows = programs(spark, sf_dir)
+    found = claims.claims(rows.select("program", "document"), "program", "document")
+    return behaviour.boundary_tests(found, sc.data_fields(rows), "program").select("program", "claim_id", "test_type", "value", "priority")
+
+
+@query("l3_section_overlap", f"{_T} SELECT program, {sql_fixed('(CASE WHEN program % 7 <> 0 THEN 1e0 WHEN program % 2 = 1 AND program % 3 <> 0 AND program % 5 <> 0 THEN 32 / 35 ELSE 16 / 19 END + (program % 3 = 0)::INT + (program % 5 = 0)::INT) / (1 + (program % 3 = 0)::INT + (program % 5 = 0)::INT)')} AS score FROM t")
+def l3(spark, sf_dir):
+    other = F.replace("document", F.lit("## Business rules"), F.lit("## Remarks"))
+    other = F.when(F.col("program") % 7 == 0, F.replace(other, F.lit(" It prevents errors."), F.lit(""))).otherwise(other)
+    return programs(spark, sf_dir).select("program", fixed(similarity.section_overlap("document", other)).alias("score"))
+
+
+_GRAMS = lambda x, n: f"list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' '))"
+_HITS = lambda n: f"coalesce(list_sum(list_transform(list_distinct(c{n}), lambda x: least(len(list_filter(c{n}, lambda y: y = x)), len(list_filter(r{n}, lambda y: y = x))))), 0)"
+_LOG = lambda n: f"ln(CASE WHEN {_HITS(n)} > 0 THEN {_HITS(n)}::DOUBLE ELSE 0.1e0 END / greatest(1, len(c{n})))"
+
+
+@query("l2_bleu", rf"{_T}, w AS (SELECT program, list_filter(regexp_split_to_array(lower(document), '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:24] AS r FROM t), c AS (SELECT program, r, list_transform(list_filter(range(1, len(r) + 1), lambda i: i % 5 <> 0), lambda i: r[i]) AS c FROM w), g AS (SELECT program, len(r) AS nr, len(c) AS nc, {', '.join(f'{_GRAMS(x, n)} AS {x}{n}' for x in 'rc' for n in (1, 2, 3, 4))} FROM c) SELECT program, {sql_fixed(f'exp(({" + ".join(_LOG(n) for n in (1, 2, 3, 4))}) / 4 + 1 - nr / nc)')} AS bleu FROM g")
+def l2_bleu(spark, sf_dir):
+    rows = programs(spark, sf_dir).select("program", F.slice(t.words(F.lower("document")), 1, 24).alias("r"))
+    rows = rows.select("program", F.array_join("r", " ").alias("r"), F.array_join(F.filter("r", lambda x, i: (i + 1) % 5 != 0), " ").alias("c"))
+    return rows.select("program", fixed(similarity.bleu("c", "r")).alias("bleu"))
