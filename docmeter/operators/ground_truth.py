@@ -99,7 +99,7 @@ def rule_totals(rules: DataFrame) -> DataFrame:
 
 def rule_groups(rules: DataFrame, by: str) -> DataFrame:
     """Rule ids of each program under each type or priority, in order."""
-    return rules.groupBy("program", F.lower(by).alias("group")).agg(F.array_sort(F.collect_list("rule_id")).alias("rule_ids"))
+    return rules.groupBy("program", F.lower(by).alias("rule_group")).agg(F.array_sort(F.collect_list("rule_id")).alias("rule_ids"))
 
 
 def file_dependencies(divisions_: DataFrame) -> DataFrame:

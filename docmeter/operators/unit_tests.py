@@ -47,9 +47,9 @@ def picture_range(picture: str | Column) -> Column:
 
 
 def boundary_cases(fields: DataFrame, key: str = "program") -> DataFrame:
-    """``field, case, value`` at the bounds of every elementary field: least, greatest and zero, or empty and full."""
+    """``field, variant, value`` at the bounds of every elementary field: least, greatest and zero, or empty and full."""
     rows = fields.filter("picture is not null and level > 1").withColumn("r", picture_range("picture"))
-    case = lambda name, value: F.struct(F.lit(name).alias("case"), value.alias("value"))
+    case = lambda name, value: F.struct(F.lit(name).alias("variant"), value.alias("value"))
     low, high = F.col("r.least"), F.col("r.greatest")
     numeric = F.array_compact(F.array(case("minimum", low), case("maximum", high), F.when(F.lit(0.0).between(low, high), case("zero", F.lit(0.0)))))
     cases = F.when(F.col("r.kind") == "numeric", numeric).when(F.col("r.kind") == "alphanumeric", F.array(case("empty", F.lit(0.0)), case("full", high)))
@@ -68,8 +68,8 @@ def condition_inputs(condition: str | Column, holds: bool) -> Column:
 
 def branch_cases(conditions_: DataFrame, key: str = "program", most_cases: int = 3) -> DataFrame:
     """A true and a false case of every comparison, and the first few cases of each EVALUATE (``values``)."""
-    both = F.array(*[F.struct(F.lit(str(h).lower()).alias("case"), condition_inputs("condition", h).alias("i")) for h in (True, False)])
-    return conditions_.select(key, "condition", F.inline(both)).filter("i is not null").select(key, "condition", "case", "i.variable", "i.value")
+    both = F.array(*[F.struct(F.lit(str(h).lower()).alias("variant"), condition_inputs("condition", h).alias("i")) for h in (True, False)])
+    return conditions_.select(key, "condition", F.inline(both)).filter("i is not null").select(key, "condition", "variant", "i.variable", "i.value")
 
 
 def error_input(kind: str | Column, condition: str | Column) -> Column:

@@ -132,7 +132,7 @@ def c18(spark, sf_dir):
     return out.withColumns({"mean_confidence": fixed(F.col("mean_confidence")), "rule_types": F.array_join("rule_types", ","), "keywords": F.array_join("keywords", ",")}).drop("medium_confidence")
 
 
-@query("m20_rule_groups", f"{_S}, {_RULES} SELECT program, lower(priority) AS \"group\", array_to_string(list_sort(list(printf('BR-%03d', i))), ',') AS rule_ids FROM r GROUP BY program, priority")
+@query("m20_rule_groups", f"{_S}, {_RULES} SELECT program, lower(priority) AS rule_group, array_to_string(list_sort(list(printf('BR-%03d', i))), ',') AS rule_ids FROM r GROUP BY program, priority")
 def m20(spark, sf_dir):
     return gt.rule_groups(sc.business_rules(_statements(spark, sf_dir)), "priority").withColumn("rule_ids", F.array_join("rule_ids", ","))
 

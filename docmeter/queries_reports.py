@@ -142,12 +142,12 @@ def f3(spark, sf_dir):
 # Tests
 
 
-@query("h7_boundary_cases", f'''{_S} SELECT program, 'WS-FLD-' || k AS field, c AS "case", CASE c WHEN 'maximum' THEN 10e0 ** (k + 1) - 1 ELSE 0e0 END AS value FROM (SELECT *, unnest(['minimum', 'maximum', 'zero']) AS c FROM s)''')
+@query("h7_boundary_cases", f'''{_S} SELECT program, 'WS-FLD-' || k AS field, c AS variant, CASE c WHEN 'maximum' THEN 10e0 ** (k + 1) - 1 ELSE 0e0 END AS value FROM (SELECT *, unnest(['minimum', 'maximum', 'zero']) AS c FROM s)''')
 def h7(spark, sf_dir):
     return ut.boundary_cases(sc.data_fields(programs(spark, sf_dir)))
 
 
-@query("h8_branch_cases", f'''{_S}, i AS (SELECT program, 'FLD' || k || ' ' || ['>', '<', '=', '>=', '<='][1 + k % 5] || ' ' || (k * 10) AS condition, k, ['>', '<', '=', '>=', '<='][1 + k % 5] AS op FROM s) SELECT program, condition, c AS "case", 'FLD' || k AS variable, (k * 10 + CASE WHEN c = 'true' THEN CASE op WHEN '>' THEN 1 WHEN '<' THEN -1 ELSE 0 END ELSE CASE op WHEN '>' THEN -1 WHEN '<' THEN 1 WHEN '=' THEN 1 WHEN '>=' THEN -1 ELSE 1 END END)::VARCHAR AS value FROM (SELECT *, unnest(['true', 'false']) AS c FROM i)''')
+@query("h8_branch_cases", f'''{_S}, i AS (SELECT program, 'FLD' || k || ' ' || ['>', '<', '=', '>=', '<='][1 + k % 5] || ' ' || (k * 10) AS condition, k, ['>', '<', '=', '>=', '<='][1 + k % 5] AS op FROM s) SELECT program, condition, c AS variant, 'FLD' || k AS variable, (k * 10 + CASE WHEN c = 'true' THEN CASE op WHEN '>' THEN 1 WHEN '<' THEN -1 ELSE 0 END ELSE CASE op WHEN '>' THEN -1 WHEN '<' THEN 1 WHEN '=' THEN 1 WHEN '>=' THEN -1 ELSE 1 END END)::VARCHAR AS value FROM (SELECT *, unnest(['true', 'false']) AS c FROM i)''')
 def h8(spark, sf_dir):
     rows = programs(spark, sf_dir).select("program", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
     op = F.get(F.array(*[F.lit(x) for x in (">", "<", "=", ">=", "<=")]), F.col("k") % 5)
