@@ -151,3 +151,15 @@ def test_shard_query_has_sizes_hashes_and_one_law(spark, sf):
 def test_matrix_is_written_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "PARTS_AT_ONCE", 2)
     test_shards_have_exact_sizes_and_keep_rows(spark)
+
+
+@pytest.mark.parametrize("remembered", [5, 10 - (1 << 18)])
+def test_pieces_when_words_are_forgotten(monkeypatch, remembered):
+    monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path()), pieces.PieceEncoder(pieces.load_model(pieces.default_path()))
+    rng = random.Random(2)
+    for _ in range(4):
+        texts = [" ".join("".join(rng.choice("abcdeé(1.") for _ in range(rng.randint(1, 6))) for _ in range(40)) for _ in range(5)]
+        data = [t.encode() for t in texts]
+        got = own(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])))
+        assert [x.tolist() for x in got] == [library.encode(t) for t in texts]
