@@ -99,7 +99,7 @@ def test_board_and_sinks(spark, tmp_path):
     assert got["n"].rank == 1 and got["m"].avg_lcb_components == pytest.approx(0.63) and got["m"].avg_lcb_tasks == 0.35 and got["m"].languages == "COBOL,UniBasic"
     rs.write_board(board, str(tmp_path / "board"))
     assert spark.read.csv(str(tmp_path / "board/csv"), header=True).count() == 2
-    assert rs.markdown(board, ["rank", "model"]).orderBy("value").first().value == "| 1 | n |"
+    assert [r.value for r in rs.markdown(board, ["rank", "model"]).orderBy("line_no").collect()] == ["| rank | model |", "| --- | --- |", "| 1 | n |", "| 2 | m |"]
 
 
 def test_unwrapped_and_merged(spark):
