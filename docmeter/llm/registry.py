@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmeter.llm import chat, language, licenses, minhash, packing, pieces, pivots, planes, quality, sharding
+from docmeter.llm import chat, language, licenses, minhash, packing, pieces, pivots, planes, quality, sharding, whitening
 
 QUERIES = {
     "op1_pivot_near_duplicates": pivots.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cutting_stock_packing": packing.query,
     "op9_sentence_rule_licenses": licenses.query,
     "op10_line_first_quality": quality.query,
+    "op13_chebyshev_whitening": whitening.query,
 }
 
 ORACLE_SQL = {
