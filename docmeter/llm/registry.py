@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmeter.llm import chat, language, licenses, minhash, neighbours, packing, pieces, pivots, planes, quality, sharding, whitening
+from docmeter.llm import alignment, chat, language, licenses, minhash, neighbours, packing, pieces, pivots, planes, quality, sharding, whitening
 
 QUERIES = {
     "op1_pivot_near_duplicates": pivots.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cutting_stock_packing": packing.query,
     "op9_sentence_rule_licenses": licenses.query,
     "op10_line_first_quality": quality.query,
+    "op11_anchored_alignment": alignment.query,
     "op12_projected_neighbours": neighbours.query,
     "op13_chebyshev_whitening": whitening.query,
 }
