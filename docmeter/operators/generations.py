@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmeter.functions.text import scaled_penalty
@@ -189,6 +189,64 @@ def keyword_score(mentioned: Column, found: Column, keywords: Column) -> Column:
     return F.when(mentioned, 0.3).otherwise(0.0) + 0.7 * (found / F.greatest(keywords, F.lit(1)))
 
 
+# Operations that reports are searched for; patterns of external blocks and the topics a report has to name.
+OPERATIONS = r"(?i)\b(COMPUTE|IF|EVALUATE|ADD|SUBTRACT|MULTIPLY|DIVIDE)\b"
+KEYWORDS = r"(?i)\b(COMPUTE|IF|EVALUATE)\b"
+LEAST_TOPICS = 0.7
+BLOCK_TOPICS = {
+    "SQL_SELECT": (r"EXEC\s+SQL\s+SELECT\s+(.+?)\s+INTO\s+:(.+?)\s+FROM\s+(\w+)", ("table_name", "columns", "target_variables", "where_conditions")),
+    "SQL_INSERT": (r"EXEC\s+SQL\s+INSERT\s+INTO\s+(\w+)", ("table_name", "columns", "source_variables")),
+    "SQL_UPDATE": (r"EXEC\s+SQL\s+UPDATE\s+(\w+)", ("table_name", "columns_updated", "where_conditions")),
+    "SQL_DELETE": (r"EXEC\s+SQL\s+DELETE\s+FROM\s+(\w+)", ("table_name", "where_conditions")),
+    "SQL_CURSOR_DECLARE": (r"EXEC\s+SQL\s+DECLARE\s+(\w+)\s+CURSOR", ("cursor_name", "select_statement")),
+    "SQL_CURSOR_OPEN": (r"EXEC\s+SQL\s+OPEN\s+(\w+)", ("cursor_name",)),
+    "SQL_CURSOR_FETCH": (r"EXEC\s+SQL\s+FETCH\s+(\w+)", ("cursor_name", "into_variables")),
+    "SQL_CURSOR_CLOSE": (r"EXEC\s+SQL\s+CLOSE\s+(\w+)", ("cursor_name",)),
+    "CICS_READ": (r"EXEC\s+CICS\s+READ\s+FILE\s*\(\s*['\"]?(\w+)", ("file_name", "ridfld", "into_variable")),
+    "CICS_WRITE": (r"EXEC\s+CICS\s+WRITE\s+FILE\s*\(\s*['\"]?(\w+)", ("file_name", "from_variable", "ridfld")),
+    "CICS_REWRITE": (r"EXEC\s+CICS\s+REWRITE\s+FILE\s*\(\s*['\"]?(\w+)", ("file_name", "from_variable")),
+    "CICS_DELETE": (r"EXEC\s+CICS\s+DELETE\s+FILE\s*\(\s*['\"]?(\w+)", ("file_name", "ridfld")),
+    "CICS_SEND": (r"EXEC\s+CICS\s+SEND\s+(MAP|TEXT)", ("map_name", "from_variable")),
+    "CICS_RECEIVE": (r"EXEC\s+CICS\s+RECEIVE\s+MAP", ("map_name", "into_variable")),
+    "CALL_STATIC": (r"CALL\s+['\"](\w+)['\"]", ("program_name", "parameters", "return_values")),
+    "CALL_DYNAMIC": (r"CALL\s+(WS-\w+)", ("program_variable", "parameters", "dispatch_reason")),
+}
+# End of fixed values.
+
+
+def _said(low: Column, code: Column, pattern: str) -> Column:
+    """How many of a code's operations there are, and how many of them a (lower-case) report has, repetitions included."""
+    found = F.regexp_extract_all(code, F.lit(pattern), 1)
+    return F.struct(F.size(found).alias("found"), F.size(F.filter(found, lambda x: F.contains(low, F.lower(x)))).alias("said"))
+
+
+def paragraph_keyword_score(document: Column, name: Column, content: Column) -> Column:
+    """A pure paragraph against a report: .3 for its name and .7 for the share of its keywords that the report has."""
+    low = F.lower(F.coalesce(document, F.lit("")))
+    said = _said(low, content, KEYWORDS)
+    return keyword_score(F.contains(low, F.lower(name)), said["said"], said["found"])
+
+
+def mixed_paragraphs(blocks: DataFrame, documents: DataFrame, patterns: dict[str, tuple[str, tuple[str, ...]]] = BLOCK_TOPICS, key: str = "program", text: str = "document") -> DataFrame:
+    """``logic`` and ``calls`` scores of mixed paragraphs by program, and ``mixed``, .6 of the first and .4 of the second.
+
+    A paragraph's logic is the share of operations in its logic blocks that the report has (.5 without operations); its
+    calls, the share of patterns found in its external blocks of which the report names .7 of the topics (1 without any).
+    Paragraphs without such blocks don't count; programs without any score 1.
+    """
+    rows = blocks.join(documents.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low")), key)
+    said = _said(F.col("_low"), F.col("content"), OPERATIONS)
+    logic = rows.filter("type = 'logic'").groupBy(key, "name").agg(F.sum(said["found"]).alias("found"), F.sum(said["said"]).alias("said"))
+    logic = logic.select(key, "name", F.coalesce(F.try_divide("said", "found"), F.lit(0.5)).alias("logic"))
+    topics = lambda names: reduce(add, [reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(w)) for w in n.split("_")]).cast("int") for n in names])
+    hits = [F.when(F.col("content").rlike(f"(?is){p}"), F.lit(1.0) if not names else (topics(names) / float(len(names)) >= LEAST_TOPICS).cast("double")) for p, names in patterns.values()]
+    calls = rows.filter("type = 'external'").withColumn("hits", F.filter(F.array(*hits), lambda h: h.isNotNull())).groupBy(key, "name")
+    calls = calls.agg(F.sum(F.size("hits")).alias("n"), F.sum(F.aggregate("hits", F.lit(0.0), lambda a, b: a + b)).alias("hit")).select(key, "name", F.coalesce(F.try_divide("hit", "n"), F.lit(1.0)).alias("calls"))
+    of = logic.join(calls, [key, "name"], "full").groupBy(key).agg(F.avg("logic").alias("logic"), F.avg("calls").alias("calls"))
+    out = documents.select(key).join(of, key, "left").fillna(1.0, ["logic", "calls"])
+    return out.withColumn("mixed", two_part(F.col("logic"), F.col("calls")))
+
+
 def combined_units(units: Column, call_score: Column, calls: Column, units_share: float = 4 / 7) -> Column:
     """Isolated units and external calls by weight; either alone where the other is missing, .75 without both."""
     both = F.round(units_share * units + (1 - units_share) * call_score, 4)

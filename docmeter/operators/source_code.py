@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docmeter.functions.text import as_column, let, lines
+from docmeter.operators.ranges import containing_ranges
 
 # Words and patterns of the source language.
 VERBS = (
@@ -153,12 +154,40 @@ def targets(statement: str | Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(as_column(statement), F.lit(pattern), 1), lambda x: F.upper(x))
 
 
+_PERFORM, _GOTO = r"(?i)\bPERFORM\s+([A-Za-z0-9-]+)(?:\s+THROUGH\s+([A-Za-z0-9-]+))?", r"(?i)\bGO\s+TO\s+([A-Za-z0-9-]+)"
+
+
 def flow_edges(statements_: DataFrame) -> DataFrame:
-    """``program, src, dst, type, line_no`` of PERFORM and GO TO."""
+    """``program, src, dst, type, line_no`` of PERFORM and GO TO; a range's edge goes to its first paragraph."""
+    return ranged_edges(statements_).withColumn("type", F.when(F.col("type") == "goto", "goto").otherwise("perform")).drop("through")
+
+
+def ranged_edges(statements_: DataFrame) -> DataFrame:
+    """Edges as ``flow_edges`` has them, with ``through`` (null but for ranges) and the type perform_through for ranges."""
     loops = ("UNTIL", "VARYING", "TIMES", "WITH", "TEST")
-    kinds = {"perform": r"(?i)\bPERFORM\s+([A-Za-z0-9-]+)", "goto": r"(?i)\bGO\s+TO\s+([A-Za-z0-9-]+)"}
-    both = [statements_.select("program", F.col("paragraph").alias("src"), F.explode(targets("statement", p)).alias("dst"), F.lit(k).alias("type"), "line_no") for k, p in kinds.items()]
-    return reduce(DataFrame.unionByName, both).filter(~F.col("dst").isin(*loops))
+    group = lambda i: F.regexp_extract_all("statement", F.lit(_PERFORM), i)
+    performs = statements_.select("program", F.col("paragraph").alias("src"), F.explode(F.arrays_zip(group(1).alias("d"), group(2).alias("t"))).alias("e"), "line_no")
+    through = F.upper(F.nullif("e.t", F.lit("")))
+    performs = performs.select("program", "src", F.upper("e.d").alias("dst"), F.when(through.isNull(), "perform").otherwise("perform_through").alias("type"), "line_no", through.alias("through"))
+    jumps = statements_.select("program", F.col("paragraph").alias("src"), F.explode(targets("statement", _GOTO)).alias("dst"), F.lit("goto").alias("type"), "line_no", F.lit(None).cast("string").alias("through"))
+    return performs.unionByName(jumps).filter(~F.col("dst").isin(*loops))
+
+
+def expanded_edges(edges: DataFrame, paragraphs_: DataFrame, width: int = 8) -> DataFrame:
+    """Edges with one for each paragraph of a range, first to last in the order of the source.
+
+    Paragraphs are numbered within their program, and a range's numbers meet those that it holds by bucket. A range with an
+    unknown end, or that ends before it begins, stays an edge to its first paragraph. Of paragraphs of one name the first
+    counts as an end.
+    """
+    order = F.row_number().over(Window.partitionBy("program").orderBy("start_line"))
+    numbered = paragraphs_.select("program", "name", order.alias("at"))
+    ends = numbered.groupBy("program", "name").agg(F.min("at").alias("at"))
+    ranges = edges.filter("through is not null").join(ends.toDF("program", "dst", "lo"), ["program", "dst"], "left").join(ends.toDF("program", "through", "hi"), ["program", "through"], "left")
+    open_ = ~F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False))
+    columns = ["program", "src", "dst", "type", "line_no"]
+    inside = containing_ranges(numbered.withColumnRenamed("name", "member"), ranges.filter(~open_), ["program"], "at", "lo", "hi", width)
+    return edges.filter("through is null").select(*columns).unionByName(ranges.filter(open_).select(*columns)).unionByName(inside.select("program", "src", F.col("member").alias("dst"), "type", "line_no"))
 
 
 def flow_graph(edges: DataFrame, paragraphs_: DataFrame) -> DataFrame:
@@ -180,7 +209,7 @@ def jump_stats(edges: DataFrame, paragraphs_: DataFrame, statements_: DataFrame)
 
 def perform_closure(edges: DataFrame, depth: int = 2) -> DataFrame:
     """Paragraphs that each paragraph performs within ``depth`` steps."""
-    step = edges.filter("type = 'perform'").select("program", "src", "dst").distinct()
+    step = edges.filter("type in ('perform', 'perform_through')").select("program", "src", "dst").distinct()
     out = reached = step
     for _ in range(depth - 1):
         reached = reached.join(step.toDF("program", "dst", "next"), ["program", "dst"]).select("program", "src", F.col("next").alias("dst")).distinct()
@@ -212,11 +241,16 @@ def error_handlers(statements_: DataFrame) -> DataFrame:
     return statements_.select("program", "paragraph", "line_no", F.explode(F.filter(hits, lambda t: t.isNotNull())).alias("type"))
 
 
+_CALL = r"\bCALL\s+(['\"]?)([A-Z0-9-]+)['\"]?(?:(?!\bCALL\s)[\s\S])*?(?:\bUSING\s+((?:(?!\bCALL\s)[\s\S])+))?(?=\bCALL\s|\z)"
+
+
 def calls(statements_: DataFrame) -> DataFrame:
-    """``callee, is_dynamic`` (no literal), ``parameters`` of each CALL."""
-    upper = F.upper("statement")
-    rows = statements_.filter(upper.rlike(r"\bCALL\s+")).select("program", "paragraph", "line_no", F.regexp_extract(upper, r"\bCALL\s+['\"]?([A-Z0-9-]+)['\"]?", 1).alias("callee"), (~upper.rlike(r"\bCALL\s+['\"]")).alias("is_dynamic"), F.regexp_extract(upper, r"\bUSING\s+(.+)$", 1).alias("using"))
-    return rows.withColumn("parameters", F.filter(F.split("using", r"[\s,]+"), lambda w: (w != "") & ~w.isin("BY", "REFERENCE", "CONTENT", "VALUE"))).drop("using")
+    """``callee, is_dynamic`` (no literal), ``parameters`` of each CALL; a statement may have several."""
+    part = lambda i: F.regexp_extract_all(F.upper("statement"), F.lit(_CALL), i)
+    each = F.arrays_zip(part(1).alias("quote"), part(2).alias("callee"), part(3).alias("using"))
+    rows = statements_.select("program", "paragraph", "line_no", F.explode(each).alias("c"))
+    words_ = F.filter(F.split("c.using", r"[\s,]+"), lambda w: (w != "") & ~w.isin("BY", "REFERENCE", "CONTENT", "VALUE"))
+    return rows.select("program", "paragraph", "line_no", "c.callee", (F.col("c.quote") == "").alias("is_dynamic"), words_.alias("parameters"))
 
 
 def call_class(callee: Column, is_dynamic: Column, known: Column) -> Column:
@@ -233,6 +267,33 @@ def paragraph_class(name: str | Column, content: str | Column) -> Column:
     return F.when(infrastructure, "INFRASTRUCTURE").when(external & logic, "MIXED").when(logic, "PURE").otherwise("INFRASTRUCTURE")
 
 
+_EXTERNAL_BLOCK = r"(?is)EXEC\s+(?:SQL|CICS|DLI).*?END-EXEC\.?"
+
+
+def code_blocks(paragraphs_: DataFrame) -> DataFrame:
+    """``program, name, nth, type, start_offset, end_offset, content`` of the runs of a mixed paragraph.
+
+    External blocks reach from EXEC to END-EXEC; what stands between them is a logic block if it holds logic, and left out
+    otherwise. Blocks are cut inside the paragraph's row; offsets (from 0, end exclusive) are those before white space is
+    stripped from logic blocks.
+    """
+    between, external = F.split("content", _EXTERNAL_BLOCK), F.regexp_extract_all("content", F.lit(_EXTERNAL_BLOCK), 0)
+    logic = lambda x: F.lit(False) if x is None else reduce(lambda a, b: a | b, [x.rlike("(?i)" + p) for p in LOGIC])
+    both = F.arrays_zip(between.alias("b"), external.alias("e"))
+    block = lambda kind, at, text, content: F.struct(F.lit(kind).alias("type"), at.alias("start_offset"), (at + F.length(text)).alias("end_offset"), content.alias("content"))
+    empty = F.array().cast("array<struct<type:string,start_offset:int,end_offset:int,content:string>>")
+
+    def step(s: Column, p: Column) -> Column:
+        own = F.array(block("logic", s["at"], p["b"], F.regexp_replace(p["b"], r"\A\s+|\s+\z", "")))
+        after = s["at"] + F.length(p["b"])
+        out = F.when(logic(p["b"]), F.concat(s["out"], own)).otherwise(s["out"])
+        out = F.when(p["e"].isNotNull(), F.concat(out, F.array(block("external", after, p["e"], F.regexp_replace(p["e"], r"\A\s+|\s+\z", ""))))).otherwise(out)
+        return F.struct((after + F.coalesce(F.length(p["e"]), F.lit(0))).alias("at"), out.alias("out"))
+
+    blocks = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    return paragraphs_.select("program", "name", F.posexplode(blocks).alias("nth", "b")).select("program", "name", "nth", "b.*")
+
+
 def picture_digits(picture: str | Column) -> Column:
     """Positions of a picture: letters count once, or as often as their bracket says."""
     found = F.regexp_extract_all(F.upper(as_column(picture)), F.lit(r"([X9AZ])(?:\((\d+)\))?"), 2)

@@ -316,6 +316,6 @@ def s1(spark, sf_dir):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-from docmeter import queries_boards, queries_more, queries_programs, queries_reports, queries_scores, queries_second  # noqa: E402, F401  (register their queries)
+from docmeter import queries_boards, queries_more, queries_programs, queries_reports, queries_scores, queries_second, queries_wide  # noqa: E402, F401  (register their queries)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

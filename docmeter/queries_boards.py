@@ -79,7 +79,10 @@ def _rows(spark, sf_dir):
     )
 
 
-@query("j7_category_means", f"WITH {_R} SELECT model, {sql_fixed('coalesce(avg(score) FILTER (WHERE category = chr(100) || chr(111) || chr(99) || chr(117) || chr(109) || chr(101) || chr(110) || chr(116) || chr(97) || chr(116) || chr(105) || chr(111) || chr(110)), 0e0)')} AS documentation_avg, count(*) FILTER (WHERE category = 'documentation') AS documentation_tasks, count(*) FILTER (WHERE category = 'understanding') AS understanding_tasks, {sql_fixed('avg(overall)')} AS overall_avg FROM r GROUP BY model".replace("chr(100) || chr(111) || chr(99) || chr(117) || chr(109) || chr(101) || chr(110) || chr(116) || chr(97) || chr(116) || chr(105) || chr(111) || chr(110)", "'documentation'"))
+_DOCUMENTATION = "coalesce(avg(score) FILTER (WHERE category = 'documentation'), 0e0)"
+
+
+@query("j7_category_means", f"WITH {_R} SELECT model, {sql_fixed(_DOCUMENTATION)} AS documentation_avg, count(*) FILTER (WHERE category = 'documentation') AS documentation_tasks, count(*) FILTER (WHERE category = 'understanding') AS understanding_tasks, {sql_fixed('avg(overall)')} AS overall_avg FROM r GROUP BY model".replace("chr(100) || chr(111) || chr(99) || chr(117) || chr(109) || chr(101) || chr(110) || chr(116) || chr(97) || chr(116) || chr(105) || chr(111) || chr(110)", "'documentation'"))
 def j7(spark, sf_dir):
     out = tasks.category_means(_rows(spark, sf_dir), ["model"])
     return out.select("model", fixed(F.col("documentation_avg")).alias("documentation_avg"), "documentation_tasks", "understanding_tasks", fixed(F.col("overall_avg")).alias("overall_avg"))

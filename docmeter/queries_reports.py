@@ -82,9 +82,9 @@ def d20(spark, sf_dir):
 
 @query("d25_copied_comments", f"{_T} SELECT program, 1 AS comments, CASE WHEN program % 4 = 0 THEN 1e0 ELSE 0e0 END AS parroting, program % 7 = 0 AS contaminated FROM t")
 def d25(spark, sf_dir):
-    report = F.concat("document", F.when(F.col("program") % 4 == 0, F.concat(F.lit("TOTALS of batch "), F.col("program").cast("string"))).otherwise(""), F.when(F.col("program") % 7 == 0, " lcb-canary-2025").otherwise(""))
+    report = F.concat("document", F.when(F.col("program") % 4 == 0, F.concat(F.lit("TOTALS of batch "), F.col("program").cast("string"))).otherwise(""), F.when(F.col("program") % 7 == 0, " seen-mark-17").otherwise(""))
     rows = programs(spark, sf_dir).withColumn("report", report)
-    return rows.select("program", F.size(r.comments("source")).alias("comments"), r.parroting("report", "source").alias("parroting"), r.contaminated("report").alias("contaminated"))
+    return rows.select("program", F.size(r.comments("source")).alias("comments"), r.parroting("report", "source").alias("parroting"), r.contaminated("report", ("SEEN-MARK-17", "OTHER-MARK-3")).alias("contaminated"))
 
 
 _FIELDS = "list_transform(range(1, n + 1), lambda k: 'WS-FLD-' || k)"
