@@ -9,21 +9,22 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm.textbytes import HashIndex, SpanHasher, sliced, spans, steps, text_buffers
-from docmeter.llm.workspace import stored
+from docmeter.llm.workspace import drop, stored
 
-#: Labelled documents to learn from, in expectation, of each language.
-SAMPLE_PER_LANGUAGE = 2_000
-#: The most frequent words, and n-grams of each length, that the model keeps of each language.
-MOST_KEYS = 30_000
+#: Labelled documents to learn from, in expectation: of each language, and of all languages together.
+SAMPLE_PER_LANGUAGE, SAMPLE = 2_000, 64_000
 #: Values of found keys that are added up at a time.
 STEP_VALUES = 1 << 20
 LONGEST = 5
 SMOOTHING = 0.1
 UNDETERMINED = "und"
+#: Words of a language are known if so large a part of its sample's words is like them; so their share in a text says the same
+#: whatever the sample's size.
+KNOWN_FREQUENCY = 1e-5
 #: The pipeline keeps texts with at least this score, and this share of words known in the predicted language.
 LEAST_SCORE, LEAST_KNOWN = 0.5, 0.48
 
@@ -54,6 +55,7 @@ class Model:
     language: list[np.ndarray]
     more: list[np.ndarray]
     base: list[np.ndarray]
+    known: np.ndarray  # whether each value of order 0 is that of a word known in its language
 
     def index(self) -> list[HashIndex]:
         out = []
@@ -121,33 +123,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(language[own[new]].tolist(), pa.string()), pa.array(np.full(len(new), order, np.int32)), pa.array(key[new].view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "ord", "key", "n"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn every language from a bounded sample: about SAMPLE_PER_LANGUAGE documents of each, picked by a hash of their
-    ids, and its own MOST_KEYS most frequent words and n-grams of each length, however large the other languages are.
-    Null texts and null languages are not learned from; without any row the model is empty."""
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Learn every language from a bounded sample of whole texts, picked by a hash of their ids: about ``per_language``
+    documents of each, or fewer of each where there are so many languages that all would be over ``sample``.
+
+    All words and n-grams of the sample are learned; only the sample bounds the model. Null texts and null languages are
+    not learned from; without any row the model is empty."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [], [], [], [], [])
-    share = [(i, k, min(1.0, SAMPLE_PER_LANGUAGE / sizes[k]) * (1 << 30)) for i, k in enumerate(languages)]
+        return Model([], [], [], [], [], [], np.zeros(0, bool))
+    most = min(per_language, sample / len(languages))
+    share = [(i, k, min(1.0, most / sizes[k]) * (1 << 30)) for i, k in enumerate(languages)]
     share = F.broadcast(labelled.sparkSession.createDataFrame(share, "k int, lang string, share double"))
-    sample = rows.join(share.select("lang", "share"), "lang").filter(F.col("h") < F.col("share")).select("lang", "text")
-    counts = sample.mapInArrow(_counted, "lang string, ord int, key long, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
+    picked = rows.join(share.select("lang", "share"), "lang").filter(F.col("h") < F.col("share")).select("lang", "text")
+    counts = picked.mapInArrow(_counted, "lang string, ord int, key long, n long").groupBy("ord", "key", "lang").agg(F.sum("n").alias("n"))
     counts = stored(counts.join(share.select("lang", "k"), "lang").select("ord", "key", "k", "n"), "language-counts")
-    whole = np.zeros((LONGEST + 1, len(languages)))
-    for r in counts.groupBy("ord", "k").agg(F.sum("n").alias("n")).collect():
-        whole[r["ord"], r["k"]] = r["n"]
-    place = F.row_number().over(Window.partitionBy("ord", "k").orderBy(F.desc("n"), "key"))
-    top = counts.withColumn("place", place).filter(F.col("place") <= MOST_KEYS).select("ord", "key").distinct()
-    found = counts.join(top, ["ord", "key"], "left_semi").toArrow()
+    found = counts.toArrow()
+    drop(counts)
     order, key, k, n = (found.column(x).to_numpy() for x in ("ord", "key", "k", "n"))
-    model = Model(languages, [], [], [], [], [])
+    model = Model(languages, [], [], [], [], [], np.zeros(0, bool))
     for o in range(LONGEST + 1):
         own = np.flatnonzero(order == o)
         own = own[np.lexsort((k[own], key[own]))]
         keys, first = np.unique(key[own], return_index=True)
-        scale = whole[o] + SMOOTHING * MOST_KEYS
+        whole = np.bincount(k[own], n[own], len(languages))
+        if o == 0:
+            model.known = n[own] >= KNOWN_FREQUENCY * whole[k[own]]
+        scale = whole + SMOOTHING * (len(keys) + 1)
         model.base.append(np.log(SMOOTHING / scale))
         model.keys.append(keys.view(np.uint64))
         model.start.append(np.append(first, len(own)))
@@ -178,7 +182,7 @@ def _scores(words: _Words, docs: int, model: Model, index: list[HashIndex]) -> t
     start, size = model.start[0][known[hit]], np.diff(model.start[0])[known[hit]]
     each = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     cell = np.repeat(words.doc[hit], size) * len(model.languages) + model.language[0][each]
-    of_language = np.bincount(cell, minlength=total.size).reshape(total.shape)
+    of_language = np.bincount(cell, model.known[each], total.size).reshape(total.shape)
     _add(total, model, 0, words.doc[hit], known[hit], np.ones(len(hit)))
     unseen = np.flatnonzero(known < 0)
     grams, left = words.grams(unseen), np.ones(len(unseen), bool)
@@ -215,9 +219,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``doc_id, lang_pred, score, known`` of every whole text, one row per input row.
 
     A word is a run of letters, lower-cased. A text's log frequencies are the sums of its words'; ``score`` is the best
-    language's share after exponentiation, ``known`` the share of its words that this language's sample had. Texts that are null or have no letter, and all texts if the model is empty,
-    are ``und`` with score 0; ties go to the first language by name. Nothing is shuffled; the model that each task reads
-    has at most (LONGEST + 1) * MOST_KEYS keys for each language.
+    language's share after exponentiation, ``known`` the share of its words that make up at least KNOWN_FREQUENCY of this language's sample. Texts that are null,
+    empty or without a letter, and all texts if the model is empty, are ``und`` with score 0; ties go to the first language
+    by name. Repeated and null ids keep a row each, very long texts are read in steps, other columns are not read, and an
+    empty table gives an empty one. Nothing is shuffled; the model that each task reads is bounded by its sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -237,7 +242,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, with all their columns, in a language that was learned: the score tells the best from the others, and
-    the share of known words, which doesn't grow with the text, the learned from the unknown."""
+    the share of known words, which doesn't grow with the text, the learned from the unknown. Null, empty and letterless
+    texts go; repeated and null ids keep a row each, and columns of any name stay as they are."""
     shared = spark.sparkContext.broadcast(fit(docs.filter(~held_out() & F.col("doc_id").isNotNull())))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select("doc_id", "text", whole.alias("d"))

@@ -125,8 +125,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose signatures agree enough; a group with more than two a row is named instead."""
+def _agreeing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose signatures agree in ``least`` places; a group with more than two a row is named
+    instead."""
     for rows, group in whole_groups(batches, _GROUP, 4096):
         own, comp, block, i, j, key = (rows.column(x).to_numpy() for x in ("doc_id", "component", "block", "i", "j", "key"))
         sketch = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
@@ -140,7 +141,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = at[(comp[at] != comp[at + shift]) & ((i[at] == j[at]) | (block[at] != block[at + shift]))]
             for lo in range(0, len(x), 8192):
                 some = x[lo : lo + 8192]
-                hit = some[(sketch[some] == sketch[some + shift]).sum(axis=1) >= LEAST_AGREEING]
+                hit = some[(sketch[some] == sketch[some + shift]).sum(axis=1) >= least]
                 left.append(hit), right.append(hit + shift)
         left, right = np.concatenate(left), np.concatenate(right)
         dense = np.bincount(group[left], minlength=group[-1] + 1) > 2 * np.bincount(group)
@@ -185,7 +186,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, least_agreeing: int) -> DataFrame:
     """Links between different components within a bucket. Rows of a bucket's largest component meet only the others.
 
     The others are cut into blocks and so is the largest component; every pair of blocks is a group of its own, so that
@@ -207,7 +208,7 @@ def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, se
 
     together = lambda x: x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
     found = together(rows.join(sketches.select("doc_id", "signature"), "doc_id")).select("key", "i", "j", "block", "doc_id", "component", "signature")
-    found = stored(found.mapInArrow(_agreeing, "a long, b long, key long, i int, j int"), "minhash-agreeing")
+    found = stored(found.mapInArrow(lambda batches: _agreeing(batches, least_agreeing), "a long, b long, key long, i int, j int"), "minhash-agreeing")
     pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     dense = rows.join(found.filter("a is null").select("key", "i", "j"), ["key", "i", "j"], "left_semi")
     dense = together(dense.join(sets, "doc_id")).select("key", "i", "j", "block", "doc_id", "component", "shingles")
@@ -216,7 +217,7 @@ def _links_across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, se
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_agreeing: int = LEAST_AGREEING) -> DataFrame:
     """Groups of near-duplicate documents.
 
     A document's set holds the distinct 5-word shingles of its whole text (A-Z lower-cased, words split at ASCII white
@@ -228,7 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty one.
 
     Equal sets become one class first, so copies never meet each other. Classes link to the smallest of each band
-    bucket; only buckets that then still hold several components compare further pairs, block by block.
+    bucket; only buckets that then still hold several components compare further pairs, block by block. Of these, pairs
+    whose signatures agree in fewer than ``least_agreeing`` places are left out unless their group is dense; 0 verifies
+    every pair that shares a bucket.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(docs.mapInArrow(_sketch, _SKETCH).withColumn(_ROW, F.monotonically_increasing_id()), "minhash-sketches")
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.select("doc_id").distinct()
     sets = stored(docs.join(members, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary").dropDuplicates(["doc_id", "set_a"]), "minhash-sets", compression="none")
     links = stored(_verify(stars, sets), "minhash-links")
-    more = _links_across(buckets, connected_components(links), classes, sets)
+    more = _links_across(buckets, connected_components(links), classes, sets, least_agreeing)
     labels = connected_components(links.unionAll(more))
     drop(buckets, stars, sets, links, more)
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
@@ -260,14 +263,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash of its text, a null id after all others.
 
     Rows are told apart by a number of their own, so that different texts under one id are groups of their own, and
-    copies without an id are copies like others.
+    copies without an id are copies like others. Columns of any name stay as they are.
     """
-    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "minhash-rows")
-    found = near_duplicates(rows, _ROW).select(F.col("doc_id").alias(_ROW), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), _ROW))
-    thin = rows.select(_ROW, "doc_id", "text").join(found, _ROW)
-    kept = thin.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{_ROW}").alias(_ROW))
-    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
+    row = _ROW
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    found = near_duplicates(rows, row).select(F.col("doc_id").alias(row), F.col("component_id").alias("_component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row")))
+    thin = rows.select(row, "doc_id", "text").join(found, row)
+    kept = thin.groupBy("_component").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 ORACLE_SQL = r"""

@@ -22,8 +22,6 @@ PREFIX = 12
 #: Reference points of a label: the power of two from one for each so many of its vectors, within bounds. Drawn pairs at
 #: cosine .93 in 2, 16, 64 and 768 dimensions: 128 to 4,096 points lose none of 20,000 for want of a shared one.
 VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 128, 4096
-#: Labels of more vectors go by lists of two shared points: 2 in 10,000 drawn pairs at cosine .93 share only one.
-PAIRED_FROM = 1 << 21
 #: A label whose lists hold this many times all its pairs is compared whole, in one list of this pivot number.
 CROWDED, EVERY = 2, -1
 #: Vectors of one list in one block: an eighth of the list within these bounds. How many meet another block's at a time.
@@ -87,8 +85,8 @@ def _flat(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _first_here(x: np.ndarray, y: np.ndarray, last: int, level: int) -> np.ndarray:
-    """Whether two vectors share ``level`` pivots below ``last``: then no other list that both are in comes before."""
+def _first_here(x: np.ndarray, y: np.ndarray, last: int) -> np.ndarray:
+    """Whether two vectors share no pivot below ``last``: then no other list that both are in comes before."""
     below = np.unique(np.concatenate([x[x < last], y[y < last]]))
     shared = np.zeros((len(x), len(y)), np.float32)
     if len(below):
@@ -100,7 +98,7 @@ def _first_here(x: np.ndarray, y: np.ndarray, last: int, level: int) -> np.ndarr
             table[row, at[row, col]] = 1
             has.append(table)
         shared = has[0] @ has[1].T
-    return shared == level
+    return shared == 0
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +110,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in group_bounds(group):
             part = rows.slice(lo, hi - lo)
             own, block, weight = (part.column(x).to_numpy() for x in ("own", "block", "weight"))
-            last, level, one = part.column("last")[0].as_py(), part.column("level")[0].as_py(), part.column("i")[0] == part.column("j")[0]
+            last, one = part.column("last")[0].as_py(), part.column("i")[0] == part.column("j")[0]
             unit, pivots = _unit(_flat(part.column("embedding"), len(own)).astype(np.float64)), _flat(part.column("pivots"), len(own))
             left = np.arange(len(own)) if one else np.flatnonzero(block == part.column("i")[0].as_py())
             right = left if one else np.flatnonzero(block == part.column("j")[0].as_py())
@@ -124,7 +122,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     near[np.arange(len(x)), a + np.arange(len(x))] = False
                 if last != EVERY:
                     r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                    near[np.ix_(r, c)] &= _first_here(pivots[x[r]], pivots[right[c]], last, level)
+                    near[np.ix_(r, c)] &= _first_here(pivots[x[r]], pivots[right[c]], last)
                 link[a : a + STRIP] = near
             r, c = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
             link = link[np.ix_(r, c)]
@@ -136,7 +134,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(own[at]), pa.array(np.rint(n).astype(np.int64)), pa.array(own[node[reached]])], ["own", "links", "other"])
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", vectors_a_pivot: int = VECTORS_A_PIVOT, paired_from: int = PAIRED_FROM, blocks: tuple[int, int] = BLOCKS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", vectors_a_pivot: int = VECTORS_A_PIVOT, blocks: tuple[int, int] = BLOCKS) -> DataFrame:
     """Vectors of equal label that link at cosine >= LEAST_COSINE in double precision.
 
     Returns one row per input row: ``vec_id, n_links`` (other rows linked directly), ``component_id`` (smallest id
@@ -146,9 +144,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     of its own vector; a row with a null id keeps a row and takes the group of a vector that it copies. Other columns
     are not read; an empty table gives an empty one.
 
-    A label has pivots in proportion to its vectors, so that a list stays about as long as it is until MOST_PIVOTS;
-    labels of over ``paired_from`` vectors go by lists of pairs of pivots. All vectors that share a pivot (or a pair) are
-    compared, each two in one list. A label whose vectors crowd into the same lists, so that these hold CROWDED times its
+    A label has pivots in proportion to its vectors, so that a list stays about as long as it is until MOST_PIVOTS. All
+    vectors that share a pivot are compared, each two in one list, whatever the label's size. A label whose vectors crowd into the same lists, so that these hold CROWDED times its
     pairs or more, is compared whole instead. Lists are cut into blocks, and each pair of blocks is compared in a group
     of its own, so that a long list never meets in one task; links leave the task as one count and one link per vector.
     """
@@ -167,26 +164,22 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     group = ["label", "size"]
     power = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / vectors_a_pivot))).cast("int")
     plan = classes.groupBy(*group).agg(F.count("*").alias("n"))
-    plan = plan.select(*group, F.greatest(F.lit(LEAST_PIVOTS), F.least(F.lit(MOST_PIVOTS), power)).alias("n_pivots"), (F.col("n") > paired_from).alias("paired"))
+    plan = plan.select(*group, F.greatest(F.lit(LEAST_PIVOTS), F.least(F.lit(MOST_PIVOTS), power)).alias("n_pivots"))
     described = join_by_key(classes.select("own", "embedding", "label", "size", "weight"), plan, group, ["own"])
-    described = described.select("own", "embedding", "label", "size", "weight", "n_pivots", "paired")
-    index = stored(described.mapInArrow(_described, f"own long, embedding {kind}, label string, size int, weight long, n_pivots int, paired boolean, pivots array<smallint>"), "pivot-index")
-
-    ordered = F.sort_array("pivots")
-    entry = lambda *of: F.struct(of[-1].cast("int").alias("last"), F.lit(len(of) - 1).alias("level"), F.xxhash64("label", "size", *of).alias("list"))
-    singles = F.transform(ordered, lambda p: entry(p))
-    pairs = F.flatten(F.transform(ordered, lambda p, i: F.transform(F.slice(ordered, i + 2, F.lit(PREFIX)), lambda q: entry(p, q))))
-    lists = index.withColumn("lists", F.when(F.col("paired"), pairs).otherwise(singles))
+    described = described.select("own", "embedding", "label", "size", "weight", "n_pivots")
+    index = stored(described.mapInArrow(_described, f"own long, embedding {kind}, label string, size int, weight long, n_pivots int, pivots array<smallint>"), "pivot-index")
+
+    singles = F.transform("pivots", lambda p: F.struct(p.cast("int").alias("last"), F.xxhash64("label", "size", p).alias("list")))
+    lists = index.withColumn("lists", singles)
     load = lists.select(*group, F.explode("lists.list").alias("list")).groupBy(*group, "list").agg(F.count("*").cast("double").alias("n"))
-    each = F.when(F.first("paired"), F.lit(PREFIX * (PREFIX - 1) / 2)).otherwise(F.lit(float(PREFIX)))
-    load = load.join(plan.select(*group, "paired"), group).groupBy(*group).agg((F.sum(F.col("n") * F.col("n")) >= CROWDED * F.pow(F.sum("n") / each, F.lit(2))).alias("crowded"))
-    whole = F.array(F.struct(F.lit(EVERY).alias("last"), F.lit(0).alias("level"), F.xxhash64("label", "size").alias("list")))
+    load = load.groupBy(*group).agg((F.sum(F.col("n") * F.col("n")) >= CROWDED * F.pow(F.sum("n") / PREFIX, F.lit(2))).alias("crowded"))
+    whole = F.array(F.struct(F.lit(EVERY).alias("last"), F.xxhash64("label", "size").alias("list")))
     lists = join_by_key(lists, load, group, ["own"]).select("own", "weight", "pivots", "embedding", F.inline(F.when(F.col("crowded"), whole).otherwise(F.col("lists"))))
     lengths = lists.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
     lengths = lengths.select("list", F.ceil(F.col("n") / F.greatest(F.lit(blocks[0]), F.least(F.lit(blocks[1]), F.col("n") / 8))).cast("int").alias("blocks"))
     lists = join_by_key(lists, lengths, ["list"], ["own"]).withColumn("block", F.pmod(F.xxhash64("own"), "blocks").cast("int"))
     lists = lists.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lists = lists.select("list", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"), "block", "last", "level", "own", "weight", "pivots", "embedding")
+    lists = lists.select("list", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"), "block", "last", "own", "weight", "pivots", "embedding")
     lists = lists.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     found = stored(lists.mapInArrow(_compared, "own long, links long, other long"), "pivot-links")
 

@@ -104,7 +104,7 @@ def _vectors():
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"blocks": (8, 8)}, {"paired_from": 3, "vectors_a_pivot": 1}])
+@pytest.mark.parametrize("options", [{}, {"blocks": (8, 8)}, {"vectors_a_pivot": 1}])
 def test_pivots_equal_all_pairs(spark, options):
     rows = _vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, pivots string")

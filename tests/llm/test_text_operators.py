@@ -178,11 +178,12 @@ def test_no_language_is_dropped(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
-def test_a_small_language_keeps_its_words(spark, monkeypatch):
-    monkeypatch.setattr(language, "MOST_KEYS", 4)
+def test_a_small_language_keeps_its_words(spark):
     rows = [(i, "alpha beta gamma delta", "big") for i in range(50)] + [(99, "omega sigma", "small")]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.keys[0]) == 6
+    few = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert len(few.languages) == 2 and len(few.keys[0]) in (4, 6)
 
 
 def _language_rows():
@@ -202,7 +203,8 @@ def test_language_equals_plain_python(spark):
     grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n else [w]
     words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     count = [{k: Counter(g for _, t, k2 in learned if k2 == k for w in words(t) for g in grams(w, n)) for k in ("aa", "bb", "cc")} for n in range(6)]
-    value = lambda n, g: np.array([math.log((c[g] + language.SMOOTHING) / (c.total() + language.SMOOTHING * language.MOST_KEYS)) for c in count[n].values()])
+    kinds = [len(set().union(*count[n].values())) + 1 for n in range(6)]
+    value = lambda n, g: np.array([math.log((c[g] + language.SMOOTHING) / (c.total() + language.SMOOTHING * kinds[n])) for c in count[n].values()])
     for r in language.predict(frame, model).collect():
         total, own = np.zeros(3), words(rows[r.doc_id][1])
         for w in own:
