@@ -28,20 +28,20 @@ def numerically_equal(a: str | Column, b: str | Column, tolerance: float = 0.01)
 
 @F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters (longest matching blocks, recursively)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Twice the matching characters over all characters (longest matching blocks, recursively); null for nulls."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def text_similarity(pairs: DataFrame, a: str, b: str, out: str = "similarity", tolerance: float = 0.01) -> DataFrame:
     """1 for equal normal outputs, and for close ones with equal numbers; else the matching ratio.
 
-    Only rows that differ reach the Python function.
+    The Python function gets nulls for rows that do not differ.
     """
     rows = pairs.withColumns({"_a": normal_output(a), "_b": normal_output(b)})
-    same = rows.filter(F.col("_a") == F.col("_b")).withColumn(out, F.lit(1.0))
-    other = rows.filter(F.col("_a") != F.col("_b")).withColumn(out, matching_ratio("_a", "_b"))
-    other = other.withColumn(out, F.when((F.col(out) > 0.90) & numerically_equal(a, b, tolerance), 1.0).otherwise(F.col(out)))
-    return same.unionByName(other).drop("_a", "_b")
+    same = F.col("_a") == F.col("_b")
+    rows = rows.withColumn(out, matching_ratio(F.when(~same, F.col("_a")), F.when(~same, F.col("_b"))))
+    close = (F.col(out) > 0.90) & numerically_equal(a, b, tolerance)
+    return rows.withColumn(out, F.when(same | close, 1.0).otherwise(F.col(out))).drop("_a", "_b")
 
 
 def output_score(stdout: Column, files: Column, stderr: Column) -> Column:

@@ -51,7 +51,7 @@ def gates(*found: Column) -> Column:
 def verdict(sc: Column, dq: Column, bf: Column, failures: Column, weights: dict[str, float] = WEIGHTS, thresholds: dict[str, float] = THRESHOLDS) -> Column:
     """Struct of ``lcb`` (0 to 100, 0 with any critical failure), ``passed`` and ``reason``."""
     tracks = {"sc": sc, "dq": dq, "bf": bf}
-    percent = lambda x: F.format_string("%.0f%%", x * 100)
+    percent = lambda x: F.concat(F.bround(x * 100).cast("long").cast("string"), F.lit("%"))  # noqa: E731  (halves go to the even number)
     missed = F.filter(F.array(*[F.when(tracks[k] < thresholds[k], F.concat(F.lit(k.upper() + " ("), percent(tracks[k]), F.lit(f" < {thresholds[k] * 100:.0f}%)"))) for k in tracks]), lambda x: x.isNotNull())
     failed, total = F.size(failures) > 0, reduce(add, [tracks[k] * weights[k] for k in tracks]) * 100
     reason = F.when(failed, F.concat(F.lit("Critical failure: "), F.get(failures, F.lit(0)))).when(F.size(missed) == 0, "All thresholds met").otherwise(F.concat(F.lit("Failed thresholds: "), F.array_join(missed, ", ")))

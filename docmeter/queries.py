@@ -5,44 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmeter.functions import text as t
-from docmeter.lexicons import CORPUS, DOCUMENT_WEIGHTS, WEIGHTS
+from docmeter.lexicons import CORPUS, WEIGHTS
 from docmeter.operators import board, claims, compare, scoring, selection, similarity
 from docmeter.plans.documents import document_board, scored_documents
+from docmeter.document_sql import WHITE_SPACE, scored_sql
 from docmeter.registry import ORACLE_SQL, QUERIES, fixed, query, table
 from docmeter.sources.results import merged
 from docmeter.streaming.board import windowed_means
 
-_WS = r"[\x20\x09-\x0D]+"
+_WS = WHITE_SPACE
 
 
 # Documents
 
 
-def _sql_terms(terms, of="low") -> str:
-    return " + ".join(rf"len(regexp_extract_all({of}, '\b{x}\b'))" for x in terms)
-
-
-_SYLLABLES = """CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, (CASE WHEN w LIKE '%e' THEN greatest(1, len(regexp_extract_all(w, '[aeiou]+')) - 1) ELSE len(regexp_extract_all(w, '[aeiou]+')) END) + CASE WHEN regexp_matches(w, '[^aeiou]le$') THEN 1 ELSE 0 END) END"""
-
-_SCORED = rf"""
-d AS (
-  SELECT doc_id, source, n_chars, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_\x20\x09-\x0D.]', ' ', 'g') AS plain, len(string_split(text, chr(10))) AS n_lines FROM documents
-), f AS (
-  SELECT *, list_filter(regexp_split_to_array(plain, '{_WS}'), lambda x: x <> '') AS ws, greatest(1, len(regexp_extract_all(plain, '[.]+'))) AS sentences,
-    regexp_extract_all(text, '(?i)(?:line[\x20\x09-\x0D]*|L)([0-9]+)(?:[\x20\x09-\x0D]*-[\x20\x09-\x0D]*([0-9]+))?', 1) AS c1, regexp_extract_all(text, '(?i)(?:line[\x20\x09-\x0D]*|L)([0-9]+)(?:[\x20\x09-\x0D]*-[\x20\x09-\x0D]*([0-9]+))?', 2) AS c2,
-    {_sql_terms(CORPUS.why)} AS why, {_sql_terms(CORPUS.what)} AS what, ({" + ".join(f"regexp_matches(low, '{p}')::INT" for p in CORPUS.sections.values())}) / 4.0::DOUBLE AS structure FROM d
-), g AS (
-  SELECT *, len(ws) AS words, coalesce(list_sum(list_transform(list_transform(ws, lambda x: lower(x)), lambda w: {_SYLLABLES})), 0) AS syllables, len(c1) AS citations,
-    len(list_filter(range(1, len(c1) + 1), lambda i: c1[i]::HUGEINT BETWEEN 1 AND n_lines AND coalesce(nullif(c2[i], ''), c1[i])::HUGEINT BETWEEN 1 AND n_lines)) AS valid FROM f
-), h AS (
-  SELECT *, greatest(0.0, least(20.0, 0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / greatest(1, words) - 15.59::DOUBLE)) AS grade FROM g
-), s AS (
-  SELECT *, CASE WHEN citations > 0 THEN valid / citations ELSE 0.5 END AS traceability, CASE WHEN words = 0 THEN 0.5 ELSE greatest(0.0, 1.0 - greatest(0.0, 8.0 - grade, grade - 12.0) * 0.05) END AS readability,
-    CASE WHEN why + what = 0 THEN 0.5 ELSE least(1.0, why / (why + what) / 0.4::DOUBLE) END AS abstraction FROM h
-), scored AS (
-  SELECT *, {" + ".join(f"{k} * {w}::DOUBLE" for k, w in DOCUMENT_WEIGHTS.items())} AS dq FROM s
-)
-"""
+_DOCUMENTS = "SELECT doc_id, source, n_chars, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_\\x20\\x09-\\x0D.]', ' ', 'g') AS plain, len(string_split(text, chr(10))) AS n_lines FROM documents"
+_SCORED = scored_sql(CORPUS, _DOCUMENTS)
 
 
 @query("d1_document_quality", f"WITH {_SCORED} SELECT doc_id, " + ", ".join(f"floor({c}::DOUBLE * 1e6 + 0.5) / 1e6 AS {c}" for c in ("structure", "traceability", "readability", "abstraction", "dq")) + " FROM scored")

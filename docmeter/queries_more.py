@@ -45,16 +45,18 @@ def h3(spark, sf_dir):
     return sc.data_fields(programs(spark, sf_dir)).filter("level > 1").select("program", "name", *[fixed(bounds[k]).alias(k) for k in ("least", "middle", "greatest")])
 
 
-@query("h19_output_similarity", f"{_T} SELECT program, CASE program % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 WHEN 2 THEN 0e0 ELSE 0.5e0 END AS similarity, program % 4 <= 1 AS numbers_equal, CASE program % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 WHEN 2 THEN 0.1e0 ELSE {sql_fixed('0.5e0 * 0.5e0 + 0.4e0 * 0e0 + 0.1e0')} END AS score, {sql_fixed('CASE program % 4 WHEN 0 THEN 0e0 ELSE 1 / 3 END')} AS gaps, program % 4 <> 2 AS tolerated FROM t")
+_RATIO = "CASE program % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 WHEN 2 THEN 0e0 ELSE 2e0 * (3 + program % 9) / (2 * (3 + program % 9) + 5) END"
+
+
+@query("h19_output_similarity", f"{_T} SELECT program, {sql_fixed(_RATIO)} AS similarity, program % 4 <= 1 AS numbers_equal, {sql_fixed(f'0.5e0 * ({_RATIO}) + CASE WHEN program % 4 <= 1 THEN 0.4e0 ELSE 0e0 END + 0.1e0')} AS score, {sql_fixed('CASE program % 4 WHEN 0 THEN 0e0 ELSE 1 / 3 END')} AS gaps, program % 4 <> 2 AS tolerated FROM t")
 def h19(spark, sf_dir):
-    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("program") % 4).cast("int"))
-    a, b = pick("x  y\r\nz 1", "A LONG LINE WITH A TOTAL OF 10.001", "abc 1", "abcd 12"), pick("x y\nz 1", "A LONG LINE WITH A TOTAL OF 10.002", "xyzwvu", "abcdefg")
+    pick = lambda *xs: F.get(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (F.col("program") % 4).cast("int"))
+    run = F.repeat(F.lit("q"), (3 + F.col("program") % 9).cast("int"))
+    a, b = pick("x  y\r\nz 1", "A LONG LINE WITH A TOTAL OF 10.001", "abc 1", F.concat(run, F.lit("2"))), pick("x y\nz 1", "A LONG LINE WITH A TOTAL OF 10.002", "xyzwvu", F.concat(F.lit("wv"), run, F.lit("zy")))
     rows = programs(spark, sf_dir).select("program", a.alias("a"), b.alias("b"), pick("3.5", "1.00001", "1.0", " Yes").alias("x"), pick("3.50", "1.0", "1.1", "yes ").alias("y"), pick("MOVE A\n* c", "A\n[GAP: b]\nC", "A\n[GAP: b]\nC", "A\n[GAP: b]\nC").alias("code"))
     out = compare.text_similarity(rows, "a", "b")
-    similarity = F.when(F.col("program") % 4 == 3, F.floor(F.col("similarity") * 2) / 2).otherwise(F.when(F.col("similarity") < 0.2, 0.0).otherwise(F.col("similarity")))
-    out = out.withColumn("similarity", similarity)
     files = F.when(F.col("program") % 4 <= 1, 1.0).otherwise(0.0)
-    return out.select("program", "similarity", compare.numerically_equal("a", "b").alias("numbers_equal"), fixed(compare.output_score(F.col("similarity"), files, F.lit(1.0))).alias("score"), fixed(compare.gap_share("code")).alias("gaps"), behaviour.tolerant_match(F.col("x"), F.col("y")).alias("tolerated"))
+    return out.select("program", fixed(F.col("similarity")).alias("similarity"), compare.numerically_equal("a", "b").alias("numbers_equal"), fixed(compare.output_score(F.col("similarity"), files, F.lit(1.0))).alias("score"), fixed(compare.gap_share("code")).alias("gaps"), behaviour.tolerant_match(F.col("x"), F.col("y")).alias("tolerated"))
 
 
 def _sql_normal(x: str) -> str:

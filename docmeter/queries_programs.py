@@ -10,7 +10,11 @@ from docmeter.operators import evaluation as ev
 from docmeter.operators import scoring, verifier
 from docmeter.operators import source_code as sc
 from docmeter.plans.evaluation import evaluated
+from docmeter.plans.routed import routed_evaluation
 from docmeter.plans.programs import FIXED_LINES, HEAD_LINES, STEPS_SQL, TEXTS_SQL, programs
+from docmeter.document_sql import scored_sql
+from docmeter.lexicons import THRESHOLDS, Lexicon
+from docmeter.operators.checklists import KIND_WORDS
 from docmeter.registry import fixed, query, sql_fixed
 
 _S, _T = f"WITH {STEPS_SQL}", f"WITH {TEXTS_SQL}"
@@ -279,12 +283,66 @@ z AS (SELECT *, 0.40e0 * rules + 0.25e0 * fields + 0.20e0 * flow + 0.15e0 * exte
   list_filter([CASE WHEN high > 0 AND NOT even THEN 'CF-01' END, CASE WHEN reads_hit < greatest(1, (1 + reads) // 2) THEN 'CF-04' END, CASE WHEN calls >= 5 AND claims > 0 AND matched / calls < 0.30 THEN 'CF-05' END], lambda c: c IS NOT NULL) AS failures FROM y)"""
 
 
-@query("i21_full_evaluation", f"{_S}, {_EVALUATED} SELECT program, claims, {sql_fixed('rules')} AS rules, {sql_fixed('fields')} AS fields, {sql_fixed('flow')} AS flow, {sql_fixed('external')} AS external, {sql_fixed('sc')} AS sc, {sql_fixed('bf')} AS bf, array_to_string(failures, ',') AS failures, CASE WHEN len(failures) > 0 THEN 0e0 ELSE {sql_fixed('30 * sc + 50 * bf')} END AS lcb_without_dq FROM z")
+_QUALITY = f"""q AS (WITH {scored_sql(Lexicon(), "SELECT program AS doc_id, document AS text, lower(document) AS low, regexp_replace(document, '[^A-Za-z0-9_. ]', ' ', 'g') AS plain, len(string_split(source, chr(10))) AS n_lines FROM t")} SELECT doc_id AS program, dq FROM scored)"""
+_MISSED = lambda k, least: f"CASE WHEN {k} < {least}e0 THEN '{k.upper()} (' || printf('%.0f', 100 * {k}) || '% < {100 * least:.0f}%)' END"
+#: From ``program, sc, dq, bf, failures`` of ``w``.
+_FINAL = f"""missed AS (SELECT *, concat_ws(', ', {', '.join(_MISSED(k, v) for k, v in THRESHOLDS.items())}) AS missed FROM w), final AS (SELECT *, CASE WHEN len(failures) > 0 THEN 0e0 ELSE {sql_fixed('100 * (0.30e0 * sc + 0.20e0 * dq + 0.50e0 * bf)')} END AS lcb, len(failures) = 0 AND missed = '' AS passed,
+  CASE WHEN len(failures) > 0 THEN 'Critical failure: ' || failures[1] WHEN missed = '' THEN 'All thresholds met' ELSE 'Failed thresholds: ' || missed END AS reason FROM missed)"""
+_TRACKS = {"business_rules": "rules", "data_structures": "fields", "control_flow": "flow", "external_calls": "external", "sc": "sc", "dq": "dq", "bf": "bf", "lcb": "lcb"}
+_FIXED = ", ".join(f"{sql_fixed(c)} AS {c}" for c in ("sc", "dq", "bf"))
+
+
+@query("i21_full_evaluation", f"WITH {STEPS_SQL}, {TEXTS_SQL}, {_EVALUATED}, {_QUALITY}, w AS (SELECT z.*, q.dq FROM z JOIN q USING (program)), {_FINAL} SELECT program, claims, {sql_fixed('rules')} AS rules, {sql_fixed('fields')} AS fields, {sql_fixed('flow')} AS flow, {sql_fixed('external')} AS external, {_FIXED}, lcb, array_to_string(failures, ',') AS failures, passed, reason FROM final")
 def i21(spark, sf_dir):
     out = evaluated(programs(spark, sf_dir))
-    rest = F.when(F.size("failures") > 0, F.col("lcb")).otherwise(fixed(F.col("lcb") - 20 * F.col("dq")))
-    names = {"business_rules": "rules", "data_structures": "fields", "control_flow": "flow", "external_calls": "external", "sc": "sc", "bf": "bf"}
-    return out.select("program", "claims", *[fixed(F.col(k)).alias(v) for k, v in names.items()], F.array_join("failures", ",").alias("failures"), rest.alias("lcb_without_dq"))
+    return out.select("program", "claims", *[fixed(F.col(k)).alias(v) for k, v in _TRACKS.items()], F.array_join("failures", ",").alias("failures"), "passed", "reason")
+
+
+#: Tests of the claims of a report: two for each rule, one more for the sentence on data; a test's run fails for one in three.
+_TESTED = """k AS (SELECT program, n, CASE WHEN program % 2 = 0 THEN n ELSE 0 END AS rules, (program % 5 = 0)::INT AS other FROM p), j AS (SELECT *, unnest(range(1, 2 * rules + other + 1)) AS test_no FROM k),
+r AS (SELECT program, count(*) FILTER (WHERE test_no <> 5 AND (program + test_no) % 3 <> 0) AS ran, count(*) FILTER (WHERE test_no <> 5 AND (program + test_no) % 3 = 0) AS fell FROM j GROUP BY program)"""
+
+
+def _runs(spark, sf_dir):
+    """A run for each test number but 5."""
+    rows = programs(spark, sf_dir).select("program", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4, *range(6, 16))])).alias("test_no"))
+    fine = (F.col("program") + F.col("test_no")) % 3 != 0
+    return rows.select("program", "test_no", fine.alias("success"), F.lit("nothing to see").alias("stdout"), F.when(~fine, "abend S0C7").alias("error"))
+
+
+_EXECUTED = f"""x2 AS (SELECT z.*, coalesce(ran, 0) AS ran, coalesce(fell, 0) AS fell, pure, n + 1 - pure AS infra FROM z LEFT JOIN r USING (program)),
+y2 AS (SELECT *, CASE WHEN claims = 0 THEN 1e0 WHEN ran = 0 AND z_skipped + fell > 0 THEN 1e0 WHEN ran + fell = 0 THEN 0.5e0 ELSE ran / (ran + fell) END AS score, ran = 0 AND z_skipped + fell > 0 AS by_form FROM (SELECT x2.*, (SELECT count(*) FROM j WHERE j.program = x2.program AND test_no = 5) AS z_skipped FROM x2)),
+w AS (SELECT program, claims, sc, dq, CASE WHEN claims = 0 THEN 0e0 ELSE (pure * score + infra * (w + (1 - w) * bsm)) / (n + 1) END AS bf,
+  list_filter([CASE WHEN high > 0 AND NOT even THEN 'CF-01' END, CASE WHEN claims > 0 AND pure > 0 AND NOT by_form AND fell >= 0.5 * (ran + fell + infra_claims) THEN 'CF-03' END, CASE WHEN reads_hit < greatest(1, (1 + reads) // 2) THEN 'CF-04' END, CASE WHEN calls >= 5 AND claims > 0 AND matched / calls < 0.30 THEN 'CF-05' END], lambda c: c IS NOT NULL) AS failures
+  FROM (SELECT *, CASE WHEN infra > 0 THEN claims ELSE 0 END AS infra_claims FROM y2 JOIN q USING (program)))"""
+
+
+@query("i21_with_executions", f"WITH {STEPS_SQL}, {TEXTS_SQL}, {_EVALUATED}, {_QUALITY}, {_TESTED}, {_EXECUTED}, {_FINAL} SELECT program, claims, {_FIXED}, lcb, array_to_string(failures, ',') AS failures, passed, reason FROM final")
+def i21_executed(spark, sf_dir):
+    out = evaluated(programs(spark, sf_dir), executions=_runs(spark, sf_dir))
+    return out.select("program", "claims", *[fixed(F.col(k)).alias(k) for k in ("sc", "dq", "bf", "lcb")], F.array_join("failures", ",").alias("failures"), "passed", "reason")
+
+
+def _compilations(spark, sf_dir):
+    """First runs: fine, a missing book, none, a compiler's error; and for some a failure after compiling."""
+    kind = F.col("program") % 4
+    rows = programs(spark, sf_dir).filter(kind != 2)
+    error = F.when(F.col("program") % 8 == 4, "abend S0C7").when(kind == 1, "error: copybook COMMON1 not found").when(kind == 3, "fatal error near STEP-1")
+    return rows.select("program", error.isNull().alias("success"), error.alias("error"))
+
+
+_MENTIONED = lambda t, kind: f"(contains(upper(document), {t}) OR contains(upper(document), substr({t}, 1, 6))) AND (" + " OR ".join(f"contains(lower(document), '{w}')" for w in KIND_WORDS[kind]) + ")"
+_ROUTED = f"""m AS (SELECT program, count(*) FILTER (WHERE kind IN (4, 5, 6, 8)) AS all_calls, count(*) FILTER (WHERE CASE kind WHEN 4 THEN {_MENTIONED("'SUBP' || k", 'call')} WHEN 5 THEN {_MENTIONED("'WS-PGM'", 'call')} WHEN 6 THEN {_MENTIONED("'CUST'", 'file')} WHEN 8 THEN {_MENTIONED("'CUSTOMERS'", 'sql')} ELSE false END) AS said FROM s JOIN (SELECT program, document FROM t) USING (program) GROUP BY program),
+v AS (SELECT k.program, k.rules + k.other AS claims, 2 * k.rules + k.other AS tests, CASE WHEN k.rules > 0 THEN (SELECT count(*) FROM s WHERE s.program = k.program AND kind = 1) ELSE 0 END AS verified, CASE WHEN all_calls = 0 THEN 1e0 ELSE said / all_calls END AS call_score, all_calls, said, coalesce(ran, 0) AS ran FROM k JOIN m USING (program) LEFT JOIN r USING (program)),
+o AS (SELECT *, CASE WHEN claims = 0 THEN 'error' WHEN program % 4 = 0 THEN 'executed' ELSE 'static' END AS mode, CASE WHEN claims = 0 THEN 'silence_penalty' WHEN program % 4 = 0 THEN 'compiled' WHEN program % 4 = 1 THEN 'copybook_missing' WHEN program % 4 = 2 THEN 'execution_disabled' ELSE 'other' END AS mode_reason, CASE program % 4 WHEN 1 THEN true WHEN 3 THEN false END AS fixable FROM v),
+w AS (SELECT o.program, o.claims, o.tests, o.mode, o.mode_reason, o.fixable, o.all_calls, o.said, z.sc, q.dq, CASE o.mode WHEN 'error' THEN 0e0 WHEN 'executed' THEN 0.6e0 * (ran / tests) + 0.4e0 * call_score ELSE 0.6e0 * least(1e0, (verified + 0.5e0 * (o.claims - verified)) / 6e0) + 0.4e0 * call_score END AS bf,
+  list_filter(list_concat(z.failures, [CASE WHEN o.mode = 'error' THEN 'CF-03' END]), lambda c: c IS NOT NULL AND c <> 'CF-05') AS failures FROM o JOIN z USING (program) JOIN q USING (program))"""
+
+
+@query("i22_routed_evaluation", f"WITH {STEPS_SQL}, {TEXTS_SQL}, {_EVALUATED}, {_QUALITY}, {_TESTED}, {_ROUTED}, {_FINAL} SELECT program, claims, tests, mode, mode_reason, fixable, all_calls AS calls, said AS matched, {_FIXED}, lcb, array_to_string(failures, ',') AS failures, passed, reason FROM final")
+def i22(spark, sf_dir):
+    out = routed_evaluation(programs(spark, sf_dir), _compilations(spark, sf_dir), _runs(spark, sf_dir))
+    return out.select("program", "claims", "tests", "mode", "mode_reason", "fixable", "calls", "matched", *[fixed(F.col(k)).alias(k) for k in ("sc", "dq", "bf", "lcb")], F.array_join("failures", ",").alias("failures"), "passed", "reason")
 
 
 @query("g7_names_in_other_words", f"{_S} SELECT program, k, k = 1 OR k >= 5 AS named FROM s WHERE k <= 6")

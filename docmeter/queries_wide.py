@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmeter.operators import checklists, fuzzy, generations, static_claims, verifier
+from docmeter.operators import checklists, executions, fuzzy, generations, static_claims, verifier
 from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.plans import programs as first_form
@@ -247,3 +247,82 @@ def e20(spark, sf_dir):
     return out.select("program", "rule_id", "keyword_ratio", fixed(F.col("sentence_ratio")).alias("sentence_ratio"), "documented")
 
 
+# Tests with values, and given executions
+
+_MOST = lambda k: f"(10e0 ** ({k} + 3) - 1) / 100e0"
+_TEST_CLAIMS = (
+    ("calculation", "'the product of two fields'", "'WS-FLD-' || CAST(1 + program % n AS STRING)", "array('WS-FLD-1', 'ws-fld-2')"), ("conditional", "'when it is high'", "'WS-FLAG'", "array('WS-FLD-2', 'WS-X')"), ("range", "'from least to most'", "'WS-FLD-1'", "array()"),
+    ("error", "'an error'", "NULL", "array()"), ("assignment", "'is set'", "'WS-FLD-1'", "array('WS-FLD-2')"), ("calculation", "'computes the sum'", "'WS-OTHER'", "array('WS-X', 'WS-FLD-1')"), ("calculation", "'no inputs'", "'WS-FLD-2'", "array()"),
+)
+
+
+def _product(target: str) -> str:
+    return f"least({target}, {_MOST(1)}) * least({target}, {_MOST(2)})"
+
+
+_K = "(1 + program % n)"
+_TESTS_OF = ", ".join(
+    "{" + f"claim_id: {c}, nth: {nth}, test_type: '{kind}', priority: {p}, input_total: {total}, expected: {expected}" + "}"
+    for c, nth, kind, p, total, expected in [
+        *[(0, i, kind, p, f"least({t}, {_MOST(1)}) + least({t}, {_MOST(2)})", _product(t)) for i, (kind, p, t) in enumerate([("min", 1, "0.01e0"), ("mid", 2, f"{_MOST(_K)} / 2"), ("max", 1, _MOST(_K))])],
+        (1, 0, "condition_true", 1, _MOST(2), "NULL"), (1, 1, "condition_false", 1, "0.01e0", "NULL"), (2, 0, "range_min", 1, "0e0", "NULL"), (2, 1, "range_max", 1, "100e0", "NULL"), (2, 2, "range_below", 2, "-1e0", "NULL"), (3, 0, "error", 2, "0e0", "NULL"), (4, 0, "mid", 3, "0e0", "NULL"),
+        (5, 0, "min", 1, "0e0", "0e0"), (5, 1, "mid", 2, f"50e0 + least(50e0, {_MOST(1)})", f"50e0 + least(50e0, {_MOST(1)})"), (5, 2, "max", 1, f"100e0 + least(100e0, {_MOST(1)})", f"100e0 + least(100e0, {_MOST(1)})"), *[(6, i, kind, p, "0e0", "NULL") for i, (kind, p) in enumerate([("min", 1), ("mid", 2), ("max", 1)])],
+    ]
+)
+_VALUED = f"v AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY priority, claim_id, nth) AS test_no FROM (SELECT program, unnest([{_TESTS_OF}], recursive := true) FROM p))"
+
+
+@query("h2_tests_with_values", f"WITH {first_form.STEPS_SQL}, {_VALUED} SELECT program, test_no::INT AS test_no, claim_id, test_type, priority, {sql_fixed('input_total')} AS input_total, {sql_fixed('expected')} AS expected FROM v WHERE test_no <= 15")
+def h2(spark, sf_dir):
+    rows = first_form.programs(spark, sf_dir)
+    claim = lambda i, kind, text, out, names: F.struct(F.lit(i).alias("claim_id"), F.lit(kind).alias("claim_type"), F.expr(text).alias("text"), F.expr(out).cast("string").alias("output_var"), F.expr(names).cast("array<string>").alias("input_vars"))
+    claims = rows.select("program", F.inline(F.array(*[claim(i, *c) for i, c in enumerate(_TEST_CLAIMS)])))
+    tests = executions.claim_tests(claims, sc.data_fields(rows))
+    total = F.aggregate(F.map_values("inputs"), F.lit(0.0), lambda a, b: a + b)
+    return tests.select("program", "test_no", "claim_id", "test_type", "priority", fixed(total).alias("input_total"), fixed(F.get(F.map_values("expected"), F.lit(0))).alias("expected"))
+
+
+def _executions(spark, sf_dir):
+    """Three tests a program that expect its number, and a run of each by number: right, wrong, not compiled, failed."""
+    rows = first_form.programs(spark, sf_dir).select("program", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("test_no"))
+    number, how = F.col("program"), (F.col("program") + F.col("test_no")) % 4
+    tests = rows.select("program", "test_no", F.create_map(F.lit("WS-OUT"), number.cast("double")).alias("expected"), number.cast("string").alias("expected_text"))
+    printed = F.when(how == 0, F.concat(F.lit("ws_out = "), number.cast("string"))).when(how == 1, "WS-OUT: -1")
+    runs = rows.select("program", "test_no", (how <= 1).alias("success"), printed.alias("stdout"), F.when(how == 2, "Compilation failed: x").when(how == 3, "abend").alias("error"))
+    return tests, runs
+
+
+_OUTCOMES = "o AS (SELECT program, CASE WHEN program % 4 IN (0, 2, 3) THEN 1 ELSE 0 END AS verified, CASE program % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS failed, CASE WHEN program % 4 = 3 THEN 0 ELSE 1 END AS skipped FROM p)"
+
+
+@query("m31_outcomes", f"WITH {first_form.STEPS_SQL}, {_OUTCOMES} SELECT * FROM o")
+def m31(spark, sf_dir):
+    return executions.executed_tests(*_executions(spark, sf_dir))
+
+
+@query("m32_claim_verification", f"""WITH {first_form.STEPS_SQL}, {_OUTCOMES}, c AS (SELECT *, program % 5 AS claims FROM o)
+SELECT program, claims, CASE WHEN claims = 0 THEN 1e0 WHEN program % 7 = 0 THEN 0.5e0 WHEN verified = 0 THEN {sql_fixed('least(1e0, 0.75e0 + 0.2e0 * ((claims + 1) // 2) / claims)')} ELSE {sql_fixed('verified / (verified + failed)')} END AS score, CASE WHEN claims = 0 OR program % 7 = 0 THEN 0 WHEN verified = 0 THEN claims ELSE verified END AS verified,
+CASE WHEN claims = 0 OR program % 7 = 0 OR verified = 0 THEN 0 ELSE failed END AS failed, CASE WHEN claims = 0 THEN 'no_claims' WHEN program % 7 = 0 THEN 'not_run' WHEN verified = 0 THEN 'by_form' ELSE 'executed' END AS method FROM c""")
+def m32(spark, sf_dir):
+    rows = first_form.programs(spark, sf_dir)
+    claims = rows.select("program", F.explode(F.expr("CASE WHEN program % 5 = 0 THEN array() ELSE sequence(1, cast(program % 5 as int)) END")).alias("i")).select("program", F.when(F.col("i") % 2 == 1, "WS-A").alias("output_var"), F.lit(0.75).alias("confidence"))
+    out = executions.claim_verification(rows, claims, executions.executed_tests(*_executions(spark, sf_dir)), F.col("program") % 7 != 0)
+    return out.withColumn("score", fixed(F.col("score")))
+
+
+@query("h17_run_summary", f"WITH {first_form.STEPS_SQL} SELECT program, 3 AS tests_total, CASE WHEN program % 4 = 1 THEN 0 ELSE 1 END + CASE WHEN contains('ws-out: -1', program::VARCHAR) AND program % 4 <> 2 THEN 1 ELSE 0 END AS tests_passed, 3 - tests_passed AS tests_failed FROM p")
+def h17(spark, sf_dir):
+    return executions.run_summary(*_executions(spark, sf_dir))
+
+
+@query("m40_outputs", f"WITH {first_form.STEPS_SQL} SELECT program, true AS anywhere, program % 3 = 0 AS nowhere, program % 2 = 0 AS agree, program % 4 <> 1 AS compiled FROM p")
+def m40(spark, sf_dir):
+    number = F.col("program").cast("string")
+    printed = F.concat(F.lit("Total "), number, F.lit(".004 of x"))
+    expected = lambda x: F.create_map(F.lit("A"), number, F.lit("B"), x)
+    other = F.concat(F.lit("SUM "), F.when(F.col("program") % 2 == 0, F.concat(number, F.lit(".001"))).otherwise(F.concat(number, F.lit(".9"))))
+    error = F.when(F.col("program") % 4 == 1, "x.cob:1: Error: bad").otherwise("abend S0C7")
+    return first_form.programs(spark, sf_dir).select(
+        "program", executions.printed_anywhere(printed, expected(F.lit("OF X"))).alias("anywhere"), executions.printed_anywhere(printed, expected(F.when(F.col("program") % 3 == 0, "total").otherwise("missing"))).alias("nowhere"),
+        executions.outputs_agree(printed, F.lit(0), other, F.lit(0)).alias("agree"), executions.compiled(F.lit(False), error).alias("compiled"),
+    )
