@@ -113,19 +113,23 @@ def round_robin(candidates: DataFrame, targets: dict[str, int], tier: str = "tie
     """Each tier's target, taken in turns from its datasets by name, each dataset's best first.
 
     A row is in round r if it is its dataset's r-th; rounds go by dataset name. Only rows of the first ``target`` rounds
-    can be chosen, so that the second window never sees more than datasets times target rows of a tier.
+    can be chosen: tasks keep no more of a dataset before they pass its rows on, nor of a tier for the second window.
     """
+    top = max([0, *targets.values()])
     most = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col(tier)], F.lit(0))
     turn = F.row_number().over(Window.partitionBy(tier, dataset).orderBy(F.desc(score), tie))
-    rows = candidates.withColumn("round", turn).filter(F.col("round") <= most)
+    rows = candidates.withColumn("round", turn).filter(F.col("round") <= top).filter(F.col("round") <= most)
     place = F.row_number().over(Window.partitionBy(tier).orderBy("round", dataset))
-    return rows.withColumn("place", place).filter(F.col("place") <= most)
+    return rows.withColumn("place", place).filter(F.col("place") <= top).filter(F.col("place") <= most)
 
 
 def representative(tasks: DataFrame, limit: int, tier: str = "tier", key: str = "task_id", offset: int = 0) -> DataFrame:
-    """One of each tier first, then the rest tier by tier: ``limit`` rows from ``offset`` on."""
+    """One of each tier first, then the rest tier by tier: ``limit`` rows from ``offset`` on.
+
+    No more than the first ``offset + limit`` rows of a tier can be among them; tasks keep no more before they pass rows on.
+    """
     first = F.row_number().over(Window.partitionBy(tier).orderBy(key))
-    rows = tasks.withColumn("nth", first)
+    rows = tasks.withColumn("nth", first).filter(F.col("nth") <= offset + limit)
     return rows.orderBy((F.col("nth") > 1).cast("int"), tier, "nth").offset(offset).limit(limit)
 
 

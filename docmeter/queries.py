@@ -10,7 +10,7 @@ from docmeter.operators import board, claims, compare, scoring, selection, simil
 from docmeter.plans.documents import document_board, scored_documents
 from docmeter.document_sql import WHITE_SPACE, scored_sql
 from docmeter.registry import ORACLE_SQL, QUERIES, fixed, query, table
-from docmeter.sources.results import merged
+from docmeter.sources.results import merged_digests
 from docmeter.streaming.board import windowed_means
 
 _WS = WHITE_SPACE
@@ -263,8 +263,7 @@ def k14(spark, sf_dir):
 
 @query("a25_merged_conversations", "SELECT conv_id, count(*) AS parts, length(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS n_chars, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id")
 def a25(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    return merged(rows, "conv_id", ["turn"], "text").select("conv_id", "parts", F.length("document").cast("long").alias("n_chars"), F.md5(F.col("document").cast("binary")).alias("digest"))
+    return merged_digests(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text").withColumnRenamed("md5", "digest")
 
 
 @query("h18_normal_output", r"""WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents), n AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09\x0B-\x0D]+', ' ', 'g'))), chr(10)), '\A\s+|\s+\z', '', 'g') AS t FROM r) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest, len(regexp_extract_all(t, '-?[0-9]+\.?[0-9]*')) AS numbers FROM n""")

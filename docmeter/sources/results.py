@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -143,10 +146,53 @@ def unwrapped(document: str | Column, mark: str = r"<!--\s*Source:[^>]*-->") ->
     return F.array_join(F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.content"), p)), "\n\n")
 
 
-def merged(rows: DataFrame, key: str, order: list[str], text: str, between: str = "\n") -> DataFrame:
-    """Texts of a key in order as one document."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[text]), between).alias("document"), F.count("*").alias("parts"))
+#: Characters of a merged document that becomes one text.
+MOST_CHARS = 1 << 24
+
+
+def merged(rows: DataFrame, key: str, order: list[str], text: str, between: str = "\n", most_chars: int = MOST_CHARS) -> DataFrame:
+    """Texts of a key in order as one ``document``, with the number of ``parts``, its ``n_chars`` and its ``md5``.
+
+    Keys of more than ``most_chars`` characters have no document but all the rest, by ``merged_digests``; so no row holds
+    an unbounded key. Ties in order go by text; null texts are empty ones.
+    """
+    size = rows.groupBy(key).agg((F.sum(F.length(F.coalesce(text, F.lit("")))) + F.count("*") * len(between)).alias("_size"))
+    small = rows.join(size.filter(F.col("_size") <= most_chars).select(key), key, "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_text"))))
+    whole = small.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["_text"]), between).alias("document"))
+    return merged_digests(rows, key, order, text, between).join(whole, key, "left")
+
+
+def merged_digests(rows: DataFrame, key: str, order: list[str], text: str, between: str = "\n") -> DataFrame:
+    """``key, parts, n_chars, md5`` of the texts of each key in order, put together one row after the other.
+
+    Rows are sorted by key and order within their task, which holds one batch of rows and a running digest.
+    """
+    kind = rows.schema[key].dataType
+    slim = rows.select(key, *order, F.coalesce(text, F.lit("")).alias("_text")).repartition(key).sortWithinPartitions(key, *order, "_text")
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, chars, digest, of = None, 0, 0, hashlib.md5(), pa.null()
+        for batch in batches:
+            done, of = [], batch.schema.field(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if parts and k != now:
+                    done.append((now, parts, chars, digest.hexdigest()))
+                    parts, chars, digest = 0, 0, hashlib.md5()
+                piece = between + t if parts else t
+                now, parts, chars = k, parts + 1, chars + len(piece)
+                digest.update(piece.encode())
+            yield _digests(key, done, of)
+        if parts:
+            yield _digests(key, [(now, parts, chars, digest.hexdigest())], of)
+
+    return slim.select(key, "_text").mapInArrow(digested, f"`{key}` {kind.simpleString()}, parts long, n_chars long, md5 string")
+
+
+def _digests(key: str, rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    kinds = (of, pa.int64(), pa.int64(), pa.string())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [key, "parts", "n_chars", "md5"])
 
 
 def code_block(answer: str | Column) -> Column:
