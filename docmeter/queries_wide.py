@@ -10,7 +10,9 @@ from docmeter.operators import source_code as sc
 from docmeter.plans import programs as first_form
 from docmeter.plans.wide_programs import STEPS_SQL, TEXTS_SQL, WAYS, wide_programs
 from docmeter.queries_programs import _RULES
-from docmeter.registry import fixed, query, sql_fixed
+from docmeter.registry import fixed, query, sql_fixed, table
+from docmeter.sources import books
+from docmeter.sources.folders import fresh_folder
 
 _S, _T = f"WITH {STEPS_SQL}", f"WITH {TEXTS_SQL}"
 #: First line of each part (from 0): a paragraph of kind 7 has two more lines.
@@ -326,3 +328,60 @@ def m40(spark, sf_dir):
         "program", executions.printed_anywhere(printed, expected(F.lit("OF X"))).alias("anywhere"), executions.printed_anywhere(printed, expected(F.when(F.col("program") % 3 == 0, "total").otherwise("missing"))).alias("nowhere"),
         executions.outputs_agree(printed, F.lit(0), other, F.lit(0)).alias("agree"), executions.compiled(F.lit(False), error).alias("compiled"),
     )
+
+
+# Books, files and what was parsed before
+
+_FILES = """f AS (SELECT p_brand AS dataset, 'data/' || lower(p_brand) || CASE p_partkey % 5 WHEN 0 THEN '/cpy/' WHEN 1 THEN '/Copybooks/deep/' ELSE '/src/' END || CASE WHEN p_partkey % 5 = 4 THEN 'prog' ELSE 'Book' END || (p_partkey % 40) || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 2 THEN '.CPY' WHEN 4 THEN '.cbl' ELSE '.txt' END AS path, p_partkey FROM part),
+books AS (SELECT dataset, 'BOOK' || (p_partkey % 40) AS name, min(path) AS path FROM f WHERE p_partkey % 5 IN (0, 1, 2) GROUP BY ALL), progs AS (SELECT dataset, 'PROG' || (p_partkey % 40) AS name, min(path) AS path FROM f WHERE p_partkey % 5 = 4 GROUP BY ALL)"""
+
+
+def _files(spark, sf_dir):
+    k = F.col("p_partkey")
+    folder = F.when(k % 5 == 0, "/cpy/").when(k % 5 == 1, "/Copybooks/deep/").otherwise("/src/")
+    name = F.concat(F.when(k % 5 == 4, "prog").otherwise("Book"), (k % 40).cast("string"), F.when(k % 5 == 0, "").when(k % 5 == 2, ".CPY").when(k % 5 == 4, ".cbl").otherwise(".txt"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), F.concat(F.lit("data/"), F.lower("p_brand"), folder, name).alias("path"))
+
+
+@query("b26_book_index", f"WITH {_FILES} SELECT * FROM books")
+def b26(spark, sf_dir):
+    return books.book_index(_files(spark, sf_dir), "dataset")
+
+
+_NEEDS = """n AS (SELECT o_orderkey AS program, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_orderkey % 5) AS dataset, list_transform(range(0, 7), lambda i: 'BOOK' || ((o_orderkey + i) % 45)) AS copies, list_transform(range(0, 5), lambda i: 'PROG' || ((o_orderkey + 3 * i) % 45)) AS calls FROM orders)"""
+
+
+def _needs(spark, sf_dir):
+    key = F.col("o_orderkey")
+    each = lambda name, n, step: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit(name), ((key + step * i) % 45).cast("string")))
+    brand = (1 + key % 5).cast("string")
+    return table(spark, sf_dir, "orders").select(key.alias("program"), F.concat(F.lit("Brand#"), brand, brand).alias("dataset"), each("Book", 7, 1).alias("copies"), each("prog", 5, 3).alias("calls"))
+
+
+@query("b27_related_books", f"WITH {_FILES}, {_NEEDS}, e AS (SELECT program, dataset, i AS nth, copies[i + 1] AS name FROM (SELECT *, unnest(range(0, 5)) AS i FROM n)) SELECT program, 'book' AS kind, nth, name, path FROM e JOIN books USING (dataset, name)")
+def b27(spark, sf_dir):
+    return books.found_files(_needs(spark, sf_dir), books.book_index(_files(spark, sf_dir), "dataset"), ["dataset"], "copies", books.MOST_BOOKS, "book")
+
+
+@query("b28_related_files", f"""WITH {_FILES}, {_NEEDS}, i AS (SELECT *, unnest(range(0, 3)) AS i FROM n), e AS (SELECT program, 'program' AS kind, i, name, path FROM (SELECT program, dataset, i, calls[i + 1] AS name FROM i) JOIN progs USING (dataset, name) UNION ALL SELECT program, 'book', 10 + i, name, path FROM (SELECT program, dataset, i, copies[i + 1] AS name FROM i) JOIN books USING (dataset, name)),
+r AS (SELECT program, row_number() OVER (PARTITION BY program ORDER BY i)::INT - 1 AS place, kind, name, path FROM e) SELECT * FROM r WHERE place < 5""")
+def b28(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return books.related_files(_needs(spark, sf_dir), books.book_index(files, "dataset"), books.program_index(files, "dataset"), ["dataset"])
+
+
+@query("m23_book_fields", f"WITH {first_form.STEPS_SQL} SELECT 'B' || program AS book, k AS line_no, 5 AS level, 'WS-FLD-' || k AS name FROM s UNION ALL SELECT 'B' || program, 0, 1, 'WS-AREA' FROM p")
+def m23(spark, sf_dir):
+    lines_ = F.regexp_extract("source", r"(?s)( +01  WS-AREA\..*?)\n +PROCEDURE DIVISION", 1)
+    rows = first_form.programs(spark, sf_dir).select(F.concat(F.lit("B"), F.col("program").cast("string")).alias("name"), lines_.alias("content"))
+    return books.book_fields(rows).select("book", "line_no", "level", "name")
+
+
+@query("m24_parsed_before", f"WITH {first_form.STEPS_SQL} SELECT program, n + 1 AS fields, CASE WHEN program % 3 <> 0 OR program % 6 = 3 THEN 2 ELSE 1 END AS run FROM p")
+def m24(spark, sf_dir):
+    """A first run over a third of the programs, then one over all, of which some have changed."""
+    rows, folder = first_form.programs(spark, sf_dir), fresh_folder(spark, "parsed")
+    parse = lambda df: sc.data_fields(df).groupBy("program").agg(F.count("*").alias("fields"))
+    books.cached_parse(rows.filter("program % 3 = 0"), folder, parse)
+    changed = rows.withColumn("source", F.when(F.col("program") % 6 == 3, F.concat("source", F.lit("\n"))).otherwise(F.col("source")))
+    return books.cached_parse(changed, folder, parse).select("program", "fields", "run")
