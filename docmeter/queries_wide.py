@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmeter.operators import checklists, executions, fuzzy, generations, static_claims, verifier
+from docmeter.operators import checklists, executions, fuzzy, generations, rouge, static_claims, verifier
 from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.plans import programs as first_form
@@ -385,3 +385,21 @@ def m24(spark, sf_dir):
     books.cached_parse(rows.filter("program % 3 = 0"), folder, parse)
     changed = rows.withColumn("source", F.when(F.col("program") % 6 == 3, F.concat("source", F.lit("\n"))).otherwise(F.col("source")))
     return books.cached_parse(changed, folder, parse).select("program", "fields", "run")
+
+
+# Overlap of reports
+
+_LINES = "(2 + o_orderkey % 6)"
+_WORDS_IN = "(2 + i % 3)"
+
+
+@query("l1_rouge_of_lines", f"""WITH k AS (SELECT o_orderkey AS program, {_LINES} AS n FROM orders), w AS (SELECT program, n, 1 + list_sum(list_transform(range(1, n + 1), lambda i: 2 + i % 3)) AS t, list_max(list_transform(range(1, n + 1), lambda i: 2 + i % 3)) AS longest FROM k),
+m AS (SELECT program, 1e0 AS rouge_1, (t - 1 - n)::DOUBLE / (t - 1) AS rouge_2, longest::DOUBLE / t AS rouge_l, 1e0 AS rouge_lsum FROM w)
+SELECT program, rouge_1, {sql_fixed('rouge_2')} AS rouge_2, {sql_fixed('rouge_l')} AS rouge_l, rouge_lsum, {sql_fixed('(rouge_1 + rouge_2 + rouge_l + rouge_lsum) / 4')} AS average FROM m""")
+def l1_lines(spark, sf_dir):
+    """Lines of words of their own, in another order and with one word in another form."""
+    words_ = f"array_join(transform(sequence(1, {_WORDS_IN}), j -> 'q' || i || 'z' || j), ' ')"
+    lines_ = lambda order: f"array_join(transform({order}, i -> {words_}), chr(10))"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS program", f"'computing' || chr(10) || {lines_(f'sequence(1, cast({_LINES} AS int))')} AS a", f"{lines_(f'reverse(sequence(1, cast({_LINES} AS int)))')} || chr(10) || 'Computed' AS b")
+    out = rouge.rouge(rows.repartition("program"), "a", "b").select("program", "rouge.*")
+    return out.select("program", *[fixed(F.col(k)["f"]).alias(k) for k in rouge.MEASURES], fixed(F.col("average")).alias("average"))
