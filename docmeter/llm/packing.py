@@ -139,7 +139,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     A document is the ids of its whole text and END_ID; a null or empty text is END_ID alone. Documents are cut every
     ``sequence`` ids, and only there. Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one
-    row per piece; sequence ids count from 0, offsets are gapless. Repeated and null ids are packed like others; other
+    row per piece; sequence ids count from 0, offsets are gapless. Very long texts are tokenised in steps and have many
+    pieces; ties in size are ranked in the order of rows. Repeated and null ids are packed like others; other
     columns are not read; an empty table gives no piece.
 
     Each task ranks its own pieces of each size; ranks of the whole table follow from counts per task and size, so that
@@ -170,4 +171,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, as ``pack`` gives them: null and empty texts are one piece of the end id alone, very long ones
+    many pieces, repeated and null ids are packed like others, columns of any name are not read, and an empty table gives
+    no row."""
     return pack(docs)

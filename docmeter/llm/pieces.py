@@ -471,7 +471,8 @@ def default_path() -> str:
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` of every whole text under a SentencePiece model.
 
-    Null and empty texts have no ids. One row per input row, whatever its id; other columns are not read; an empty
+    Null and empty texts have no ids; very long ones are cut into words and need no more memory than their ids and bytes; of
+    equal merges the left one comes first, as in the library. One row per input row, whatever its id; other columns are not read; an empty
     table gives an empty one. Nothing is shuffled; tasks read the model's arrays, which grow with its vocabulary only.
     """
     path = path or default_path()

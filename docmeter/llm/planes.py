@@ -96,7 +96,8 @@ def _arrow_blocks() -> pa.Schema:
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, bits: bool = False) -> None:
     """Encode every whole text, append END_ID to each, and write the ids in ascending order of ``id_col``.
 
-    A null text counts as empty and has the end id alone; null ids come first; rows with equal ids stay apart, in any
+    A null text counts as empty and has the end id alone; a very long one is tokenised in one step and goes over as many
+    blocks as it needs; null ids come first; rows with equal ids stay apart, in any
     order among themselves. Rows are dealt by ranges of the id and the row's own number, so that even an id with a third
     of all rows is cut into many shards. Other columns are not read; an empty table gives an empty file set.
     """

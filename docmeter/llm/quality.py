@@ -170,7 +170,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, with their cleaned text, its length, and all their other columns."""
+    """Documents that are kept, with their cleaned text as ``text``, its length as ``n_chars`` where there is such a column, and
+    all their other columns of any name. Null, empty and blank texts go; repeated and null ids keep a row each; very long
+    texts are read whole; an empty table gives an empty one."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     of = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {dict(text='string', n_chars='long').get(c, t)}" for c, t in of.items())

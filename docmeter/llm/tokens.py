@@ -44,8 +44,16 @@ def _letters_of(tokenizer) -> dict[int, str] | None:
     return None
 
 
+#: Texts that are encoded both ways when a tokenizer is loaded.
+_PROBES = (
+    "Some words, and THEIR Case", " lead  and trail \n", "a-b c_d e.f", "x1y2 3z 45", "don't we'll I'M", "tab\there\rnow\u00a0then", "\u00c9t\u00e9 na\u00efve stra\u00dfe", "e\u0301 \ufb01ne \u212b \u2460", "\u4e2d\u6587 \U0001f600!", "#1 (two) [three] \"four\"", "a\nb\n\nc", "\x00\x01",
+)
+
+
 class WordTokenizer:
-    """Ids of texts under a tokenizer whose pre-tokens never hold white space nor both ASCII letters and what follows them.
+    """Ids of texts under a tokenizer. The fast way is for those whose pre-tokens never hold white space nor both ASCII
+    letters and what follows them, and that lower-case; that is tried on some texts when the tokenizer is loaded. Others,
+    and those with special tokens that do not begin with ``<|``, encode whole texts.
 
     Texts are cut at spaces, line feeds and where an ASCII letter meets another ASCII character that is none; the
     tokenizer cuts at all these places itself, so that the ids of the parts, one after the other, are the ids of the
@@ -58,9 +66,22 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._forget()
+        self.whole = not self._fast()
+
+    def _fast(self) -> bool:
+        """Whether words by themselves give the ids of whole texts."""
+        parts = self._tokenizer.normalizer, self._tokenizer.pre_tokenizer
+        if None in parts or not all(t.content.startswith("<|") for t in self._tokenizer.get_added_tokens_decoder().values()):
+            return False
         self._between = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self._letters = _letters_of(self._tokenizer)
+        data = [p.encode() for p in _PROBES]
+        bounds = np.cumsum([0, *map(len, data)])
+        ids, counts = self._by_words(np.frombuffer(b"".join(data), np.uint8), bounds)
+        want = [x.ids for x in self._tokenizer.encode_batch(list(_PROBES), add_special_tokens=False)]
         self._forget()
+        return counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
     def _forget(self, room: int = 0) -> None:
         self._index = HashIndex(max(REMEMBERED + (1 << 18), room))
@@ -107,6 +128,13 @@ class WordTokenizer:
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts that ``bounds`` cut from ``data``, and how many each text has."""
+        if not self.whole:
+            return self._by_words(data, bounds)
+        texts = [data[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids = [np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+
+    def _by_words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         separator, letter = _SEPARATOR[data], _LETTER[data]
         also = np.zeros(len(data), bool)
         also[1:] = letter[:-1] & _OTHER_ASCII[data[1:]]

@@ -163,3 +163,22 @@ def test_pieces_when_words_are_forgotten(monkeypatch, remembered):
         data = [t.encode() for t in texts]
         got = own(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])))
         assert [x.tolist() for x in got] == [library.encode(t) for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import public_tokenizers
+    from tokenizers import AddedToken, normalizers
+
+    texts = ["é café  two spaces", "", "Don't <special> it <|endoftext|>", "A b\nC"]
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    nfc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    nfc.normalizer = normalizers.NFC()
+    nfc.save(str(tmp_path / "nfc.json"))
+    marked = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marked.add_special_tokens([AddedToken("<special>", special=True)])
+    marked.save(str(tmp_path / "marked.json"))
+    for path, whole in ((public_tokenizers.path("word_bpe_49k.json"), False), (public_tokenizers.path("byte_bpe_50k.json"), True), (str(tmp_path / "nfc.json"), True), (str(tmp_path / "marked.json"), True)):
+        ours = WordTokenizer(path)
+        ids, counts = ours(data, bounds)
+        want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert ours.whole == whole and counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
