@@ -331,6 +331,31 @@ def parents(fields: DataFrame) -> DataFrame:
     return fields.groupBy("program").agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("rows")).select("program", F.inline("rows"))
 
 
+def structures(fields: DataFrame) -> DataFrame:
+    """``program, name, line_no, fields, conditions, has_redefines`` of each group of level 1 with all that stands below it.
+
+    Fields (its own among them) and condition names (level 88) are counted; what stands before the first group of its program
+    is in none.
+    """
+    start = F.max(F.when(F.col("level") == 1, F.col("line_no"))).over(Window.partitionBy("program").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = fields.withColumn("start", start).filter("start is not null").groupBy("program", "start")
+    out = rows.agg(F.min_by("name", "line_no").alias("name"), F.count("*").alias("fields"), F.count_if(F.col("level") == 88).alias("conditions"), F.bool_or(F.col("redefines").isNotNull()).alias("has_redefines"))
+    return out.select("program", "name", F.col("start").alias("line_no"), "fields", "conditions", "has_redefines")
+
+
+def condition_names(fields: DataFrame) -> DataFrame:
+    """``program, name, parent, value, line_no`` of names for values of a field."""
+    return fields.filter("level = 88").select("program", "name", "parent", "value", "line_no")
+
+
+def redefinitions(fields: DataFrame) -> DataFrame:
+    return fields.filter("redefines is not null").select("program", "name", "redefines", "line_no")
+
+
+def repetitions(fields: DataFrame) -> DataFrame:
+    return fields.filter("occurs is not null").select("program", "name", "occurs", "line_no")
+
+
 def copy_names(source: str | Column) -> Column:
     kept = F.filter(clean_lines(source), lambda x: x != "")
     return F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(kept, "\n"), F.lit(r"(?i)\bCOPY\s+['\"]?([A-Za-z0-9_-]+)"), 1), lambda x: F.upper(x)))

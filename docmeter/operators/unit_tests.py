@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from docmeter.functions.text import as_column, let, lines
 from docmeter.operators.behaviour import tolerant_match
+from docmeter.operators.verifier import case_blocks
 
 # Inputs that bring an error about, and constructs that cannot run.
 CANNED_INPUTS = {"file": ("FILE-STATUS", "35"), "zero": ("DIVISOR", "0"), "overflow": ("AMOUNT", "999999999"), "other": ("ERROR-FLAG", "Y")}
@@ -66,12 +67,22 @@ def condition_inputs(condition: str | Column, holds: bool) -> Column:
     return F.when(op != "", F.struct(part(1).alias("variable"), F.coalesce((number + step).cast("string"), other).alias("value")))
 
 
-def branch_cases(conditions_: DataFrame, key: str = "program", most_cases: int = 3) -> DataFrame:
-    """A true and a false case of every comparison, and the first few cases of each EVALUATE (``values``)."""
+def branch_cases(conditions_: DataFrame, key: str = "program") -> DataFrame:
+    """A true and a false case of every comparison."""
     both = F.array(*[F.struct(F.lit(str(h).lower()).alias("variant"), condition_inputs("condition", h).alias("i")) for h in (True, False)])
     return conditions_.select(key, "condition", F.inline(both)).filter("i is not null").select(key, "condition", "variant", "i.variable", "i.value")
 
 
+def evaluate_cases(programs: DataFrame, key: str = "program", most_cases: int = 3) -> DataFrame:
+    """``key, nth, variable, value`` of the first few cases of every EVALUATE (``nth``): inputs that take each branch.
+
+    Cases are what follows WHEN; OTHER is none.
+    """
+    values = lambda b: F.filter(F.regexp_extract_all(b, F.lit(r"\bWHEN\s+['\"]?([^\s'\"]+)"), 1), lambda v: v != "OTHER")
+    found = F.transform(case_blocks(F.upper("source")), lambda m: F.struct(m["v"].alias("variable"), F.slice(values(m["b"]), 1, most_cases).alias("values")))
+    return programs.select(key, F.posexplode(found).alias("nth", "c")).select(key, "nth", F.col("c.variable").alias("variable"), F.explode("c.values").alias("value"))
+
+
 def error_input(kind: str | Column, condition: str | Column) -> Column:
     """Struct of ``variable, value`` that should bring a handler's error about."""
     kind, text = F.lower(as_column(kind)), F.upper(as_column(condition))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmeter.operators import checklists, executions, fuzzy, generations, rouge, static_claims, verifier
+from docmeter.operators import checklists, executions, fuzzy, generations, rouge, static_claims, unit_tests, verifier
 from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.plans import programs as first_form
@@ -403,3 +403,34 @@ def l1_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS program", f"'computing' || chr(10) || {lines_(f'sequence(1, cast({_LINES} AS int))')} AS a", f"{lines_(f'reverse(sequence(1, cast({_LINES} AS int)))')} || chr(10) || 'Computed' AS b")
     out = rouge.rouge(rows.repartition("program"), "a", "b").select("program", "rouge.*")
     return out.select("program", *[fixed(F.col(k)["f"]).alias(k) for k in rouge.MEASURES], fixed(F.col("average")).alias("average"))
+
+
+# Fields of groups, cases of EVALUATEs
+
+
+def _fields(spark, sf_dir):
+    """Two groups with condition names, a table and a redefinition."""
+    key = "cast(o_orderkey as string)"
+    text = f"""concat_ws(chr(10), '       DATA DIVISION.', '       WORKING-STORAGE SECTION.', '       77  WS-ALONE PIC 9.', '       01  WS-A.', '           05  WS-CODE PIC 99.', '               88  CODE-OK VALUE 1.',
+      CASE WHEN o_orderkey % 2 = 1 THEN '               88  CODE-BAD VALUES ARE 2 THRU 9.' ELSE '      * nothing' END, '           05  WS-ITEM PIC X(4) OCCURS ' || cast(2 + o_orderkey % 5 as string) || ' TIMES.', '       01  WS-B REDEFINES WS-A.', '           05  WS-B-' || {key} || ' PIC 9(6) COMP-3.')"""
+    return sc.data_fields(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS program", f"{text} AS source"))
+
+
+@query("c1_structures", "SELECT o_orderkey AS program, unnest([{name: 'WS-A', line_no: 3, fields: 4 + o_orderkey % 2, conditions: 1 + o_orderkey % 2, has_redefines: false}, {name: 'WS-B', line_no: 8, fields: 2, conditions: 0, has_redefines: true}], recursive := true) FROM orders")
+def c1_structures(spark, sf_dir):
+    return sc.structures(_fields(spark, sf_dir))
+
+
+@query("c3_lists_of_fields", """WITH x AS (SELECT o_orderkey AS program, unnest([{kind: 'condition', name: 'CODE-OK', of: 'WS-CODE', value: '1', line_no: 5}, CASE WHEN o_orderkey % 2 = 1 THEN {kind: 'condition', name: 'CODE-BAD', of: 'WS-CODE', value: 'ARE 2 THRU 9', line_no: 6} END,
+  {kind: 'occurs', name: 'WS-ITEM', of: 'WS-A', value: (2 + o_orderkey % 5)::VARCHAR, line_no: 7}, {kind: 'redefines', name: 'WS-B', of: NULL, value: 'WS-A', line_no: 8}]) AS r FROM orders) SELECT program, r.kind, r.name, r.of, r.value, r.line_no FROM x WHERE r IS NOT NULL""")
+def c3(spark, sf_dir):
+    fields = _fields(spark, sf_dir)
+    row = lambda df, kind, of, value: df.select("program", F.lit(kind).alias("kind"), "name", of.alias("of"), value.cast("string").alias("value"), "line_no")
+    owners = fields.select("program", "line_no", "parent")
+    repeated = sc.repetitions(fields).join(owners, ["program", "line_no"])
+    return row(sc.condition_names(fields), "condition", F.col("parent"), F.col("value")).unionByName(row(repeated, "occurs", F.col("parent"), F.col("occurs"))).unionByName(row(sc.redefinitions(fields), "redefines", F.lit(None).cast("string"), F.col("redefines")))
+
+
+@query("h8_evaluate_cases", f"{_S} SELECT program, 0 AS nth, 'WS-CODE' AS variable, unnest(['1', '2', '3']) AS value FROM p UNION ALL SELECT program, 1, 'WS-SUB', '1' FROM p WHERE program % 3 = 2")
+def h8(spark, sf_dir):
+    return unit_tests.evaluate_cases(wide_programs(spark, sf_dir))
