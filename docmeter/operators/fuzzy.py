@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from docmeter.functions.reports import comments
 from docmeter.functions.text import as_column, lines
 
 #: Length of the character runs that candidates for a window share with an excerpt.
@@ -167,3 +168,41 @@ def documented_rules(rules: DataFrame, documents: DataFrame, key: str = "program
     best = _best(F.when(~settled, F.lower(F.coalesce("description", F.lit("")))), F.when(~settled, sentences), F.lit(least))
     rows = rows.withColumn("sentence_ratio", best)
     return rows.withColumn("documented", settled | F.coalesce(F.col("sentence_ratio") >= least, F.lit(False))).drop("_low")
+
+
+def resembles_part(text: str, words: list[str], least: float = 0.8, ratio: Ratios | None = None) -> bool:
+    """Whether a text has a ratio of ``least`` with some window of half as many words as it has characters.
+
+    Windows begin at every word but the last quarter of that number, and are shorter towards the end. Only windows whose
+    length, and then whose characters, let the ratio reach ``least`` are compared.
+    """
+    ratio, n = ratio or Ratios(), len(text)
+    starts = np.arange(max(0, len(words) - n // 4))
+    if not len(starts) or not n:
+        return False
+    ends = np.minimum(starts + n // 2, len(words))
+    total = np.append(0, np.cumsum([len(w) + 1 for w in words]))
+    size = np.maximum(total[ends] - total[starts] - 1, 0)
+    some = np.flatnonzero(2.0 * np.minimum(size, n) / (size + n) >= least - _EPS)
+    windows = [" ".join(words[starts[k] : ends[k]]) for k in some.tolist()]
+    if not windows:
+        return False
+    bound = _bounds(text, windows, _counts(windows))
+    return any(ratio(text, windows[k]) >= least for k in np.argsort(-bound, kind="stable").tolist() if bound[k] >= least - _EPS)
+
+
+@F.pandas_udf(DoubleType())
+def _parroted(comments_: pd.Series, low: pd.Series) -> pd.Series:
+    out = []
+    for own, text in zip(comments_, low, strict=True):
+        own, words = ([] if own is None else list(own)), (text or "").split()
+        copied = sum(1.0 if c in (text or "") else 0.5 if resembles_part(c, words) else 0.0 for c in own)
+        out.append(min(1.0, copied / len(own)) if own else 0.0)
+    return pd.Series(out)
+
+
+def parroted_share(document: str | Column, source: str | Column, longer_than: int = 10) -> Column:
+    """Share of the source's comments of over ten characters that a report copies: word for word, or by half if a part of it
+    resembles them; 0 without any."""
+    long = F.filter(comments(source), lambda c: F.length(F.trim(c)) > longer_than)
+    return _parroted(F.transform(long, lambda c: F.lower(F.trim(c))), F.lower(F.coalesce(as_column(document), F.lit(""))))

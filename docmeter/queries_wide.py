@@ -434,3 +434,13 @@ def c3(spark, sf_dir):
 @query("h8_evaluate_cases", f"{_S} SELECT program, 0 AS nth, 'WS-CODE' AS variable, unnest(['1', '2', '3']) AS value FROM p UNION ALL SELECT program, 1, 'WS-SUB', '1' FROM p WHERE program % 3 = 2")
 def h8(spark, sf_dir):
     return unit_tests.evaluate_cases(wide_programs(spark, sf_dir))
+
+
+@query("d25_parroted_comments", "SELECT o_orderkey AS program, CASE o_orderkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.25e0 ELSE 0e0 END AS parroted FROM orders")
+def d25(spark, sf_dir):
+    """Two comments: the first is copied, copied with a wrong word at the report's end, or not at all."""
+    number = "cast(o_orderkey as string)"
+    source = f"'      * a b c d e f g ' || {number} || chr(10) || '           MOVE A TO B. *> qqqq zzzz jjjj vvvv xxxx' || chr(10) || '      * short'"
+    said = f"CASE o_orderkey % 3 WHEN 0 THEN 'It has A b c d e f g ' || {number} || ' and more words here.' WHEN 1 THEN 'Other words and a b x d e f g ' || {number} ELSE 'Nothing of it.' END"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS program", f"{source} AS source", f"{said} AS document")
+    return rows.select("program", fuzzy.parroted_share("document", "source").alias("parroted"))

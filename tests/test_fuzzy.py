@@ -78,3 +78,13 @@ def test_excerpts_of_any_kind(spark):
     got = {r.nth: r.way for r in fuzzy.matched_excerpts(excerpts, sources).collect()}
     assert got == {0: "exact", 1: "exact", 2: "exact", 3: "window", 4: None, 5: None, 6: None}
     assert fuzzy.matched_excerpts(excerpts.limit(0), sources).count() == 0
+
+
+def test_resembling_parts_equal_brute_force():
+    for seed in range(60):
+        words = " ".join(_texts(seed, 3, 40, "ab c")).split()
+        text = _changed(" ".join(words[-(seed % 9 + 1) :]), seed % 4, seed)
+        n = len(text)
+        windows = [" ".join(words[i : i + n // 2]) for i in range(len(words) - n // 4)]
+        assert fuzzy.resembles_part(text, words) == any(_ratio(text, w) >= 0.8 for w in windows)
+    assert not fuzzy.resembles_part("", ["a"]) and not fuzzy.resembles_part("abcd", [])
