@@ -108,3 +108,60 @@ def task_details(results: DataFrame, model: str, language: str | None = None) ->
     """One model's tasks, name in any case, of one language if given."""
     rows = results.filter((F.lower("model") == model.lower()) | (F.lower("submitter") == model.lower()))
     return rows.filter(F.lower("language") == language.lower()) if language else rows
+
+
+MODES = ("executed", "static", "error")
+
+
+def _counts(rows: DataFrame, kind: str, out: str) -> DataFrame:
+    """A map from kind to number for each model; as long as there are kinds."""
+    counts = rows.filter(F.col(kind).isNotNull()).groupBy("model", kind).agg(F.count("*").alias("n"))
+    return counts.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias(out))
+
+
+def detailed_board(results: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The ranked board with ``submitter``, ``critical_failure_types``, ``by_tier`` and ``bf_method``.
+
+    ``by_tier`` maps each tier to its number of tasks and mean, ``bf_method`` has the tasks of each way of judging (column
+    ``mode``) and a map of reasons (``mode_reason``; null counts nowhere). Maps come from counts by model and kind, so that a
+    model with very many tasks meets in no task. Tasks are a table of their own, ``detailed_tasks``.
+    """
+    tiers = results.groupBy("model", "tier").agg(F.struct(F.count("*").alias("total"), F.round(F.avg("lcb"), 4).alias("avg_score")).alias("stats"))
+    tiers = tiers.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "stats")))).alias("by_tier"))
+    failures = _counts(failure_kinds(results), "failure", "critical_failure_types")
+    reasons = _counts(results, "mode_reason", "reasons")
+    modes = results.groupBy("model").agg(*[F.count_if(F.col("mode") == m).alias(m) for m in MODES])
+    out = leaderboard(results, weights).join(modal_submitter(results).select("model", "submitter"), "model").join(tiers, "model").join(modes, "model")
+    out = out.join(failures, "model", "left").join(reasons, "model", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    method = F.struct(*MODES, F.coalesce("reasons", none).alias("reasons"))
+    return out.withColumns({"critical_failure_types": F.coalesce("critical_failure_types", none), "bf_method": method}).drop(*MODES, "reasons")
+
+
+def failure_kinds(results: DataFrame) -> DataFrame:
+    """``model, failure``: a row for each critical failure of each result, without what stands after a colon."""
+    return results.select("model", F.explode("failures").alias("failure")).withColumn("failure", F.split_part("failure", F.lit(":"), F.lit(1)))
+
+
+def detailed_tasks(results: DataFrame, digits: int = 4) -> DataFrame:
+    """``model, task_id, tier, language, lcb, sc, dq, bf, mode, mode_reason, failures``: what a board's rows were made of."""
+    score = lambda c: F.round(c, digits).alias(c)
+    return results.select("model", "task_id", "tier", "language", *map(score, ("lcb", "sc", "dq", "bf")), F.coalesce("mode", F.lit("unknown")).alias("mode"), F.coalesce("mode_reason", F.lit("")).alias("mode_reason"), "failures")
+
+
+def restated(details: DataFrame, weights: dict[str, float] = WEIGHTS, digits: int = 4) -> DataFrame:
+    """Component means of shown tasks (``task_details`` of a model, or of one language of it), and the overall one of these."""
+    parts = {k: F.avg(k) for k in weights}
+    overall = sum((parts[k] * w for k, w in weights.items()), F.lit(0.0))
+    return details.groupBy("model").agg(F.count("*").alias("tasks"), *[F.round(v, digits).alias(f"avg_{k}") for k, v in parts.items()], F.round(overall, digits).alias("avg_lcb"), *[F.count_if(F.col("mode") == m).alias(m) for m in MODES])
+
+
+def summary(board: DataFrame) -> DataFrame:
+    """The eleven columns of the summary, as text: rank, submitter and model, percentages with one decimal, counts."""
+    percent = lambda c, name: F.format_string("%.1f", F.bround(c * 100, 1)).alias(name)
+    of_tier = lambda t: F.coalesce(F.try_element_at("by_tier", F.lit(t))["avg_score"], F.lit(0.0))
+    traced = F.col("avg_tr") if "avg_tr" in board.columns else F.lit(0.0)
+    return board.select(
+        F.col("rank").cast("string").alias("rank"), F.concat_ws("/", "submitter", "model").alias("model"), percent(F.col("avg_lcb_components"), "lcb_score"), percent(F.col("avg_sc"), "sc"), percent(F.col("avg_bf"), "bf"), percent(F.col("avg_dq"), "sq"), percent(traced, "tr"),
+        percent(of_tier("T1"), "t1_score"), percent(of_tier("T4"), "t4_score"), F.col("tasks_total").cast("string").alias("total_tasks"), F.col("critical_failures").cast("string").alias("critical_failures"),
+    )

@@ -10,7 +10,8 @@ from docmeter.operators import board, claims, compare, scoring, selection, simil
 from docmeter.plans.documents import document_board, scored_documents
 from docmeter.document_sql import WHITE_SPACE, scored_sql
 from docmeter.registry import ORACLE_SQL, QUERIES, fixed, query, table
-from docmeter.sources.results import merged_digests
+from docmeter.sources.folders import fresh_folder
+from docmeter.sources.results import merged_digests, write_detailed_board
 from docmeter.streaming.board import windowed_means
 
 _WS = WHITE_SPACE
@@ -195,6 +196,48 @@ def j5(spark, sf_dir):
     return board.failure_histogram(results(spark, sf_dir))
 
 
+_MODES = "CASE task_id % 4 WHEN 0 THEN 'executed' WHEN 1 THEN 'error' ELSE 'static' END"
+_REASONS = "CASE task_id % 4 WHEN 2 THEN 'book' WHEN 3 THEN 'disabled' END"
+_DETAILED = f"""m AS (SELECT *, {_MODES} AS mode, {_REASONS} AS mode_reason FROM results), b AS (SELECT model, count(*) AS tasks_total, {", ".join(f"round(avg({k}), 4) AS avg_{k}" for k in WEIGHTS)}, round({" + ".join(f"avg({k}) * {w}::DOUBLE" for k, w in WEIGHTS.items())}, 4) AS avg_lcb, count(*) FILTER (WHERE len(failures) > 0) AS critical_failures,
+  {", ".join(f"count(*) FILTER (WHERE mode = '{x}') AS {x}" for x in board.MODES)}, count(*) FILTER (WHERE mode_reason = 'book') AS books, count(*) FILTER (WHERE mode_reason = 'disabled') AS disabled, {", ".join(f"round(coalesce(avg(lcb) FILTER (WHERE tier = '{x}'), 0), 4) AS {x.lower()}, count(*) FILTER (WHERE tier = '{x}') AS n_{x.lower()}" for x in board.TIERS)},
+  {", ".join(f"count(*) FILTER (WHERE len(list_filter(failures, lambda f: f LIKE '{x}%')) > 0) AS {x.lower().replace('-', '')}" for x in ("CF-03", "CF-04", "CF-05"))} FROM m GROUP BY model),
+  o AS (SELECT b.*, row_number() OVER (ORDER BY avg_lcb DESC, b.model)::INT AS rank, s.submitter FROM b JOIN (SELECT model, submitter FROM (SELECT model, submitter, count(*) AS n FROM results GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, submitter) = 1) s USING (model))"""
+
+
+def _moded(spark, sf_dir):
+    part = F.col("task_id") % 4
+    return results(spark, sf_dir).withColumns({"mode": F.when(part == 0, "executed").when(part == 1, "error").otherwise("static"), "mode_reason": F.when(part == 2, "book").when(part == 3, "disabled")})
+
+
+@query("j1_detailed_board", f"WITH {_RESULTS}, {_DETAILED} SELECT model, submitter, rank, tasks_total, avg_lcb, {', '.join(board.MODES)}, 'book:' || books || ',disabled:' || disabled AS reasons, concat_ws(',', CASE WHEN cf03 > 0 THEN 'CF-03:' || cf03 END, CASE WHEN cf04 > 0 THEN 'CF-04:' || cf04 END, CASE WHEN cf05 > 0 THEN 'CF-05:' || cf05 END) AS failures, {', '.join(f'{x.lower()}, n_{x.lower()}' for x in board.TIERS)} FROM o")
+def j1_detailed(spark, sf_dir):
+    """Written as nested JSON and read back."""
+    rows, folder = _moded(spark, sf_dir), fresh_folder(spark, "board")
+    made = board.detailed_board(rows)
+    write_detailed_board(made, board.detailed_tasks(rows), folder)
+    read = spark.read.schema(made.schema).json(f"{folder}/board")
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    tier = lambda t: F.try_element_at("by_tier", F.lit(t))
+    tiers = [c for t in board.TIERS for c in (F.coalesce(tier(t)["avg_score"], F.lit(0.0)).alias(t.lower()), F.coalesce(tier(t)["total"], F.lit(0)).alias(f"n_{t.lower()}"))]
+    return read.select("model", "submitter", "rank", "tasks_total", F.col("avg_lcb_components").alias("avg_lcb"), *[F.col(f"bf_method.{m}").alias(m) for m in board.MODES], pairs("bf_method.reasons").alias("reasons"), pairs("critical_failure_types").alias("failures"), *tiers)
+
+
+_TENTHS = lambda x: f"printf('%.1f', round_even(100 * ({x}), 1))"
+
+
+@query("a17_summary", f"WITH {_RESULTS}, {_DETAILED} SELECT rank::VARCHAR AS rank, submitter || '/' || model AS model, {_TENTHS('avg_lcb')} AS lcb_score, {_TENTHS('avg_sc')} AS sc, {_TENTHS('avg_bf')} AS bf, {_TENTHS('avg_dq')} AS sq, '0.0' AS tr, {_TENTHS('t1')} AS t1_score, {_TENTHS('t4')} AS t4_score, tasks_total::VARCHAR AS total_tasks, critical_failures::VARCHAR AS critical_failures FROM o")
+def a17(spark, sf_dir):
+    """Written as CSV and read back."""
+    rows, folder = _moded(spark, sf_dir), fresh_folder(spark, "board")
+    write_detailed_board(board.detailed_board(rows), board.detailed_tasks(rows), folder)
+    return spark.read.csv(f"{folder}/summary", header=True)
+
+
+@query("j16_drill_down", f"WITH {_RESULTS}, {_DETAILED} SELECT model, count(*) AS tasks, {', '.join(f'round(avg({k}), 4) AS avg_{k}' for k in WEIGHTS)}, round({' + '.join(f'avg({k}) * {w}::DOUBLE' for k, w in WEIGHTS.items())}, 4) AS avg_lcb, {', '.join(f'count(*) FILTER (WHERE mode = {x!r}) AS {x}' for x in board.MODES)} FROM m WHERE language = 'COBOL' AND model = 'BUILDING' GROUP BY model")
+def j16(spark, sf_dir):
+    return board.restated(board.task_details(_moded(spark, sf_dir), "building", "cobol"))
+
+
 @query("j8_overall", f"WITH {_RESULTS} SELECT {', '.join(f'round(avg({k}), 2) AS {k}_avg' for k in ('sc', 'dq', 'bf', 'lcb'))}, count(*) AS total_tasks, count(*) FILTER (WHERE len(failures) > 0) AS critical_failure_count, round(count(*) FILTER (WHERE len(failures) > 0) / count(*), 3) AS critical_failure_rate FROM results")
 def j8(spark, sf_dir):
     return board.overall(results(spark, sf_dir))

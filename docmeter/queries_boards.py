@@ -110,9 +110,9 @@ def j15(spark, sf_dir):
     return programs(spark, sf_dir).select("program", F.format_string("PROGRAM %d: %d paragraphs, %d lines", "program", (F.col("n") + 1), F.size(F.split("source", "\n"))).alias("line"))
 
 
-@query("a15_results_written_and_read", "SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS task_id, 'model-' || (l_suppkey % 7) AS model, '2.3.1' AS version, floor(l_discount * 1e1 * 1e6 + 0.5) / 1e6 AS sc, floor(l_tax * 12.5e0 * 1e6 + 0.5) / 1e6 AS bf, CASE WHEN l_suppkey % 5 = 0 THEN 'CF-01' ELSE '' END AS failures FROM lineitem WHERE l_quantity <= 2")
+@query("a15_results_written_and_read", "SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS task_id, 'model-' || (l_suppkey % 7) AS model, '2.3.1' AS version, floor(l_discount * 1e1 * 1e6 + 0.5) / 1e6 AS sc, floor(l_tax * 12.5e0 * 1e6 + 0.5) / 1e6 AS bf, CASE WHEN l_suppkey % 5 = 0 THEN 'CF-01' ELSE '' END AS failures FROM lineitem")
 def a15(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity <= 2").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("task_id"), F.concat(F.lit("model-"), (F.col("l_suppkey") % 7).cast("string")).alias("model"), F.expr("l_discount * 1e1").alias("sc"), F.expr("l_quantity / 5e1").alias("dq"), F.expr("l_tax * 12.5e0").alias("bf"),
         F.when(F.col("l_suppkey") % 5 == 0, F.array(F.lit("CF-01: missing"))).otherwise(F.array().cast("array<string>")).alias("failures"),
     )

@@ -128,8 +128,8 @@ _HITS = lambda n: f"coalesce(list_sum(list_transform(list_distinct(c{n}), lambda
 _LOG = lambda n: f"ln(CASE WHEN {_HITS(n)} > 0 THEN {_HITS(n)}::DOUBLE ELSE 0.1e0 END / greatest(1, len(c{n})))"
 
 
-@query("l2_bleu", rf"{_T}, w AS (SELECT program, list_filter(regexp_split_to_array(lower(document), '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:24] AS r FROM t), c AS (SELECT program, r, list_transform(list_filter(range(1, len(r) + 1), lambda i: i % 5 <> 0), lambda i: r[i]) AS c FROM w), g AS (SELECT program, len(r) AS nr, len(c) AS nc, {', '.join(f'{_GRAMS(x, n)} AS {x}{n}' for x in 'rc' for n in (1, 2, 3, 4))} FROM c) SELECT program, {sql_fixed(f'exp(({" + ".join(_LOG(n) for n in (1, 2, 3, 4))}) / 4 + 1 - nr / nc)')} AS bleu FROM g")
+@query("l2_bleu", rf"{_T}, w AS (SELECT program, list_filter(regexp_split_to_array(lower(document), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS r FROM t), c AS (SELECT program, r, list_transform(list_filter(range(1, len(r) + 1), lambda i: i % 5 <> 0), lambda i: r[i]) AS c FROM w), g AS (SELECT program, len(r) AS nr, len(c) AS nc, {', '.join(f'{_GRAMS(x, n)} AS {x}{n}' for x in 'rc' for n in (1, 2, 3, 4))} FROM c) SELECT program, {sql_fixed(f'exp(({" + ".join(_LOG(n) for n in (1, 2, 3, 4))}) / 4 + 1 - nr / nc)')} AS bleu FROM g")
 def l2_bleu(spark, sf_dir):
-    rows = programs(spark, sf_dir).select("program", F.slice(t.words(F.lower("document")), 1, 24).alias("r"))
+    rows = programs(spark, sf_dir).select("program", t.words(F.lower("document")).alias("r"))
     rows = rows.select("program", F.array_join("r", " ").alias("r"), F.array_join(F.filter("r", lambda x, i: (i + 1) % 5 != 0), " ").alias("c"))
     return rows.select("program", fixed(similarity.bleu("c", "r")).alias("bleu"))

@@ -118,16 +118,11 @@ def e24(spark, sf_dir):
 # Claims and names
 
 
-@query("f4_claims", f"{_S} SELECT program, 'CLM-' || printf('%03d', k) AS claim_id, 'conditional' AS claim_type, 'when `WS-FLD-' || k || '` exceeds 100, STEP-' || k || ' moves 1 to WS-FLAG.' AS text FROM s WHERE program % 2 = 0")
+@query("f4_claims", f"""{_S} SELECT program, 'CLM-' || printf('%03d', k) AS claim_id, 'conditional' AS claim_type, 'when `WS-FLD-' || k || '` exceeds 100, STEP-' || k || ' moves 1 to WS-FLAG.' AS text, 'STEP-' || k AS output_var, 'WS-FLD-' || k || ',WS-FLAG,STEP,FLAG' AS input_vars, 'STEP-' || k || ' moves 1 to WS-FLAG.' AS action FROM s WHERE program % 2 = 0
+UNION ALL SELECT program, 'CLM-' || printf('%03d', 1 + CASE WHEN program % 2 = 0 THEN n ELSE 0 END), 'assignment', '`WS-AREA` holds the fields. See lines ' || (program % 60) || '-' || (program % 60 + 3) || ' and line ' || (program % 97) || '.', 'WS-AREA', 'FIELDS,LINES,LINE', NULL FROM p WHERE program % 5 = 0""")
 def f4(spark, sf_dir):
     found = cl.claims(programs(spark, sf_dir).select("program", "document"), "program", "document")
-    return found.filter("claim_type = 'conditional' and program % 2 = 0").select("program", F.concat(F.lit("CLM-"), F.format_string("%03d", F.row_number().over(_by_program()))).alias("claim_id"), "claim_type", "text")
-
-
-def _by_program():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("program").orderBy("claim_id")
+    return found.withColumn("input_vars", F.array_join("input_vars", ","))
 
 
 @query("f3_unknown_names", f"{_S}, m AS (SELECT program, unnest(['WS-FLAG', 'CUST-FILE', 'WS-FLD-' || k || 'X', 'OTHER-' || k]) AS name FROM s) SELECT DISTINCT program, name FROM m WHERE name LIKE 'OTHER-%'")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from docmeter.operators.board import summary
+
 #: Characters beyond which a wrapped content is a document.
 LONG_CONTENT = 50
 
@@ -74,6 +76,13 @@ def write_board(board: DataFrame, folder: str) -> None:
     board.select(*[F.round(F.col(c) * 100, 1).alias(c) if c in share else F.col(c) for c in board.columns]).write.mode("overwrite").csv(f"{folder}/csv", header=True)
 
 
+def write_detailed_board(board: DataFrame, tasks: DataFrame, folder: str) -> None:
+    """A detailed board as nested JSON, a row for each model; its tasks as JSON, a folder for each model; the summary as CSV."""
+    board.write.mode("overwrite").json(f"{folder}/board")
+    tasks.withColumn("of_model", F.col("model")).write.mode("overwrite").partitionBy("of_model").json(f"{folder}/tasks")
+    summary(board).write.mode("overwrite").csv(f"{folder}/summary", header=True)
+
+
 def markdown(board: DataFrame, columns: list[str]) -> DataFrame:
     """A pipe table as text with ``line_no``: the head, its rule, then the rows in the order of their first column."""
     row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
