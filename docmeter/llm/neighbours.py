@@ -51,10 +51,11 @@ def chi_square_quantile(p: float, dimensions: int = DIMENSIONS) -> float:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows in double precision; scaled where squares would overflow or vanish."""
+    """Euclidean distances of rows in double precision, squares added up in the order of the dimensions; scaled where squares
+    would overflow or vanish."""
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
         diff = x - y
-        out = np.sqrt((diff * diff).sum(axis=1))
+        out = np.sqrt(np.add.accumulate(diff * diff, axis=1)[:, -1])
         odd = np.flatnonzero(~((out > 1e-140) & np.isfinite(out)))
         top = np.abs(diff[odd]).max(axis=1, initial=0)
         safe = np.where((top > 0) & np.isfinite(top), top, 1)[:, None]
@@ -414,7 +415,7 @@ WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), near AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda x, y: x + y)) AS score
   FROM v q JOIN v c ON q.vec_id % {QUERIES_EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM near
