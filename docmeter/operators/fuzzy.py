@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from docmeter.functions.reports import comments
 from docmeter.functions.text import as_column, lines
+from docmeter.operators.ranges import shuffled
 
 #: Length of the character runs that candidates for a window share with an excerpt.
 RUN = 3
@@ -139,7 +140,7 @@ def matched_excerpts(excerpts: DataFrame, sources: DataFrame, key: str = "progra
     excerpt stands in any source; one that is longer than its source has no window. Only excerpts that don't stand in their
     source reach the Python function, and there only windows and lines whose bounds reach what is asked.
     """
-    rows = excerpts.join(sources.select(key, F.col(source).alias("_source")), key)
+    rows = excerpts.join(shuffled(sources.select(key, F.col(source).alias("_source"))), key)
     rows = rows.withColumns({"_x": _squeezed(code), "_y": _squeezed("_source")})
     exact = F.contains("_y", F.col("_x"))
     other = lambda c: F.when(~exact, c)
@@ -160,7 +161,7 @@ def documented_rules(rules: DataFrame, documents: DataFrame, key: str = "program
     The best sentence's ratio is looked for only where keywords don't settle it, and is null below .6. Sentences end at
     ``.!?`` and line feeds and have more than ten characters; a report's sentences meet its own program's rules only.
     """
-    rows = rules.join(documents.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low")), key)
+    rows = rules.join(shuffled(documents.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))), key)
     hits = F.size(F.filter("keywords", lambda k: F.contains(F.col("_low"), F.lower(k))))
     rows = rows.withColumn("keyword_ratio", F.coalesce(F.try_divide(hits, F.size("keywords")), F.lit(0.0)))
     settled = F.col("keyword_ratio") >= keyword_share

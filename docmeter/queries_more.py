@@ -12,6 +12,7 @@ from docmeter.operators import behaviour, board, claims, compare, selection, sim
 from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.operators import unit_tests as ut
+from docmeter.operators.ranges import shuffled
 from docmeter.plans.programs import STEPS_SQL, TEXTS_SQL, programs
 from docmeter.registry import fixed, query, sql_fixed, table
 from docmeter.sources import results as rs
@@ -32,7 +33,7 @@ def k4(spark, sf_dir):
     m = rows.select(
         "program", selection.code_lines("source").alias("loc"), selection.cyclomatic("source").alias("complexity"), selection.nesting_depth("source").alias("nesting"), F.size(selection.distinct_names("source", r"CALL '(\w+)'", 20)).alias("deps"),
         count(r"(?i)\bREAD\s+\S+").alias("files"), count(r"(?i)\bGO\s+TO\b").alias("gotos"), count(r"(?i)EXEC\s+SQL").alias("sql"), F.expr("source rlike '(?m)^ {6}[*]'").alias("comments"),
-    ).join(rules, "program", "left").fillna(0, ["rules"])
+    ).join(shuffled(rules), "program", "left").fillna(0, ["rules"])
     c = F.col
     hard = selection.difficulty(c("loc"), c("complexity"), c("nesting"), c("deps"), c("rules"))
     interest = selection.interestingness(c("rules"), c("deps"), c("files"), c("loc"), c("comments"), c("complexity"))
@@ -80,7 +81,7 @@ def b25(spark, sf_dir):
     uses = spark.createDataFrame([(f"COMMON{i}", f"COMMON{(i + 1) % 4}") for i in range(4)], "src string, dst string")
     reached = sc.copy_closure(roots, uses, depth=2)
     missing = gt.missing_books(reached, spark.createDataFrame([("COMMON0",), ("COMMON1",), ("COMMON3",)], "name string")).withColumn("is_missing", F.lit(True))
-    return reached.join(missing, ["root", "name"], "left").select(F.col("root").alias("program"), "name", F.coalesce("is_missing", F.lit(False)).alias("is_missing"))
+    return reached.join(shuffled(missing), ["root", "name"], "left").select(F.col("root").alias("program"), "name", F.coalesce("is_missing", F.lit(False)).alias("is_missing"))
 
 
 @query("m61_answers_without_marks", f"{_T} SELECT program, CASE program % 3 WHEN 0 THEN 'MOVE ' || program WHEN 1 THEN 'ADD ' || program ELSE 'as it is' END AS code, program AS score FROM t")

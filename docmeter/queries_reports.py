@@ -11,6 +11,7 @@ from docmeter.operators import ground_truth as gt
 from docmeter.operators import source_code as sc
 from docmeter.operators import unit_tests as ut
 from docmeter.functions.text import bigram_jaccard, words
+from docmeter.operators.ranges import shuffled
 from docmeter.plans.programs import HEAD_LINES, STEPS_SQL, TEXTS_SQL, programs
 from docmeter.registry import fixed, query, sql_fixed, table
 
@@ -73,7 +74,7 @@ def d18(spark, sf_dir):
 def d20(spark, sf_dir):
     rows = programs(spark, sf_dir)
     names = sc.paragraphs(rows).groupBy("program").agg(F.collect_set("name").alias("names"))
-    rows = rows.join(names, "program").withColumn("found", r.references("document"))
+    rows = rows.join(shuffled(names), "program").withColumn("found", r.references("document"))
     none = F.array().cast("array<string>")
     rows = rows.withColumn("valid", r.valid_references(F.col("found"), F.size(F.split("source", "\n")), F.col("names"), none, none))
     kinds = F.transform(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["type"]))), lambda k: F.concat(k, F.lit(":"), F.size(F.filter("found", lambda x: x["type"] == k)).cast("string")))
@@ -217,7 +218,7 @@ def l1(spark, sf_dir):
 def l7(spark, sf_dir):
     rows = programs(spark, sf_dir)
     called = sc.calls(sc.statements(sc.paragraphs(rows))).filter("not is_dynamic").groupBy("program").agg(F.collect_set("callee").alias("callees"))
-    rows = rows.join(called, "program", "left").withColumn("truth", F.array_distinct(F.concat(gt.copy_books("source"), F.coalesce("callees", F.array().cast("array<string>")))))
+    rows = rows.join(shuffled(called), "program", "left").withColumn("truth", F.array_distinct(F.concat(gt.copy_books("source"), F.coalesce("callees", F.array().cast("array<string>")))))
     found = F.array(F.concat(F.lit("COMMON"), (F.col("program") % 3).cast("string")), F.concat(F.lit("SUBP"), (F.col("program") % 7).cast("string")))
     scores = similarity.set_scores(F.col("truth"), found)
     return rows.select("program", *[fixed(scores[k]).alias(k) for k in ("precision", "recall", "f1")], fixed(similarity.count_overlap_f1(F.size("truth"), F.lit(2))).alias("counted"))
