@@ -158,7 +158,8 @@ def restated(details: DataFrame, weights: dict[str, float] = WEIGHTS, digits: in
 
 def summary(board: DataFrame) -> DataFrame:
     """The eleven columns of the summary, as text: rank, submitter and model, percentages with one decimal, counts."""
-    percent = lambda c, name: F.format_string("%.1f", F.bround(c * 100, 1)).alias(name)
+    # Half a tenth goes to the even one as doubles have it, not as their shortest decimals do.
+    percent = lambda c, name: F.format_string("%.1f", F.rint(c * 100 * 10) / 10).alias(name)
     of_tier = lambda t: F.coalesce(F.try_element_at("by_tier", F.lit(t))["avg_score"], F.lit(0.0))
     traced = F.col("avg_tr") if "avg_tr" in board.columns else F.lit(0.0)
     return board.select(

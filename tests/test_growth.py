@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmeter import queries as core
+from docmeter.operators import board
 from docmeter.plans.spread import dealt
 
 PARSED = (
@@ -23,3 +24,14 @@ def test_rows_of_one_row_group_are_dealt_to_all_tasks(spark):
     sizes = [r.n for r in dealt(crowded).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 4 and max(sizes) <= 30
     assert dealt(crowded, most=10).rdd.getNumPartitions() == 12
+
+
+def test_percentages_round_halves_as_sql_does(spark):
+    import duckdb
+
+    rows = spark.range(10001).select((F.col("id") / 10000).alias("x"))
+    parts = {c: F.col("x") for c in ("avg_lcb_components", "avg_sc", "avg_bf", "avg_dq")}
+    tiers = F.create_map().cast("map<string,struct<total:bigint,avg_score:double>>")
+    made = rows.select("x", F.lit(1).alias("rank"), F.lit("s").alias("submitter"), F.lit("m").alias("model"), *[v.alias(k) for k, v in parts.items()], tiers.alias("by_tier"), F.lit(1).alias("tasks_total"), F.round(F.col("x") * 10000).cast("int").alias("critical_failures"))
+    got = {int(r.critical_failures): r.bf for r in board.summary(made).collect()}
+    assert got == dict(duckdb.sql("SELECT k::INT, printf('%.1f', round_even(100 * (k / 10000::DOUBLE), 1)) FROM range(10001) t(k)").fetchall())
