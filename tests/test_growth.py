@@ -59,3 +59,20 @@ def test_a_tests_block_is_cut_once(spark):
     rows = spark.createDataFrame([(1, "IF WS-A = 5 DISPLAY 'X' END-IF.")], "program long, source string")
     plan = verifier.conditionals(rows)._jdf.queryExecution().analyzed().toString()
     assert plan.count("END-IF") == 1
+
+
+def test_programs_are_cut_in_batches_and_once_for_fields(spark):
+    from docmeter.operators import source_code as sc
+
+    text = "       DATA DIVISION.\n       01  WS-A.\n       05  WS-B PIC 9(3).\n           88 OK VALUE 1.\n       05  WS-C PIC X.\n       PROCEDURE DIVISION.\n      * no.\n       A-1.\n           MOVE 1 TO WS-B.  \n\n       END-IF.\n       B-2.\n       PROCEDURE DIVISION.\n       LAST.\n           STOP RUN.\n"
+    rows = spark.createDataFrame([(1, text), (2, ">>SOURCE FORMAT IS FREE\nprocedure division.\nx1.\n  GO TO y. *> no"), (3, None), (4, "")], "program long, source string")
+    assert [tuple(r) for r in sc.paragraphs(rows).collect()] == [(1, "LAST", 13, 15, " LAST.\n     STOP RUN.\n"), (2, "X1", 2, 3, "x1.\n  GO TO y.")]
+    fields = sc.data_fields(rows)
+    assert {r.name: (r.line_no, r.parent) for r in fields.collect()} == {"WS-A": (1, None), "WS-B": (2, "WS-A"), "OK": (3, "WS-B"), "WS-C": (4, "WS-A")}
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (fields, sc.paragraphs(rows))]
+    assert "Join" not in plans[0] and "Exchange" not in plans[0] and "MapInArrow" in plans[1]
+
+
+def test_complexity_reads_programs_once(spark, sf):
+    plan = core.QUERIES["c13_complexity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
