@@ -76,3 +76,11 @@ def test_programs_are_cut_in_batches_and_once_for_fields(spark):
 def test_complexity_reads_programs_once(spark, sf):
     plan = core.QUERIES["c13_complexity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+def test_tests_and_actions_are_looked_for_by_their_words(spark):
+    text = "IF WS-A = 5 DISPLAY 'X' STOP RUN ELSE MOVE 1 TO B END-IF. XIF WS-B = 1. END-IF WS-C. RE-EVALUATE Q. EVALUATE WS-D WHEN 1 GOBACK WHEN 2 RESET X END-EVALUATE"
+    found = verifier.conditionals(spark.createDataFrame([(1, text)], "program long, source string"))
+    assert [(r.variable, r.type, r.actions) for r in found.collect()] == [("WS-A", "if_equals", ["stop_run", "display"]), ("WS-D", "evaluate", ["goback"])]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert r"(?<![\w-])" not in plan and "STOP) AND" in plan
