@@ -1,5 +1,7 @@
 """What grows with the input: tasks in number, not in length; nothing parsed goes to every task."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,60 @@ def test_tests_and_actions_are_looked_for_by_their_words(spark):
     assert [(r.variable, r.type, r.actions) for r in found.collect()] == [("WS-A", "if_equals", ["stop_run", "display"]), ("WS-D", "evaluate", ["goback"])]
     plan = found._jdf.queryExecution().analyzed().toString()
     assert r"(?<![\w-])" not in plan and "STOP) AND" in plan
+
+
+def test_unit_paragraphs_are_cut_in_batches(spark):
+    from docmeter.operators import ground_truth as gt
+
+    text = "       MAIN.\n       procedure division.\n       A-1.\n       PERFORM B-2.\n      * no\n       STOP.\n      *OLD.\n       b-2.\r\n       CALL 'X'.\n       1C.\n       2D.\u0085\n       MY-SECTION.\n       compute X = Y."
+    rows = spark.createDataFrame([(1, text), (2, "A.\nB."), (3, None), (4, "")], "program long, source string")
+    units = gt.unit_paragraphs(rows)
+    lines = text.split("\n")
+    want = [("A-1", 3, 6), ("B-2", 8, 8), ("1C", 10, 9), ("2D", 11, 13)]
+    assert [tuple(r) for r in units.collect()] == [(1, n, a, b, "\n".join(lines[a - 1 : b])) for n, a, b in want]
+    plan = gt.isolated_units(units)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan.split("MapInArrow")[1]
+    assert {r.name: r.blocking_reason for r in gt.isolated_units(units).collect()} == {"A-1": None, "B-2": None, "1C": None, "2D": None}
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_isolated_units_by_words_equal_those_by_patterns(spark, lower):
+    from docmeter.operators import ground_truth as gt
+
+    bodies = ["A.\n MOVE 1 TO WS-X", "A.\n EXEC  SQL X", "call 'x'", "RECALL X", "CALL", "read\nF", "REWRITE R", "DISPLAY A COMPUTE B = C ADD 1 TO D IF E > 1", "subtract a from b perform c", "GO TO X", "COMPUTER ADD", "restart x"]
+    rows = spark.createDataFrame([(k, x.lower() if lower else x) for k, x in enumerate(bodies)], "program long, body string")
+    got = gt.isolated_units(rows).select("program", "performs", "inputs", "outputs", "blocking_reason").collect()
+    plain = F.coalesce(*[F.when(F.col("body").rlike(f"(?i){p}"), F.lit(r)) for p, r in gt.BLOCKING.items()])
+    want = rows.select("program", gt.performed("body"), gt.variables_read("body"), gt.variables_written("body"), plain).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert "EXEC) AND" in gt.isolated_units(rows)._jdf.queryExecution().analyzed().toString()
+
+
+def test_parts_of_fields_are_taken_in_rows_of_their_own(spark):
+    from docmeter.operators import source_code as sc
+
+    text = "       DATA DIVISION.\n       01  A.\n           05  B PIC 9(2) COMP-3 OCCURS 3 TIMES.\n           05  C REDEFINES B PICTURE IS X(4).\n               88  D VALUES ARE 1.\n           77  E-PIC BINARY VALUE 'PIC'."
+    fields = sc.data_fields(spark.createDataFrame([(1, text)], "program long, source string"))
+    want = [("A", None, None, None, None, None, None), ("B", "9(2)", 3, None, "COMP-3", None, "A"), ("C", "X(4)", None, "B", None, None, "A"), ("D", None, None, None, None, "ARE 1", "C"), ("E-PIC", "BINARY", None, None, "BINARY", "'PIC'", "C")]
+    assert [(r.name, r.picture, r.occurs, r.redefines, r.usage, r.value, r.parent) for r in fields.collect()] == want
+    assert "OCCURS" not in fields.select("program", "picture")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metrics_of_source_take_the_whole_text(spark):
+    from docmeter.operators import selection
+
+    texts = ["if a\n IF b\nEND-IF\n\r\n\t* x\n/y\n  z", "IFX\nXIF\n-IF-", "", "\n\n", None, "PERFORM X\nUNTIL\nperform y until z * IF", "ſif İF if_ if-1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lines = F.split("text", "\n")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s, x):
+        up = s["now"] + x.rlike(r"(?i)\bIF\b").cast("int")
+        return F.struct(F.when(x.rlike(r"(?i)\bEND-IF\b"), F.greatest(F.lit(0), up - 1)).otherwise(up).alias("now"), F.greatest(s["most"], up).alias("most"))
+
+    plain = [F.size(F.filter(lines, lambda x: F.trim(x).rlike(r"^\s*[^\s*/]"))), F.aggregate(lines, start, step, lambda s: s["most"]), F.regexp_count("text", F.lit(r"(?i)\bIF\b"))]
+    fast = [selection.code_lines("text"), selection.nesting_depth("text"), selection.count_of("text", r"(?i)\bIF\b")]
+    assert [tuple(r) for r in rows.select(*fast).collect()] == [tuple(r) for r in rows.select(*plain).collect()]
+    plan = rows.select(*fast)._jdf.queryExecution().analyzed().toString()
+    plan = re.sub(r"#\d+L?", "", plan)
+    assert "filter(split" not in plan and r"regexp_count(text, (?i)IF(?<=\bIF)\b" in plan and r"RLIKE(lambda x, (?i)\b" not in plan
