@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,11 +25,26 @@ DOMAINS = {
 
 def code_lines(text: str | Column) -> Column:
     """Lines that are neither blank nor begin with ``*`` or ``/``."""
-    return F.size(F.filter(lines(text), lambda x: F.trim(x).rlike(r"^\s*[^\s*/]")))
+    return F.regexp_count(as_column(text), F.lit(r"(?dm)^[ \t\x0B\f\r]*+[^\s*/]"))
+
+
+_BY_WORD = re.compile(r"\(\?i\)\\b([A-Za-z]+)(?![?*+{])([^|]*)")
+
+
+def _word_first(pattern: str) -> str:
+    """A pattern that looks for its first word before the word's bound, which would else be tried at each character."""
+    found = _BY_WORD.fullmatch(pattern)
+    return rf"(?i){found[1]}(?<=\b{found[1]}){found[2]}" if found else pattern
+
+
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether a text matches; a pattern that begins with a word is tried only where the word is."""
+    found = _BY_WORD.fullmatch(pattern)
+    return F.contains(F.upper(text), F.lit(found[1].upper())) & text.rlike(_word_first(pattern)) if found else text.rlike(pattern)
 
 
 def count_of(text: str | Column, pattern: str) -> Column:
-    return F.regexp_count(as_column(text), F.lit(pattern))
+    return F.regexp_count(as_column(text), F.lit(_word_first(pattern)))
 
 
 def cyclomatic(text: str | Column, branch: str = r"(?i)\bIF\b", switch: str = r"(?i)\bEVALUATE\b", loop: str = r"(?i)\bPERFORM\s+.*\bUNTIL\b") -> Column:
@@ -37,12 +54,13 @@ def cyclomatic(text: str | Column, branch: str = r"(?i)\bIF\b", switch: str = r"
 def nesting_depth(text: str | Column, opens: str = r"(?i)\bIF\b", closes: str = r"(?i)\bEND-IF\b") -> Column:
     """Greatest depth of lines that open less lines that close; the depth never falls below 0."""
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    marks = F.transform(lines(text), lambda x: F.struct(_holds(x, opens).cast("int").alias("opens"), _holds(x, closes).alias("closes")))
 
-    def step(s: Column, line: Column) -> Column:
-        up = s["now"] + line.rlike(opens).cast("int")
-        return F.struct(F.when(line.rlike(closes), F.greatest(F.lit(0), up - 1)).otherwise(up).alias("now"), F.greatest(s["most"], up).alias("most"))
+    def step(s: Column, mark: Column) -> Column:
+        up = s["now"] + mark["opens"]
+        return F.struct(F.when(mark["closes"], F.greatest(F.lit(0), up - 1)).otherwise(up).alias("now"), F.greatest(s["most"], up).alias("most"))
 
-    return F.aggregate(lines(text), start, step, lambda s: s["most"])
+    return F.aggregate(marks, start, step, lambda s: s["most"])
 
 
 def distinct_names(text: str | Column, pattern: str, most: int | None = None) -> Column:
