@@ -165,3 +165,14 @@ def test_static_verdicts_deal_texts_once(spark):
     assert {(r.program, r.claim_id): (r.status, r.method) for r in got.collect()} == {(1, 0): ("verified", "tfidf_match"), (1, 1): ("unverified", "no_verification"), (1, 2): ("failed", "variable_check"), (1, 3): ("partial", "variable_existence_only"), (3, 0): ("unverified", "no_verification")}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning(") <= 4 and plan.count("Join") <= 2
+
+
+def test_the_source_is_not_moved_with_each_claim(spark):
+    programs = spark.createDataFrame([(1, "MOVE WS-B TO WS-A. IF WS-A = 1 DISPLAY 'X' END-IF. AT END"), (2, None)], "program long, source string")
+    claims_ = spark.createDataFrame([(1, "a", "assignment", "", "ws-a", ["WS-B"], None), (1, "b", "error", "", "WS", [], None), (2, "c", "range", "", "WS-A", ["X"], None), (1, "d", "conditional", "", None, ["WS-A"], "shows it")], "program long, claim_id string, claim_type string, text string, output_var string, input_vars array<string>, action string")
+    paragraphs = spark.createDataFrame([], "program long, name string, start_line int, end_line int, content string")
+    got = verifier.verified_claims(claims_, programs, paragraphs)
+    assert {r.claim_id: (r.status, r.method) for r in got.collect()} == {"a": ("verified", "assignment_match"), "b": ("partial", "error_generic"), "c": ("failed", "no_range"), "d": ("verified", "conditional_match")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    meets = next(k for k, x in enumerate(plan) if "Join Inner" in x)
+    assert "_up#" in plan[meets - 1] and not any("_up#" in x or "source#" in x for x in plan[: meets - 1])
