@@ -167,6 +167,18 @@ def test_static_verdicts_deal_texts_once(spark):
     assert plan.count("Exchange hashpartitioning(") <= 4 and plan.count("Join") <= 2
 
 
+def test_documents_are_normalised_once_for_all_their_rules(spark):
+    from docmeter.operators import source_code as sc
+    from docmeter.plans import evaluation as ev
+    from docmeter.plans.programs import programs
+
+    rows = programs(spark, "/root/testdata/sf0.001").limit(40)
+    tracks = ev.structural_tracks(rows, ev.parsed(rows))
+    plan = tracks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("finalize|closes") <= 2  # Of the document, and of each rule's description.
+    assert sc.paragraphs(rows).count() > 0 and tracks.filter("business_rules not between 0 and 1").count() == 0
+
+
 def test_the_source_is_not_moved_with_each_claim(spark):
     programs = spark.createDataFrame([(1, "MOVE WS-B TO WS-A. IF WS-A = 1 DISPLAY 'X' END-IF. AT END"), (2, None)], "program long, source string")
     claims_ = spark.createDataFrame([(1, "a", "assignment", "", "ws-a", ["WS-B"], None), (1, "b", "error", "", "WS", [], None), (2, "c", "range", "", "WS-A", ["X"], None), (1, "d", "conditional", "", None, ["WS-A"], "shows it")], "program long, claim_id string, claim_type string, text string, output_var string, input_vars array<string>, action string")
