@@ -188,3 +188,14 @@ def test_the_source_is_not_moved_with_each_claim(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     meets = next(k for k, x in enumerate(plan) if "Join Inner" in x)
     assert "_up#" in plan[meets - 1] and not any("_up#" in x or "source#" in x for x in plan[: meets - 1])
+
+
+def test_claim_patterns_are_tried_where_their_words_stand(spark):
+    made = {p: claims._words(p) for ps in claims.CLAIM_PATTERNS.values() for p in ps}
+    assert made[r"`?\(?([\w-]+)\)?`?\s+must\s+be\s+between\s+(\d+)\s+and\s+(\d+)"] == ("between",)
+    assert claims._words(r"(?:a|bc)?x") == claims._words(r"ab|cd") == claims._words(r"(?:x(?:ab|cd))?\w+") == claims._words(r"cde?f?[xyz]+") == () and claims._words(r"(?:stores?|is set to)\s+x") == ("store", "is set to")
+    texts = ["WS-A IS CALCULATED BY x", "Computes WS-B as y", "`A-1` = B-2 + C-3", "X-1 equals 5", "X-1 is 5 percent of Y-2", "when A-1 Exceeds 5, go", "if the A-1 is 5, go", "for A-1 over 5, go", "VALUE IS STORED IN WS-X", "A-1 gets 5", "valid range for A-1: 1 - 2", "if it fail, stop", "on failure stop", "when an error occurs stop", "error X-1 results in Y", "A-B holds x", "`ab` contain x", "X-1 is the sum of y", "W-1 must be between 1 and 2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    hit = [F.col("text").rlike(f"(?im){p}") & ~F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), True) for w in ws], F.lit(False)) for p, ws in made.items() if ws]
+    assert rows.filter(F.exists(F.array(*hit), lambda x: x)).count() == 0 and {r.id for r in claims.claims(rows, "id", "text").collect()} == set(range(len(texts)))
+    assert "contains(_low" in claims.claims(rows, "id", "text")._jdf.queryExecution().analyzed().toString().lower()
