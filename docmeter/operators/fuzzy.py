@@ -7,20 +7,21 @@ runs of characters bound it; it is computed only for pairs whose bounds reach wh
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from docmeter.functions.reports import comments
-from docmeter.functions.text import as_column, lines
+from docmeter.functions.text import as_column
 from docmeter.operators.ranges import shuffled
 
 #: Length of the character runs that candidates for a window share with an excerpt.
 RUN = 3
-_EPS = 1e-9
+_EPS, _TABLE = 1e-9, 1 << 20
 
 
 class Ratios:
@@ -31,7 +32,13 @@ class Ratios:
 
     def __call__(self, a: str, b: str) -> float:
         self.computed += 1
-        return difflib.SequenceMatcher(None, a, b).ratio()
+        return _ratio(a, b)
+
+
+@lru_cache(maxsize=1 << 14)
+def _ratio(a: str, b: str) -> float:
+    """Lines recur from program to program; the last pairs are remembered."""
+    return difflib.SequenceMatcher(None, a, b).ratio()
 
 
 def _codes(text: str) -> np.ndarray:
@@ -39,11 +46,9 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _counts(texts: list[str]) -> np.ndarray:
-    """Characters of each text in 128 bins; bins that characters share only raise the bound."""
-    out = np.zeros((len(texts), 128), np.int32)
-    for k, t in enumerate(texts):
-        out[k] = np.bincount(_codes(t) & 127, minlength=128)
-    return out
+    """Characters of each text in 128 bins; bins that characters share only raise the bound. All texts are counted at once."""
+    place = np.repeat(np.arange(len(texts)) * 128, [len(t) for t in texts])
+    return np.bincount(place + (_codes("".join(texts)) & 127), minlength=128 * len(texts)).reshape(len(texts), 128)
 
 
 def _bounds(text: str, others: list[str], counts: np.ndarray) -> np.ndarray:
@@ -67,17 +72,38 @@ def candidate_windows(excerpt: str, source: str, least: float) -> np.ndarray:
     at = np.arange(windows)
     need = n - RUN + 1 - int(n * (1 - least) + _EPS) * (2 * RUN - 1)
     if need > 0:
-        runs = lambda c: sum(c[k : len(c) - RUN + 1 + k] << 21 * k for k in range(RUN))
-        known = np.append(0, np.cumsum(np.isin(runs(y), np.unique(runs(x)))))
+        known = np.append(0, np.cumsum(_stands_in(_runs(y), _runs(x))))
         at = np.flatnonzero(known[n - RUN + 1 :][:windows] - known[:windows] >= need)
+    if not len(at):
+        return at
     shared = np.zeros(len(at), np.int64)
-    for c, k in zip(*np.unique(x, return_counts=True), strict=True):
-        total = np.append(0, np.cumsum(y == c))
-        shared += np.minimum(k, total[at + n] - total[at])
+    letters, most = np.unique(x, return_counts=True)
+    # As many letters at once as a bounded table holds.
+    for k in range(0, len(letters), step := max(1, _TABLE // len(y))):
+        total = np.zeros((min(step, len(letters) - k), len(y) + 1), np.int32)
+        np.cumsum(y == letters[k : k + step, None], axis=1, out=total[:, 1:])
+        shared += np.minimum(most[k : k + step, None], total[:, at + n] - total[:, at]).sum(axis=0)
     some = shared >= n * least - _EPS
     return at[some][np.argsort(-shared[some], kind="stable")]
 
 
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """Runs of RUN characters as numbers of 7 bits each; characters that share theirs make more windows candidates, not fewer."""
+    low = codes & 127
+    return sum(low[k : len(low) - RUN + 1 + k] << 7 * k for k in range(RUN))
+
+
+#: Which runs the excerpt at hand has; cleared after each use.
+_SEEN = np.zeros(1 << 7 * RUN, bool)
+
+
+def _stands_in(runs: np.ndarray, of: np.ndarray) -> np.ndarray:
+    _SEEN[of] = True
+    found = _SEEN[runs]
+    _SEEN[of] = False
+    return found
+
+
 def window_matches(excerpt: str, source: str, least: float = 0.90, ratio: Ratios | None = None) -> bool:
     """Whether some window of the excerpt's length has a ratio of ``least``."""
     ratio = ratio or Ratios()
@@ -114,39 +140,45 @@ def lines_match(excerpt_lines: list[str], source_lines: list[str], least: float
     return hits / len(excerpt_lines) >= share
 
 
-def _squeezed(text: str | Column) -> Column:
-    """Upper case, white space collapsed and stripped."""
-    return F.upper(F.regexp_replace(F.regexp_replace(F.coalesce(as_column(text), F.lit("")), r"\s+", " "), r"\A | \z", ""))
-
-
 def code_excerpts(document: str | Column) -> Column:
     """Blocks of code that a report quotes."""
     return F.regexp_extract_all(F.coalesce(as_column(document), F.lit("")), F.lit(r"(?s)```(?:cobol)?\n(.*?)\n```"), 1)
 
 
-@F.pandas_udf(StringType())
-def _way(excerpt: pd.Series, excerpt_lines: pd.Series, source: pd.Series, source_lines: pd.Series) -> pd.Series:
-    """How excerpts that don't stand in their source match it; nulls need no way."""
-    out = []
-    for x, own, y, theirs in zip(excerpt, excerpt_lines, source, source_lines, strict=True):
-        out.append(None if x is None else "window" if window_matches(x, y) else "lines" if lines_match([t for t in own if t], list(theirs)) else None)
-    return pd.Series(out, dtype=object)
+def _squeezed(text: str | None) -> list[str]:
+    """Lines with ASCII white space collapsed, and stripped from their ends."""
+    return [b" ".join(x.split()).decode() for x in (text or "").encode().split(b"\n")]
+
+
+def way(excerpt: list[str], source: list[str]) -> str | None:
+    """How the squeezed lines of an excerpt match those of a source."""
+    x, y = (" ".join(filter(None, t)) for t in (excerpt, source))
+    return "exact" if x in y else "window" if window_matches(x, y) else "lines" if lines_match([t for t in excerpt if t], source) else None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _ways(excerpts: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([[way(_squeezed(x), theirs) for x in own] for own, theirs in zip(excerpts, map(_squeezed, source), strict=True)], dtype=object)
+
+
+def excerpt_ways(excerpts: Column, source: str | Column) -> Column:
+    """``way`` of each of a source's excerpts, in the order of their array: exact, window (.90 of it in some window), lines
+    (.80 of its lines at .85), or null.
+
+    White space and case don't count. An empty excerpt stands in any source; one that is longer than its source has no
+    window. Only windows and lines whose bounds reach what is asked are compared.
+    """
+    upper = lambda x: F.make_valid_utf8(F.upper(x))
+    return _ways(F.transform(excerpts, upper), upper(as_column(source)))
 
 
 def matched_excerpts(excerpts: DataFrame, sources: DataFrame, key: str = "program", code: str = "code", source: str = "source") -> DataFrame:
-    """Excerpts with ``way``: exact, window (.90 of it in some window), lines (.80 of its lines at .85), or null.
+    """Excerpts with ``way``, as ``excerpt_ways`` has it, for excerpts that don't stand in a row with their source.
 
-    An equi-join on the key; a source is compared with its own excerpts only. White space and case don't count. An empty
-    excerpt stands in any source; one that is longer than its source has no window. Only excerpts that don't stand in their
-    source reach the Python function, and there only windows and lines whose bounds reach what is asked.
+    An equi-join on the key; a source is compared with its own excerpts only.
     """
     rows = excerpts.join(shuffled(sources.select(key, F.col(source).alias("_source"))), key)
-    rows = rows.withColumns({"_x": _squeezed(code), "_y": _squeezed("_source")})
-    exact = F.contains("_y", F.col("_x"))
-    other = lambda c: F.when(~exact, c)
-    each = lambda t: F.transform(lines(F.coalesce(as_column(t), F.lit(""))), _squeezed)
-    found = _way(other(F.col("_x")), other(each(code)), other(F.col("_y")), other(each("_source")))
-    return rows.withColumn("way", F.when(exact, "exact").otherwise(found)).drop("_x", "_y", "_source")
+    return rows.withColumn("way", excerpt_ways(F.array(code), "_source")[0]).drop("_source")
 
 
 @F.pandas_udf(DoubleType())

@@ -199,3 +199,25 @@ def test_claim_patterns_are_tried_where_their_words_stand(spark):
     hit = [F.col("text").rlike(f"(?im){p}") & ~F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), True) for w in ws], F.lit(False)) for p, ws in made.items() if ws]
     assert rows.filter(F.exists(F.array(*hit), lambda x: x)).count() == 0 and {r.id for r in claims.claims(rows, "id", "text").collect()} == set(range(len(texts)))
     assert "contains(_low" in claims.claims(rows, "id", "text")._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_reports_meet_their_sources_in_their_row(spark, sf):
+    from docmeter.operators import fuzzy
+
+    texts = [(1, "  move a\tto  b.\r\n\n stop", ["MOVE A TO B. STOP", "MOVE A TO C.\nSTOP", "", "nothing like it"]), (2, None, ["x"]), (3, "a b \x1c", ["A B"]), (4, "x", [])]
+    rows = spark.createDataFrame(texts, "program long, source string, codes array<string>").select("program", fuzzy.excerpt_ways(F.col("codes"), "source").alias("ways"))
+    assert {r.program: r.ways for r in rows.collect()} == {1: ["exact", "window", "exact", None], 2: [None], 3: ["exact"], 4: []}
+    plan = core.QUERIES["d21_matched_excerpts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_windows_are_counted_in_bounded_tables(monkeypatch):
+    import numpy as np
+
+    from docmeter.operators import fuzzy
+
+    source = "\n".join(f"MOVE WS-FIELD-{k} TO WS-OTHER-{k * 7 % 13}." for k in range(60))
+    excerpt = source[505:540].replace("OTHER", "OTTER", 1) + "€"
+    whole = fuzzy.candidate_windows(excerpt, source, 0.5)
+    monkeypatch.setattr(fuzzy, "_TABLE", 3 * len(source))
+    assert len(whole) > 100 and np.array_equal(fuzzy.candidate_windows(excerpt, source, 0.5), whole) and not fuzzy._SEEN.any()
