@@ -221,3 +221,16 @@ def test_windows_are_counted_in_bounded_tables(monkeypatch):
     whole = fuzzy.candidate_windows(excerpt, source, 0.5)
     monkeypatch.setattr(fuzzy, "_TABLE", 3 * len(source))
     assert len(whole) > 100 and np.array_equal(fuzzy.candidate_windows(excerpt, source, 0.5), whole) and not fuzzy._SEEN.any()
+
+
+def test_claims_meet_their_programs_facts_in_one_row(spark):
+    source = "A-1.\n IF WS-A = 1 PERFORM B-1. IF WS-A > 2 PERFORM C-1.\nADD 1 TO WS-B. Compute WS-A = WS-B\n * 2 .\nMOVE X Y TO WS-C. MOVE 1 TO WS-C ."
+    programs = spark.createDataFrame([(1, source), (2, "")], "program long, source string")
+    paragraphs = spark.createDataFrame([(1, "B-1", 1, 2, "GOBACK"), (1, "B-1", 5, 6, "PERFORM C-1"), (1, "C-1", 7, 8, "DISPLAY 'X' PERFORM C-1")], "program long, name string, start_line int, end_line int, content string")
+    assert {(r.program, r.name): r.actions for r in verifier.paragraph_actions(paragraphs).collect()} == {(1, "B-1"): ["display", "perform"], (1, "C-1"): ["display", "perform"]}
+    assert {(r.variable, r.operation, tuple(r.operands)) for r in verifier.computations(programs).collect()} == {("WS-B", "add", ()), ("WS-A", "compute", ("WS-B",)), ("WS-C", "move", ())}
+    claims_ = spark.createDataFrame([(1, "a", "conditional", "", None, ["WS-A"], "shows it"), (1, "b", "range", "", "WS-A", [], None), (1, "c", "calculation", "", "ws-a", ["WS-B", "WS-Q"], None), (2, "d", "conditional", "", None, ["WS-A"], "x"), (2, "e", "calculation", "", "WS-A", [], None)], "program long, claim_id string, claim_type string, text string, output_var string, input_vars array<string>, action string")
+    got = verifier.verified_claims(claims_, programs, paragraphs)
+    assert {r.claim_id: (r.status, r.method) for r in got.collect()} == {"a": ("verified", "conditional_match"), "b": ("verified", "range_match"), "c": ("partial", "calculation_partial"), "d": ("failed", "no_conditional"), "e": ("failed", "no_computation")}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning(") == 5 == plan.count("Exchange hashpartitioning(program")
