@@ -234,3 +234,35 @@ def test_claims_meet_their_programs_facts_in_one_row(spark):
     assert {r.claim_id: (r.status, r.method) for r in got.collect()} == {"a": ("verified", "conditional_match"), "b": ("verified", "range_match"), "c": ("partial", "calculation_partial"), "d": ("failed", "no_conditional"), "e": ("failed", "no_computation")}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning(") == 5 == plan.count("Exchange hashpartitioning(program")
+
+
+def test_words_are_counted_once_and_patterns_tried_where_their_words_stand(spark):
+    from docmeter.functions import text as t
+    from docmeter.lexicons import SYNONYMS
+    from docmeter.operators import behaviour, evaluation
+
+    texts = ["the queue ended. a little table, rhythm style ae aee seize ie.e e", "Ünder éle apple\x1cable\tcode", "", None, "since the totals sum; summary errors in order to because of in order  to", "EXEC SQL\nselect A into :B from T. call 'x' read F rewrite G REWRITE", "WS-AB is read from F; a-b is written to C, it holds X-Y. Returns WS-BC and gets Q-1 from"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "program long, source string").withColumn("low", F.lower("source"))
+    short = r"(?<!\S)\S{1,3}(?!\S)"
+    n = lambda x, p: F.regexp_count(x, F.lit(p))
+    of_long = lambda x: n(x, "[aeiou]+") - n(x, r"[aeiou]\S*[^aeiou\s][aeiou]*e(?!\S)") + n(x, r"[^aeiou\s]le(?!\S)") + n(x, r"(?<!\S)[^aeiou\s]+(?!\S)")
+    plain = "low"
+    for base, others in SYNONYMS.items():
+        plain = F.regexp_replace(plain, rf"(?<!\w)(?:{'|'.join(others)})(?!\w)", base)
+    terms = ("since", "in order to", "sum")
+    want = [n("low", short) + of_long(F.regexp_replace("low", short, "")), plain, sum((n(F.coalesce("low", F.lit("")), rf"(?<!\w){x}(?!\w)") for x in terms), F.lit(0))]
+    got = [t.syllable_sum("low"), t.expand_synonyms("low", SYNONYMS), t.term_counts("source", terms)]
+    assert [tuple(r) for r in rows.select(*got).collect()] == [tuple(r) for r in rows.select(*want).collect()]
+    hits = lambda flags, ps: F.flatten(F.array(*[F.regexp_extract_all("source", F.lit(flags + p), 1) for p in ps]))
+    calls = rows.select("program", F.explode(F.transform(hits("(?is)", [p for p, _ in behaviour.CALL_PATTERNS.values()]), lambda x: F.upper(x))))
+    assert sorted(behaviour.external_calls(rows).select("program", "target").collect()) == sorted(calls.collect())
+    named = {r.name for r in evaluation.moved_names(rows.select("program", "source"), "program", "source").collect()}
+    assert {"WS-AB", "WS-BC"} == named <= {x.upper() for r in rows.filter("source is not null").select(hits("(?i)", evaluation.IO_PATTERNS).alias("x")).collect() for x in r.x}
+
+
+def test_unknown_names_meet_the_known_ones_once(spark):
+    mentioned = spark.createDataFrame([(1, "WS-TOTAL"), (1, "WS-TOTALS"), (1, "GHOST"), (2, "WS-A"), (2, "WS-A"), (None, "X")], "k int, name string")
+    known = spark.createDataFrame([(1, "WS-TOTAL"), (1, None), (3, "WS-A"), (None, "X")], "k int, name string")
+    got = claims.unknown_names(mentioned, known, "k")
+    assert sorted((r.k or 0, r.name) for r in got.collect()) == [(0, "X"), (1, "GHOST"), (2, "WS-A")]
+    assert got._jdf.queryExecution().analyzed().toString().count("Join") == 1
