@@ -109,9 +109,7 @@ def c11(spark, sf_dir):
 
 @query("c12_jumps", f"{_S}, j AS (SELECT program, n, count(*) FILTER (WHERE kind = 7) AS gotos FROM s GROUP BY ALL) SELECT program, n + 2 + 2 * n AS statements, gotos, 0 AS forward, {sql_fixed('gotos / (3 * n + 2)')} AS density, gotos / (3 * n + 2) > 0.15 AS spaghetti FROM j")
 def c12(spark, sf_dir):
-    paragraphs = sc.paragraphs(programs(spark, sf_dir))
-    statements = sc.statements(paragraphs)
-    return sc.jump_stats(sc.flow_edges(statements), paragraphs, statements).withColumn("density", fixed(F.col("density")))
+    return sc.paragraph_jumps(sc.paragraphs(programs(spark, sf_dir))).withColumn("density", fixed(F.col("density")))
 
 
 @query("c13_complexity", f"{_S} SELECT program, n + count(*) FILTER (WHERE kind IN (2, 7)) AS complexity FROM s GROUP BY program, n")

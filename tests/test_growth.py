@@ -293,3 +293,16 @@ def test_files_books_and_nodes_are_found_in_one_pass(spark):
     texts = ["       COPY A1.\n      * COPY NO.\n       copy\n      / x\n 'B-2'. *> COPY NOT\n-INC C3\n ++include D4\n EXEC SQL INCLUDE E5 END-EXEC COPY A1", "", None, "123456*COPY X\n12345 *COPY Y"]
     rows = spark.createDataFrame([(x,) for x in texts], "source string").select(gt.copy_books("source").alias("b"))
     assert [r.b for r in rows.collect()] == [["A1", "B-2", "D4", "C3", "E5"], [], None, []]
+
+
+def test_jumps_are_counted_in_the_programs_row(spark):
+    from docmeter.operators import source_code as sc
+
+    text = lambda *parts: "       PROCEDURE DIVISION.\n" + "".join(f"       {n}.\n           {x}.\n" for n, x in parts)
+    sources = [text(("A-1", "GO TO C-1. go  to A-1. GO TO NOWHERE"), ("B-1", "MOVE 1 TO GO-TO-X. PERFORM A-1"), ("C-1", "IF X GO TO B-1 GO\nTO UNTIL"), ("A-1", "GO TO C-1")), text(("A-1", "STOP RUN")), "", None]
+    paragraphs = sc.paragraphs(spark.createDataFrame(list(enumerate(sources)), "program long, source string"))
+    statements = sc.statements(paragraphs)
+    got, want = sc.paragraph_jumps(paragraphs), sc.jump_stats(sc.flow_edges(statements), paragraphs, statements)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) != []
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 == plan.count("MapInArrow")
