@@ -306,3 +306,16 @@ def test_jumps_are_counted_in_the_programs_row(spark):
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) != []
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") == 1 == plan.count("MapInArrow")
+
+
+def test_closures_are_followed_in_the_programs_row(spark):
+    from docmeter.operators import source_code as sc
+
+    pairs = [("A", "B"), ("B", "C"), ("C", "D"), ("D", "A"), ("E", "E")]
+    assert sc.reached(pairs, 1) == set(pairs) and sc.reached(pairs, 2) == set(pairs) | {("A", "C"), ("B", "D"), ("C", "A"), ("D", "B")}
+    assert sc.reached(pairs, 9) == {(x, y) for x in "ABCD" for y in "ABCD"} | {("E", "E")} and sc.reached([], 3) == set()
+    rows = [(k, a, b, "perform" if k else "perform_through") for k in (0, 1) for a, b in pairs * 2] + [(1, "D", "Z", "goto"), (2, "A", "B", "goto")]
+    closed = sc.perform_closure(spark.createDataFrame(rows, "program long, src string, dst string, type string"), 3)
+    assert sorted(tuple(r) for r in closed.collect()) == sorted((k, *p) for k in (0, 1) for p in sc.reached(pairs, 3))
+    plan = closed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
